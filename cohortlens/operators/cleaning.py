@@ -37,7 +37,7 @@ def dedup_exact(df: DataFrame, key: Sequence[str] = P.RAW_KEY, keep: str = "even
     A grouping, so partial aggregation collapses copies before the shuffle: a group of copies
     holding a large share of all rows costs one row per map task, not a hot partition.
     """
-    extra = [c for c in (TL.UKEY, TL.SLICE) if c in df.columns]
+    extra = [c for c in (TL.UKEY, TL.HOT, TL.SLICE) if c in df.columns]
     return df.groupBy(*key, *extra).agg(F.min(keep).alias(keep))
 
 
@@ -94,14 +94,15 @@ def build_clean_events(raw: DataFrame, lookup: DataFrame, *,
                        internal: bool = True) -> DataFrame:
     """CL8: CL1–CL7 in order, skew-safe.
 
-    Exchanges of event rows: the dedupe grouping (after map-side combine) and the
-    (user, time slice) partitioning of the sequence windows. Cross-exposure (CL4) and the
+    Exchanges of event rows: the dedupe grouping (after map-side combine; its output also
+    feeds the per-user profile that finds hot users) and the (user, time slice) partitioning
+    of the sequence windows. Cross-exposure (CL4) and the
     multi-country rule (CL7) ride on the per-slice summary, so no event shuffle by user or
     by session is needed.
     """
-    x = drop_staging(raw)
+    x = dedup_exact(drop_staging(raw))
+    # the per-user profile reads the dedupe shuffle output, shared with the main path
     x = TL.add_slices(x, "user_id", "event_datetime", rows_per_slice, max_hot_users)
-    x = dedup_exact(x)
     x = localize(x, lookup)
     x = TL.sequence(x, user="user_id", ts="event_ts", tiebreak=("event_id",),
                     gap_seconds=gap_seconds, single_valued=("ip_country",),

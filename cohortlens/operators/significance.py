@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens import params as P
-from cohortlens.functions.stats import p_value_udf
+from cohortlens.functions.stats import p_value_col
 
 RESULT_COLUMNS = ["test_name", "metric", "metric_type", "variant", "value", "sample_size",
                   "statistic", "p_value", "is_significant", "run_date"]
@@ -103,7 +103,7 @@ def welch_ttest(totals: DataFrame, metric: str = "event_count_Search_Sub",
 
 
 def _finish(rows: DataFrame, test_name: str, alpha: float, run_date) -> DataFrame:
-    p = p_value_udf(F.col("_kind"), F.col("statistic"), F.col("dof"))
+    p = p_value_col(F.col("_kind"), F.col("statistic"), F.col("dof"))
     x = rows.withColumn("p_value", p)
     return x.select(
         F.lit(test_name).alias("test_name"), "metric", "metric_type", "variant",

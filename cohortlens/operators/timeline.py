@@ -30,6 +30,7 @@ from cohortlens.functions.columns import epoch_micros, seconds_between
 
 SLICE = "_slice"
 UKEY = "_uk"  # struct(user): a non-null key under which null users still form one group
+HOT = "_hot"
 
 
 def _ukey(user: str) -> Column:
@@ -39,12 +40,13 @@ def _ukey(user: str) -> Column:
 def add_slices(df: DataFrame, user: str = "user_id", ts: str = "event_ts",
                rows_per_slice: int = P.ROWS_PER_SLICE,
                max_hot_users: int = P.MAX_HOT_USERS) -> DataFrame:
-    """Add ``_uk`` (user key) and ``_slice`` (time slice of hot users, else 0)."""
+    """Add ``_uk`` (user key), ``_hot`` (user is split) and ``_slice`` (time slice, else 0)."""
     df = df.withColumn(UKEY, _ukey(user))
     us = epoch_micros(ts)
     prof = df.groupBy(UKEY).agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_t0"),
                                 F.max(us).alias("_t1"))
-    total = df.select(F.count(F.lit(1))).scalar()
+    # total rows from the (one row per user) profile: the input is not scanned again
+    total = prof.select(F.sum("_n")).scalar()
     threshold = F.greatest(F.lit(float(rows_per_slice)), total / F.lit(float(max_hot_users)))
     n_slices = F.ceil(F.col("_n") / F.lit(rows_per_slice))
     hot = prof.filter(F.col("_n") > threshold).select(
@@ -52,7 +54,8 @@ def add_slices(df: DataFrame, user: str = "user_id", ts: str = "event_ts",
         (F.floor((F.col("_t1") - F.col("_t0")) / n_slices) + F.lit(1)).alias("_w"))
     # fewer than max_hot_users rows (see module doc): safe to broadcast
     j = df.join(F.broadcast(hot), F.col(UKEY) == F.col("_hot_uk"), "left")
-    return (j.withColumn(SLICE, F.coalesce(F.floor((us - F.col("_t0")) / F.col("_w")),
+    return (j.withColumn(HOT, F.col("_hot_uk").isNotNull())
+             .withColumn(SLICE, F.coalesce(F.floor((us - F.col("_t0")) / F.col("_w")),
                                            F.lit(0)).cast("long"))
              .drop("_hot_uk", "_t0", "_w"))
 
@@ -71,36 +74,69 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
       ``session_no``         1 + number of events up to this time whose gap is > ``gap_seconds``
                              (a user's first event starts session 1). Equal times share the
                              number (RANGE frame), as ``countif(...) over (order by ts)`` does.
-      ``<v>_mixed``          for each ``single_valued`` column: the whole session (across
-                             slices) holds two or more distinct non-null values
+      ``<v>_mixed``          for each ``single_valued`` column: the whole session holds two or
+                             more distinct non-null values
       ``<u>_user_mixed``     for each ``user_single_valued`` column: the same over the user's
                              whole history
-    Keeps ``_uk`` and ``_slice``; the caller drops them.
+    Ordinary users take one windowed pass; only split ("hot") users go through the stitching
+    of time slices. Keeps ``_uk``, ``_hot`` and ``_slice``; the caller drops them.
     """
     if SLICE not in df.columns:
         df = add_slices(df, user, ts, rows_per_slice, max_hot_users)
+    kw = dict(ts=ts, tiebreak=tiebreak, gap_seconds=gap_seconds, carry=carry,
+              single_valued=single_valued, user_single_valued=user_single_valued)
+    plain = _sequence_plain(df.filter(~F.col(HOT)), **kw)
+    sliced = _sequence_sliced(df.filter(F.col(HOT)), **kw)
+    return plain.unionByName(sliced)
+
+
+def _windows(ts: str, tiebreak: Sequence[str]):
     part = [UKEY, SLICE]
     order = [F.col(ts)] + [F.col(c) for c in tiebreak]
-    w_row = Window.partitionBy(*part).orderBy(*order)
-    w_rng = Window.partitionBy(*part).orderBy(F.col(ts))
+    return part, order, Window.partitionBy(*part).orderBy(*order), \
+        Window.partitionBy(*part).orderBy(F.col(ts))
+
+
+def _sequence_plain(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_valued,
+                    user_single_valued) -> DataFrame:
+    """Users in one slice: every result is a window over the user, in one pass."""
+    part, _, w_row, w_rng = _windows(ts, tiebreak)
+    x = df.withColumn("prev_ts", F.lag(ts).over(w_row))
+    for c in carry:
+        x = x.withColumn(f"prev_{c}", F.lag(c).over(w_row))
+    x = x.withColumn("date_diff_seconds", seconds_between("prev_ts", ts))
+    starts = F.col("date_diff_seconds").isNull() | (F.col("date_diff_seconds") > F.lit(gap_seconds))
+    x = x.withColumn("session_no", F.count_if(starts).over(w_rng).cast("long"))
+    w_sess = Window.partitionBy(*part, "session_no")
+    for v in single_valued:
+        x = x.withColumn(f"{v}_mixed", F.coalesce(
+            F.max(v).over(w_sess) > F.min(v).over(w_sess), F.lit(False)))
+    w_user = Window.partitionBy(*part)
+    for u in user_single_valued:
+        x = x.withColumn(f"{u}_user_mixed", F.coalesce(
+            F.max(u).over(w_user) > F.min(u).over(w_user), F.lit(False)))
+    return x
+
 
+def _sequence_sliced(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_valued,
+                     user_single_valued) -> DataFrame:
+    """Split users: windows per (user, slice), then a per-slice summary stitches the slices."""
+    part, order, w_row, w_rng = _windows(ts, tiebreak)
     x = df.withColumn("_prev_ts_in", F.lag(ts).over(w_row))
     for c in carry:
         x = x.withColumn(f"_prev_in_{c}", F.lag(c).over(w_row))
     x = x.withColumn("_gap_in", seconds_between("_prev_ts_in", ts))
     x = x.withColumn("_local", F.count_if(F.col("_gap_in") > F.lit(gap_seconds)).over(w_rng))
-    if single_valued:
-        w_piece = Window.partitionBy(*part, "_local")
-        for v in single_valued:
-            x = (x.withColumn(f"_plo_{v}", F.min(v).over(w_piece))
-                  .withColumn(f"_phi_{v}", F.max(v).over(w_piece)))
+    w_piece = Window.partitionBy(*part, "_local")
+    for v in single_valued:
+        x = (x.withColumn(f"_plo_{v}", F.min(v).over(w_piece))
+              .withColumn(f"_phi_{v}", F.max(v).over(w_piece)))
 
-    # --- per-slice summary (same partitioning as x: no exchange) ---------------------------
+    # per-slice summary, on the same partitioning as x (no exchange)
     last = F.struct(*order)
     aggs = [F.min(ts).alias("_first_ts"), F.max(ts).alias("_last_ts"),
             F.max("_local").alias("_n_start")]
-    for c in carry:
-        aggs.append(F.max_by(F.col(c), last).alias(f"_last_{c}"))
+    aggs += [F.max_by(F.col(c), last).alias(f"_last_{c}") for c in carry]
     head = F.col("_local") == F.lit(0)
     for v in single_valued:
         aggs += [F.min(F.when(head, F.col(f"_plo_{v}"))).alias(f"_hlo_{v}"),
@@ -111,7 +147,7 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
         aggs += [F.min(u).alias(f"_ulo_{u}"), F.max(u).alias(f"_uhi_{u}")]
     st = x.groupBy(*part).agg(*aggs)
 
-    # --- stitch slices: windows over the small summary, per user -----------------------------
+    # stitch: windows over the summary, per user
     wu = Window.partitionBy(UKEY).orderBy(SLICE)
     st = st.withColumn("_prev_last_ts", F.lag("_last_ts").over(wu))
     for c in carry:
@@ -122,39 +158,38 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
     before = F.sum(F.col("_fs") + F.col("_n_start")).over(
         wu.rowsBetween(Window.unboundedPreceding, -1))
     st = st.withColumn("_base", F.coalesce(before, F.lit(0)) + F.col("_fs"))
-
     w_user = Window.partitionBy(UKEY)
     for u in user_single_valued:
         st = st.withColumn(f"_umx_{u}", F.coalesce(
             F.max(f"_uhi_{u}").over(w_user) > F.min(f"_ulo_{u}").over(w_user), F.lit(False)))
 
-    if single_valued:
-        # sessions crossing a slice border consist of a tail piece and head pieces; their value
-        # range is the range over those pieces, grouped by the (now global) session number
-        def pieces(no: Column, kind: str) -> DataFrame:
-            return st.select(UKEY, no.alias("_sno"),
-                             *[F.col(f"_{kind}lo_{v}").alias(f"_lo_{v}") for v in single_valued],
-                             *[F.col(f"_{kind}hi_{v}").alias(f"_hi_{v}") for v in single_valued])
-
-        ver = (pieces(F.col("_base"), "h")
-               .unionByName(pieces(F.col("_base") + F.col("_n_start"), "t"))
-               .groupBy(UKEY, "_sno")
-               .agg(*[F.coalesce(F.max(f"_hi_{v}") > F.min(f"_lo_{v}"), F.lit(False))
-                      .alias(f"_mx_{v}") for v in single_valued]))
-        for kind, no in (("h", F.col("_base")), ("t", F.col("_base") + F.col("_n_start"))):
-            vk = ver.select(F.col(UKEY).alias("_vuk"), F.col("_sno").alias(f"_{kind}sno"),
-                            *[F.col(f"_mx_{v}").alias(f"_{kind}mx_{v}") for v in single_valued])
-            st = (st.join(vk, (F.col(UKEY) == F.col("_vuk")) & (no == F.col(f"_{kind}sno")), "left")
-                    .drop("_vuk", f"_{kind}sno"))
-
     keep = ["_prev_last_ts", "_base", "_n_start"] + [f"_prev_last_{c}" for c in carry]
-    for v in single_valued:
-        keep += [f"_hmx_{v}", f"_tmx_{v}"]
     keep += [f"_umx_{u}" for u in user_single_valued]
-    st = st.select(*part, *keep)
-
-    # --- join back on (user, slice); x keeps its hash partitioning --------------------------
-    y = x.join(st, on=part, how="inner")
+    if single_valued:
+        # a session crossing slice borders = the tail piece of one slice + head pieces of the
+        # next ones; both pieces of every slice are labelled with their global session number
+        # and the value range is taken per (user, session number) with a window
+        def piece(kind: str, no: Column) -> Column:
+            return F.struct(F.lit(kind).alias("k"), no.alias("sno"),
+                            *[F.col(f"_{kind}lo_{v}").alias(f"lo_{v}") for v in single_valued],
+                            *[F.col(f"_{kind}hi_{v}").alias(f"hi_{v}") for v in single_valued])
+
+        pcs = st.select(*part, *keep, F.explode(F.array(
+            piece("h", F.col("_base")), piece("t", F.col("_base") + F.col("_n_start")))).alias("_p"))
+        w_sno = Window.partitionBy(UKEY, "_p.sno")
+        for v in single_valued:
+            pcs = pcs.withColumn(f"_mx_{v}", F.coalesce(
+                F.max(f"_p.hi_{v}").over(w_sno) > F.min(f"_p.lo_{v}").over(w_sno), F.lit(False)))
+        is_h = F.col("_p.k") == F.lit("h")
+        st = pcs.groupBy(*part, *keep).agg(
+            *[F.max(F.when(is_h, F.col(f"_mx_{v}"))).alias(f"_hmx_{v}") for v in single_valued],
+            *[F.max(F.when(~is_h, F.col(f"_mx_{v}"))).alias(f"_tmx_{v}") for v in single_valued])
+    else:
+        st = st.select(*part, *keep)
+
+    # join back on (user, slice). One summary row per slice of a split user: at most
+    # total / rows_per_slice + max_hot_users rows, so it is broadcast.
+    y = x.join(F.broadcast(st), on=part, how="inner")
     inside = F.col("_prev_ts_in").isNotNull()
     y = y.withColumn("prev_ts", F.when(inside, F.col("_prev_ts_in")).otherwise(F.col("_prev_last_ts")))
     y = y.withColumn("date_diff_seconds", seconds_between("prev_ts", ts))

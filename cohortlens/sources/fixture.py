@@ -56,13 +56,16 @@ def _case(value: Column, mapping: list[tuple[object, object]], default=None) ->
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw A/B-test events derived from ``events`` (FIXTURES.md §3), a pure projection + unions.
+    """Raw A/B-test events derived from ``events`` (FIXTURES.md §3) in one scan.
 
-    Adds exact duplicates (event_id % 50 = 0) and same-instant echo events (event_id % 25 = 1),
-    so the partitioning of the result follows the scan; nothing is shuffled here.
+    Every event yields itself, an exact duplicate when event_id % 50 = 0 and a same-instant
+    'Homepage_Viewed' echo (event_id + 1e9) when event_id % 25 = 1, via ``explode``: one pass,
+    no shuffle, partitioned like the scan.
     """
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    k = F.regexp_extract("props", r"([0-9]+)", 1).cast("int")
+    # k parsed once per row (a separate projection, so it is not inlined at every use)
+    ev = ev.withColumn("_k", F.regexp_extract("props", r"([0-9]+)", 1).cast("int"))
+    k = F.col("_k")
     uid = F.col("user_id")
     et = F.col("event_type")
     click = et == F.lit("click")
@@ -93,13 +96,23 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when((uid % 10 == 7) & (k >= 90), F.lit("Control"))
          .otherwise(F.lit("Variation")).alias("cohort"),
     )
-    dups = d.filter(F.col("event_id") % 50 == 0)
-    echo = d.filter(F.col("event_id") % 25 == 1).select(
-        (F.col("event_id") + F.lit(1_000_000_000)).alias("event_id"), "event_date",
-        F.lit("Homepage_Viewed").alias("event_name"), F.lit(None).cast("string").alias("action"),
-        F.lit(None).cast("string").alias("page_type"), "event_datetime", "platform", "user_id",
-        "login_status", "app_language", "release_version", "ip_country", "cohort")
-    return d.unionByName(dups).unionByName(echo)
+    eid = F.col("event_id")
+    none = F.lit(None).cast("string")
+    # (event_id, event_name, action, page_type) of each emitted copy
+    copies = F.array(
+        F.struct(eid.alias("i"), F.col("event_name").alias("n"), F.col("action").alias("a"),
+                 F.col("page_type").alias("p")),
+        F.when(eid % 50 == 0, F.struct(eid.alias("i"), F.col("event_name").alias("n"),
+                                       F.col("action").alias("a"), F.col("page_type").alias("p"))),
+        F.when(eid % 25 == 1, F.struct((eid + F.lit(1_000_000_000)).alias("i"),
+                                       F.lit("Homepage_Viewed").alias("n"), none.alias("a"),
+                                       none.alias("p"))))
+    x = d.select("*", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("_c"))
+    return x.select(
+        F.col("_c.i").alias("event_id"), "event_date", F.col("_c.n").alias("event_name"),
+        F.col("_c.a").alias("action"), F.col("_c.p").alias("page_type"), "event_datetime",
+        "platform", "user_id", "login_status", "app_language", "release_version", "ip_country",
+        "cohort")
 
 
 def country_timezone(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlens import params as P
 from cohortlens.functions.columns import local_time, zone_or_default
 from cohortlens.operators import timeline as TL
+from cohortlens.sources import sinks
 
 CLEAN_COLUMNS = [
     "session_id", "user_id", "cohort", "event_date", "event_name", "action", "page_type",
@@ -70,10 +71,10 @@ def localize(df: DataFrame, lookup: DataFrame, country: str = "ip_country",
     """
     z = zone_lookup(lookup)
     j = df.join(z, F.col(country) == F.col("_lk_country"), "left")
-    return (j.withColumn("timezone", zone_or_default("_lk_zone"))
-             .withColumn("event_ts", F.col(ts))
-             .withColumn("event_datetime", local_time("event_ts", "timezone"))
-             .withColumn("event_date", F.to_date("event_datetime"))
+    zone = zone_or_default("_lk_zone")
+    local = local_time(F.col(ts), zone)
+    return (j.withColumns({"timezone": zone, "event_ts": F.col(ts), "event_datetime": local,
+                           "event_date": F.to_date(local)})
              .drop("_lk_country", "_lk_zone"))
 
 
@@ -82,35 +83,40 @@ def session_id(user: str = "user_id", number: str = "session_no", sep: str = "#"
     return F.md5(F.concat(F.col(user).cast("string"), F.lit(sep), F.col(number).cast("string")))
 
 
-def build_base(raw: DataFrame) -> DataFrame:
+def deduplicated(raw: DataFrame, materialize: bool = True) -> DataFrame:
+    """CL1 + CL3, written once when ``materialize`` (it feeds several consumers)."""
+    dd = dedup_exact(drop_staging(raw))
+    return sinks.materialize(dd, "dedup") if materialize else dd
+
+
+def build_base(raw: DataFrame, materialize: bool = True) -> DataFrame:
     """CL1 + CL3 + CL4: the cleaned events before sessionizing (raw columns + event_id)."""
-    return drop_cross_exposed(dedup_exact(drop_staging(raw)))
+    base = drop_cross_exposed(deduplicated(raw, materialize))
+    return sinks.materialize(base, "base") if materialize else base
 
 
 def build_clean_events(raw: DataFrame, lookup: DataFrame, *,
                        gap_seconds: int = P.SESSION_GAP_SECONDS, sep: str = "#",
                        rows_per_slice: int = P.ROWS_PER_SLICE,
                        max_hot_users: int = P.MAX_HOT_USERS,
-                       internal: bool = True) -> DataFrame:
+                       internal: bool = True, materialize: bool = True) -> DataFrame:
     """CL8: CL1–CL7 in order, skew-safe.
 
-    Exchanges of event rows: the dedupe grouping (after map-side combine; its output also
-    feeds the per-user profile that finds hot users) and the (user, time slice) partitioning
-    of the sequence windows. Cross-exposure (CL4) and the
+    Exchanges of event rows: the dedupe grouping (after map-side combine), written once as a
+    table read by the per-user profile that finds hot users and by the main path, and the
+    (user, time slice) partitioning of the sequence windows. Cross-exposure (CL4) and the
     multi-country rule (CL7) ride on the per-slice summary, so no event shuffle by user or
     by session is needed.
     """
-    x = dedup_exact(drop_staging(raw))
-    # the per-user profile reads the dedupe shuffle output, shared with the main path
-    x = TL.add_slices(x, "user_id", "event_datetime", rows_per_slice, max_hot_users)
-    x = localize(x, lookup)
+    # the per-user profile (hot users) and the main path both read the deduplicated table
+    x = localize(deduplicated(raw, materialize), lookup)
     x = TL.sequence(x, user="user_id", ts="event_ts", tiebreak=("event_id",),
                     gap_seconds=gap_seconds, single_valued=("ip_country",),
-                    user_single_valued=("cohort",))
+                    user_single_valued=("cohort",), rows_per_slice=rows_per_slice,
+                    max_hot_users=max_hot_users)
     x = x.filter(~F.col("cohort_user_mixed") & ~F.col("ip_country_mixed"))
-    x = x.withColumn("session_id", session_id(sep=sep))
-    cols = CLEAN_COLUMNS + (INTERNAL_COLUMNS if internal else [])
-    return x.select(*cols)
+    cols = [session_id(sep=sep).alias("session_id")] + CLEAN_COLUMNS[1:]
+    return x.select(*cols, *(INTERNAL_COLUMNS if internal else []))
 
 
 def session_trace(base: DataFrame, lookup: DataFrame, *,

@@ -37,11 +37,13 @@ def _ukey(user: str) -> Column:
     return F.struct(F.col(user).alias("u"))
 
 
-def add_slices(df: DataFrame, user: str = "user_id", ts: str = "event_ts",
-               rows_per_slice: int = P.ROWS_PER_SLICE,
-               max_hot_users: int = P.MAX_HOT_USERS) -> DataFrame:
-    """Add ``_uk`` (user key), ``_hot`` (user is split) and ``_slice`` (time slice, else 0)."""
-    df = df.withColumn(UKEY, _ukey(user))
+def hot_users(df: DataFrame, ts: str, rows_per_slice: int = P.ROWS_PER_SLICE,
+              max_hot_users: int = P.MAX_HOT_USERS) -> DataFrame:
+    """Users to split, with slice origin ``_t0`` and width ``_w`` (µs). ``df`` has ``_uk``.
+
+    A user is hot above max(rows_per_slice, total / max_hot_users) rows, so the result has
+    fewer than ``max_hot_users`` rows: a proven bound for the broadcast that uses it.
+    """
     us = epoch_micros(ts)
     prof = df.groupBy(UKEY).agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_t0"),
                                 F.max(us).alias("_t1"))
@@ -49,15 +51,25 @@ def add_slices(df: DataFrame, user: str = "user_id", ts: str = "event_ts",
     total = prof.select(F.sum("_n")).scalar()
     threshold = F.greatest(F.lit(float(rows_per_slice)), total / F.lit(float(max_hot_users)))
     n_slices = F.ceil(F.col("_n") / F.lit(rows_per_slice))
-    hot = prof.filter(F.col("_n") > threshold).select(
+    return prof.filter(F.col("_n") > threshold).select(
         F.col(UKEY).alias("_hot_uk"), "_t0",
         (F.floor((F.col("_t1") - F.col("_t0")) / n_slices) + F.lit(1)).alias("_w"))
-    # fewer than max_hot_users rows (see module doc): safe to broadcast
+
+
+def add_slices(df: DataFrame, user: str = "user_id", ts: str = "event_ts",
+               rows_per_slice: int = P.ROWS_PER_SLICE, max_hot_users: int = P.MAX_HOT_USERS,
+               hot: DataFrame | None = None) -> DataFrame:
+    """Add ``_uk`` (user key), ``_hot`` (user is split) and ``_slice`` (time slice, else 0)."""
+    if UKEY not in df.columns:
+        df = df.withColumn(UKEY, _ukey(user))
+    if hot is None:
+        hot = hot_users(df, ts, rows_per_slice, max_hot_users)
     j = df.join(F.broadcast(hot), F.col(UKEY) == F.col("_hot_uk"), "left")
-    return (j.withColumn(HOT, F.col("_hot_uk").isNotNull())
-             .withColumn(SLICE, F.coalesce(F.floor((us - F.col("_t0")) / F.col("_w")),
-                                           F.lit(0)).cast("long"))
-             .drop("_hot_uk", "_t0", "_w"))
+    us = epoch_micros(ts)
+    return j.withColumns({
+        HOT: F.col("_hot_uk").isNotNull(),
+        SLICE: F.coalesce(F.floor((us - F.col("_t0")) / F.col("_w")), F.lit(0)).cast("long"),
+    }).drop("_hot_uk", "_t0", "_w")
 
 
 def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
@@ -79,12 +91,18 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
       ``<u>_user_mixed``     for each ``user_single_valued`` column: the same over the user's
                              whole history
     Ordinary users take one windowed pass; only split ("hot") users go through the stitching
-    of time slices. Keeps ``_uk``, ``_hot`` and ``_slice``; the caller drops them.
+    of time slices. When no user is hot (checked with a one-row job on the per-user profile)
+    only the plain pass is planned. Keeps ``_uk``, ``_hot`` and ``_slice``.
     """
-    if SLICE not in df.columns:
-        df = add_slices(df, user, ts, rows_per_slice, max_hot_users)
     kw = dict(ts=ts, tiebreak=tiebreak, gap_seconds=gap_seconds, carry=carry,
               single_valued=single_valued, user_single_valued=user_single_valued)
+    if SLICE not in df.columns:
+        df = df.withColumn(UKEY, _ukey(user))
+        hot = hot_users(df, ts, rows_per_slice, max_hot_users)
+        if hot.isEmpty():
+            return _sequence_plain(df.withColumns({HOT: F.lit(False), SLICE: F.lit(0).cast("long")}),
+                                   **kw)
+        df = add_slices(df, user, ts, hot=hot)
     plain = _sequence_plain(df.filter(~F.col(HOT)), **kw)
     sliced = _sequence_sliced(df.filter(F.col(HOT)), **kw)
     return plain.unionByName(sliced)
@@ -101,36 +119,37 @@ def _sequence_plain(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_v
                     user_single_valued) -> DataFrame:
     """Users in one slice: every result is a window over the user, in one pass."""
     part, _, w_row, w_rng = _windows(ts, tiebreak)
-    x = df.withColumn("prev_ts", F.lag(ts).over(w_row))
-    for c in carry:
-        x = x.withColumn(f"prev_{c}", F.lag(c).over(w_row))
-    x = x.withColumn("date_diff_seconds", seconds_between("prev_ts", ts))
+    prev = F.lag(ts).over(w_row)
+    cols = {"prev_ts": prev, "date_diff_seconds": seconds_between(prev, ts)}
+    cols.update({f"prev_{c}": F.lag(c).over(w_row) for c in carry})
+    x = df.withColumns(cols)
     starts = F.col("date_diff_seconds").isNull() | (F.col("date_diff_seconds") > F.lit(gap_seconds))
     x = x.withColumn("session_no", F.count_if(starts).over(w_rng).cast("long"))
     w_sess = Window.partitionBy(*part, "session_no")
-    for v in single_valued:
-        x = x.withColumn(f"{v}_mixed", F.coalesce(
-            F.max(v).over(w_sess) > F.min(v).over(w_sess), F.lit(False)))
     w_user = Window.partitionBy(*part)
-    for u in user_single_valued:
-        x = x.withColumn(f"{u}_user_mixed", F.coalesce(
-            F.max(u).over(w_user) > F.min(u).over(w_user), F.lit(False)))
-    return x
+    cols = {f"{v}_mixed": F.coalesce(F.max(v).over(w_sess) > F.min(v).over(w_sess), F.lit(False))
+            for v in single_valued}
+    cols.update({f"{u}_user_mixed": F.coalesce(F.max(u).over(w_user) > F.min(u).over(w_user),
+                                               F.lit(False)) for u in user_single_valued})
+    return x.withColumns(cols) if cols else x
 
 
 def _sequence_sliced(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_valued,
                      user_single_valued) -> DataFrame:
     """Split users: windows per (user, slice), then a per-slice summary stitches the slices."""
     part, order, w_row, w_rng = _windows(ts, tiebreak)
-    x = df.withColumn("_prev_ts_in", F.lag(ts).over(w_row))
-    for c in carry:
-        x = x.withColumn(f"_prev_in_{c}", F.lag(c).over(w_row))
-    x = x.withColumn("_gap_in", seconds_between("_prev_ts_in", ts))
+    prev = F.lag(ts).over(w_row)
+    cols = {"_prev_ts_in": prev, "_gap_in": seconds_between(prev, ts)}
+    cols.update({f"_prev_in_{c}": F.lag(c).over(w_row) for c in carry})
+    x = df.withColumns(cols)
     x = x.withColumn("_local", F.count_if(F.col("_gap_in") > F.lit(gap_seconds)).over(w_rng))
     w_piece = Window.partitionBy(*part, "_local")
+    cols = {}
     for v in single_valued:
-        x = (x.withColumn(f"_plo_{v}", F.min(v).over(w_piece))
-              .withColumn(f"_phi_{v}", F.max(v).over(w_piece)))
+        cols[f"_plo_{v}"] = F.min(v).over(w_piece)
+        cols[f"_phi_{v}"] = F.max(v).over(w_piece)
+    if cols:
+        x = x.withColumns(cols)
 
     # per-slice summary, on the same partitioning as x (no exchange)
     last = F.struct(*order)
@@ -149,19 +168,19 @@ def _sequence_sliced(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_
 
     # stitch: windows over the summary, per user
     wu = Window.partitionBy(UKEY).orderBy(SLICE)
-    st = st.withColumn("_prev_last_ts", F.lag("_last_ts").over(wu))
-    for c in carry:
-        st = st.withColumn(f"_prev_last_{c}", F.lag(f"_last_{c}").over(wu))
+    w_user = Window.partitionBy(UKEY)
+    cols = {"_prev_last_ts": F.lag("_last_ts").over(wu)}
+    cols.update({f"_prev_last_{c}": F.lag(f"_last_{c}").over(wu) for c in carry})
+    cols.update({f"_umx_{u}": F.coalesce(F.max(f"_uhi_{u}").over(w_user)
+                                         > F.min(f"_ulo_{u}").over(w_user), F.lit(False))
+                 for u in user_single_valued})
+    st = st.withColumns(cols)
     first_start = (F.col("_prev_last_ts").isNull()
                    | (seconds_between("_prev_last_ts", "_first_ts") > F.lit(gap_seconds)))
     st = st.withColumn("_fs", first_start.cast("long"))
     before = F.sum(F.col("_fs") + F.col("_n_start")).over(
         wu.rowsBetween(Window.unboundedPreceding, -1))
     st = st.withColumn("_base", F.coalesce(before, F.lit(0)) + F.col("_fs"))
-    w_user = Window.partitionBy(UKEY)
-    for u in user_single_valued:
-        st = st.withColumn(f"_umx_{u}", F.coalesce(
-            F.max(f"_uhi_{u}").over(w_user) > F.min(f"_ulo_{u}").over(w_user), F.lit(False)))
 
     keep = ["_prev_last_ts", "_base", "_n_start"] + [f"_prev_last_{c}" for c in carry]
     keep += [f"_umx_{u}" for u in user_single_valued]
@@ -177,9 +196,9 @@ def _sequence_sliced(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_
         pcs = st.select(*part, *keep, F.explode(F.array(
             piece("h", F.col("_base")), piece("t", F.col("_base") + F.col("_n_start")))).alias("_p"))
         w_sno = Window.partitionBy(UKEY, "_p.sno")
-        for v in single_valued:
-            pcs = pcs.withColumn(f"_mx_{v}", F.coalesce(
-                F.max(f"_p.hi_{v}").over(w_sno) > F.min(f"_p.lo_{v}").over(w_sno), F.lit(False)))
+        pcs = pcs.withColumns({f"_mx_{v}": F.coalesce(
+            F.max(f"_p.hi_{v}").over(w_sno) > F.min(f"_p.lo_{v}").over(w_sno), F.lit(False))
+            for v in single_valued})
         is_h = F.col("_p.k") == F.lit("h")
         st = pcs.groupBy(*part, *keep).agg(
             *[F.max(F.when(is_h, F.col(f"_mx_{v}"))).alias(f"_hmx_{v}") for v in single_valued],
@@ -191,22 +210,21 @@ def _sequence_sliced(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_
     # total / rows_per_slice + max_hot_users rows, so it is broadcast.
     y = x.join(F.broadcast(st), on=part, how="inner")
     inside = F.col("_prev_ts_in").isNotNull()
-    y = y.withColumn("prev_ts", F.when(inside, F.col("_prev_ts_in")).otherwise(F.col("_prev_last_ts")))
-    y = y.withColumn("date_diff_seconds", seconds_between("prev_ts", ts))
-    for c in carry:
-        y = y.withColumn(f"prev_{c}", F.when(inside, F.col(f"_prev_in_{c}"))
-                         .otherwise(F.col(f"_prev_last_{c}")))
-    y = y.withColumn("session_no", (F.col("_base") + F.col("_local")).cast("long"))
+    prev_ts = F.when(inside, F.col("_prev_ts_in")).otherwise(F.col("_prev_last_ts"))
+    cols = {"prev_ts": prev_ts, "date_diff_seconds": seconds_between(prev_ts, ts),
+            "session_no": (F.col("_base") + F.col("_local")).cast("long")}
+    cols.update({f"prev_{c}": F.when(inside, F.col(f"_prev_in_{c}"))
+                 .otherwise(F.col(f"_prev_last_{c}")) for c in carry})
     for v in single_valued:
         local_mixed = F.coalesce(F.col(f"_phi_{v}") > F.col(f"_plo_{v}"), F.lit(False))
-        y = y.withColumn(f"{v}_mixed",
-                         F.when(F.col("_local") == F.lit(0), F.col(f"_hmx_{v}"))
-                          .when(F.col("_local") == F.col("_n_start"), F.col(f"_tmx_{v}"))
-                          .otherwise(local_mixed))
-    for u in user_single_valued:
-        y = y.withColumnRenamed(f"_umx_{u}", f"{u}_user_mixed")
+        cols[f"{v}_mixed"] = (F.when(F.col("_local") == F.lit(0), F.col(f"_hmx_{v}"))
+                              .when(F.col("_local") == F.col("_n_start"), F.col(f"_tmx_{v}"))
+                              .otherwise(local_mixed))
+    cols.update({f"{u}_user_mixed": F.col(f"_umx_{u}") for u in user_single_valued})
+    y = y.withColumns(cols)
     helpers = ["_prev_ts_in", "_gap_in", "_local", "_prev_last_ts", "_base", "_n_start"]
     helpers += [f"_prev_in_{c}" for c in carry] + [f"_prev_last_{c}" for c in carry]
+    helpers += [f"_umx_{u}" for u in user_single_valued]
     for v in single_valued:
         helpers += [f"_plo_{v}", f"_phi_{v}", f"_hmx_{v}", f"_tmx_{v}"]
     return y.drop(*helpers)

@@ -29,6 +29,9 @@ class Pipeline:
     alpha: float = P.ALPHA
     run_date: dt.date | str | None = None
     slice_opts: dict = field(default_factory=dict)
+    # persist intermediate tables read by several consumers of one result (deduplicated
+    # events, base, the session table under the tests); ``run`` persists every stage
+    materialize: bool = True
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "Pipeline":
@@ -37,12 +40,13 @@ class Pipeline:
     @cached_property
     def base(self) -> DataFrame:
         """CL1 + CL3 + CL4 (the profiling table before sessions)."""
-        return cleaning.build_base(self.raw)
+        return cleaning.build_base(self.raw, self.materialize)
 
     @cached_property
     def clean_events(self) -> DataFrame:
         return cleaning.build_clean_events(self.raw, self.lookup, gap_seconds=self.gap_seconds,
-                                           sep=self.sep, **self.slice_opts)
+                                           sep=self.sep, materialize=self.materialize,
+                                           **self.slice_opts)
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -58,9 +62,14 @@ class Pipeline:
 
     @cached_property
     def significance_results(self) -> DataFrame:
-        return significance.significance(self.session_funnel, test_name=self.test_name,
+        # two consumers (z and t tests): persist the session table once
+        sf = self._keep(self.session_funnel, "session_funnel")
+        return significance.significance(sf, test_name=self.test_name,
                                          alpha=self.alpha, run_date=self.run_date)
 
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return sinks.materialize(df, name) if self.materialize else df
+
     def run(self, out_dir: str) -> dict[str, str]:
         """Persist every table under ``out_dir`` (a shared location on a cluster).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from cohortlens.session import ensure_checkpoint_dir
@@ -25,10 +27,16 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.save(path)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared ``spark.checkpoint.dir``.
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared ``spark.checkpoint.dir`` and read it back.
 
-    Survives executor loss (files on the shared store, unlike a local checkpoint).
+    Used at the stage boundaries the analysed pipeline persists as tables. Each consumer then
+    scans only the columns it needs (a shared lineage would be recomputed per consumer, since
+    column pruning makes the branches differ), and the lineage is cut: a lost executor costs a
+    re-read of files on shared storage, not a recomputation from raw data.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/cohortlens-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

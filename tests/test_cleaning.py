@@ -1,0 +1,124 @@
+"""Cleaning and sessionizing semantics on hand-made frames."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from cohortlens.operators import cleaning
+from helpers import T0, ev, lookup_df, raw_df
+
+
+def clean(spark, rows, lookup=(("PT", "Europe/Lisbon"),), **kw):
+    return cleaning.build_clean_events(raw_df(spark, rows), lookup_df(spark, lookup), **kw)
+
+
+def sessions_of(df):
+    return {r.event_id: r.session_no for r in df.select("event_id", "session_no").collect()}
+
+
+def test_gap_equal_to_timeout_stays_in_session(spark):
+    s = sessions_of(clean(spark, [ev(1, 0), ev(2, 1800), ev(3, 1800 + 1801)]))
+    assert s == {1: 1, 2: 1, 3: 2}
+
+
+def test_gaps_count_second_boundaries(spark):
+    a = T0.replace(microsecond=900_000)
+    rows = [ev(1, 0, when=a), ev(2, 0, when=a + dt.timedelta(microseconds=200_000))]
+    out = clean(spark, rows).orderBy("event_id").collect()
+    assert [r.date_diff_seconds for r in out] == [None, 1]
+    # 1800.1 s elapsed but 1801 boundaries crossed: a new session
+    b = T0.replace(microsecond=900_000)
+    rows = [ev(1, 0, when=b), ev(2, 0, when=b + dt.timedelta(seconds=1800, microseconds=100_000))]
+    assert sessions_of(clean(spark, rows)) == {1: 1, 2: 2}
+
+
+def test_staging_and_null_versions_dropped(spark):
+    rows = [ev(1, 0), ev(2, 10, version="staging-9.1"), ev(3, 20, version=None)]
+    assert [r.event_id for r in clean(spark, rows).collect()] == [1]
+
+
+def test_exact_duplicates_keep_smallest_event_id(spark):
+    rows = [ev(5, 0), ev(3, 0), ev(4, 0, name="view_item")]
+    out = sorted(r.event_id for r in clean(spark, rows).collect())
+    assert out == [3, 4]
+
+
+def test_cross_exposed_users_removed(spark):
+    rows = [ev(1, 0, user="a", cohort="Control"), ev(2, 5, user="a", cohort="Variation"),
+            ev(3, 0, user="b", cohort="Control"), ev(4, 5, user="b", cohort=None),
+            ev(5, 0, user="c", cohort="Variation"),
+            ev(6, 9, user="c", cohort="Control", version="staging-1")]  # staging cohort ignored
+    users = {r.user_id for r in clean(spark, rows).collect()}
+    assert users == {"b", "c"}
+
+
+def test_zones_trimmed_defaulted_and_deduplicated(spark):
+    lookup = [("US", " America/New_York "), ("XX", None), ("BL", "  "),
+              ("JP", "Asia/Tokyo"), ("JP", "Asia/Tokyo")]
+    rows = [ev(1, 0, user="a", country="US"), ev(2, 0, user="b", country="XX"),
+            ev(3, 0, user="c", country="ZZ"), ev(4, 0, user="d", country="BL"),
+            ev(5, 0, user="e", country="JP")]
+    out = {r.event_id: (r.timezone, r.event_datetime) for r in clean(spark, rows, lookup).collect()}
+    assert len(out) == 5  # no fan-out from the repeated JP row
+    assert out[1] == ("America/New_York", T0 - dt.timedelta(hours=5))
+    assert out[2][0] == out[3][0] == out[4][0] == "UTC"
+    assert out[5] == ("Asia/Tokyo", T0 + dt.timedelta(hours=9))
+
+
+def test_dst_gap_measured_on_utc(spark):
+    # 2024-03-10 06:59 UTC = 01:59 EST, 07:01 UTC = 03:01 EDT: two minutes apart
+    u1 = dt.datetime(2024, 3, 10, 6, 59)
+    rows = [ev(1, 0, country="US", when=u1), ev(2, 0, country="US", when=u1 + dt.timedelta(minutes=2))]
+    out = clean(spark, rows, (("US", "America/New_York"),)).orderBy("event_id").collect()
+    assert [r.session_no for r in out] == [1, 1]
+    assert [r.date_diff_seconds for r in out] == [None, 120]
+    assert out[0].event_datetime.hour == 1 and out[1].event_datetime.hour == 3
+
+
+def test_multi_country_sessions_dropped_null_country_kept(spark):
+    rows = [ev(1, 0, user="a", country="PT"), ev(2, 60, user="a", country="ES"),
+            ev(3, 9000, user="a", country="PT"),
+            ev(4, 0, user="b", country="PT"), ev(5, 60, user="b", country=None)]
+    out = sorted(r.event_id for r in clean(spark, rows, (("PT", "Europe/Lisbon"), ("ES", "Europe/Madrid"))).collect())
+    assert out == [3, 4, 5]
+
+
+def test_equal_times_share_session_and_tiebreak_by_event_id(spark):
+    rows = [ev(1, 0), ev(7, 5000, name="view_item"), ev(6, 5000, name="purchase")]
+    out = clean(spark, rows).orderBy("event_id").collect()
+    assert [r.session_no for r in out] == [1, 2, 2]
+    gaps = {r.event_id: r.date_diff_seconds for r in out}
+    assert gaps == {1: None, 6: 5000, 7: 0}
+
+
+def test_session_id_separator(spark):
+    # without a separator user "u1" session 11 and user "u11" session 1 share a key
+    a = cleaning.session_id(sep="")
+    b = cleaning.session_id()
+    df = spark.createDataFrame([("u1", 11), ("u11", 1)], "user_id string, session_no long")
+    r = df.select(a.alias("a"), b.alias("b")).collect()
+    assert r[0].a == r[1].a and r[0].b != r[1].b
+
+
+def test_null_user_has_no_session_id(spark):
+    rows = [ev(1, 0, user=None), ev(2, 10, user=None)]
+    out = clean(spark, rows).collect()
+    assert len(out) == 2 and all(r.session_id is None for r in out)
+
+
+def test_cross_midnight_session_dates(spark):
+    from cohortlens.operators import funnel
+
+    start = dt.datetime(2024, 1, 1, 23, 50)
+    rows = [ev(1, 0, when=start), ev(2, 0, when=start + dt.timedelta(minutes=20))]
+    sf = funnel.build_session_funnel(clean(spark, rows, (("PT", "UTC"),))).collect()
+    assert len(sf) == 1
+    assert (sf[0].session_start_date, sf[0].session_end_date) == (dt.date(2024, 1, 1), dt.date(2024, 1, 2))
+    assert sf[0].session_duration_seconds == 1200
+
+
+def test_reconcile_counts(spark):
+    raw = raw_df(spark, [ev(1, 0), ev(2, 0, user="b", version=None)])
+    out = {r.table_name: (r.total_users, r.rows_) for r in
+           cleaning.reconcile({"raw": raw, "clean": cleaning.build_base(raw)}).collect()}
+    assert out == {"raw": (2, 2), "clean": (1, 1)}

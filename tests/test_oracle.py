@@ -1,0 +1,40 @@
+"""Every registered query against its DuckDB oracle (row count, columns, value hash)."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as E
+from conftest import SF_SMALL
+from helpers import digest
+
+QUERIES = E.queries()
+ORACLE = E.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in ("events", "nation"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF_SMALL}/{t}.parquet')")
+    return con
+
+
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_oracle(spark, duck, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    srows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(ORACLE[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert digest(df.columns, srows) == digest(rel.columns, rel.fetchall())
+
+
+def test_entry_runs(spark):
+    df = E.entry(spark)
+    assert df.columns[:2] == ["step_id", "step"]
+    assert df.count() > 0

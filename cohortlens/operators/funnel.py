@@ -32,6 +32,15 @@ def build_sessions(clean: DataFrame, sep: str = P.SEQ_SEPARATOR) -> DataFrame:
         seq.alias("session_seq"))
 
 
+def build_session_starts(clean: DataFrame) -> DataFrame:
+    """R2a (step 1): every session with a session id: events, start/end date, duration."""
+    return clean.filter(F.col("session_id").isNotNull()).groupBy(*SESSION_KEY).agg(
+        F.count(F.lit(1)).alias("event_count"),
+        F.min("event_date").alias("session_start_date"),
+        F.max("event_date").alias("session_end_date"),
+        seconds_between(F.min("event_ts"), F.max("event_ts")).alias("session_duration_seconds"))
+
+
 def ghost_flags(steps: Sequence[P.FunnelStep] = P.FUNNEL_STEPS) -> list[Column]:
     """Per step 1 = seen, 2 = not seen but a later step was, 0 = neither; last step 0/1.
 

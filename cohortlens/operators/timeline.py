@@ -75,10 +75,14 @@ def add_slices(df: DataFrame, user: str = "user_id", ts: str = "event_ts",
 def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
              tiebreak: Sequence[str] = ("event_id",), gap_seconds: int = P.SESSION_GAP_SECONDS,
              carry: Sequence[str] = (), single_valued: Sequence[str] = (),
-             user_single_valued: Sequence[str] = (), rows_per_slice: int = P.ROWS_PER_SLICE,
+             user_single_valued: Sequence[str] = (), gap_col: str | None = None,
+             rows_per_slice: int = P.ROWS_PER_SLICE,
              max_hot_users: int = P.MAX_HOT_USERS) -> DataFrame:
     """Per-user sequence columns, ordered by (ts, *tiebreak).
 
+    Gaps are measured on ``gap_col`` (default ``ts``) between consecutive events in that order;
+    e.g. local wall-clock times, which can run backwards across zones or DST.
+
     Adds:
       ``prev_ts``            previous event time of the user, null for the first event
       ``date_diff_seconds``  second boundaries from ``prev_ts`` to ``ts`` (long)
@@ -95,7 +99,8 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
     only the plain pass is planned. Keeps ``_uk``, ``_hot`` and ``_slice``.
     """
     kw = dict(ts=ts, tiebreak=tiebreak, gap_seconds=gap_seconds, carry=carry,
-              single_valued=single_valued, user_single_valued=user_single_valued)
+              single_valued=single_valued, user_single_valued=user_single_valued,
+              gap_col=gap_col or ts)
     if SLICE not in df.columns:
         df = df.withColumn(UKEY, _ukey(user))
         hot = hot_users(df, ts, rows_per_slice, max_hot_users)
@@ -116,11 +121,12 @@ def _windows(ts: str, tiebreak: Sequence[str]):
 
 
 def _sequence_plain(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_valued,
-                    user_single_valued) -> DataFrame:
+                    user_single_valued, gap_col) -> DataFrame:
     """Users in one slice: every result is a window over the user, in one pass."""
     part, _, w_row, w_rng = _windows(ts, tiebreak)
     prev = F.lag(ts).over(w_row)
-    cols = {"prev_ts": prev, "date_diff_seconds": seconds_between(prev, ts)}
+    prev_g = prev if gap_col == ts else F.lag(gap_col).over(w_row)
+    cols = {"prev_ts": prev, "date_diff_seconds": seconds_between(prev_g, gap_col)}
     cols.update({f"prev_{c}": F.lag(c).over(w_row) for c in carry})
     x = df.withColumns(cols)
     starts = F.col("date_diff_seconds").isNull() | (F.col("date_diff_seconds") > F.lit(gap_seconds))
@@ -135,11 +141,12 @@ def _sequence_plain(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_v
 
 
 def _sequence_sliced(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_valued,
-                     user_single_valued) -> DataFrame:
+                     user_single_valued, gap_col) -> DataFrame:
     """Split users: windows per (user, slice), then a per-slice summary stitches the slices."""
     part, order, w_row, w_rng = _windows(ts, tiebreak)
     prev = F.lag(ts).over(w_row)
-    cols = {"_prev_ts_in": prev, "_gap_in": seconds_between(prev, ts)}
+    prev_g = F.lag(gap_col).over(w_row)
+    cols = {"_prev_ts_in": prev, "_prev_g_in": prev_g, "_gap_in": seconds_between(prev_g, gap_col)}
     cols.update({f"_prev_in_{c}": F.lag(c).over(w_row) for c in carry})
     x = df.withColumns(cols)
     x = x.withColumn("_local", F.count_if(F.col("_gap_in") > F.lit(gap_seconds)).over(w_rng))
@@ -153,8 +160,8 @@ def _sequence_sliced(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_
 
     # per-slice summary, on the same partitioning as x (no exchange)
     last = F.struct(*order)
-    aggs = [F.min(ts).alias("_first_ts"), F.max(ts).alias("_last_ts"),
-            F.max("_local").alias("_n_start")]
+    aggs = [F.max(ts).alias("_last_ts"), F.min_by(F.col(gap_col), last).alias("_first_g"),
+            F.max_by(F.col(gap_col), last).alias("_last_g"), F.max("_local").alias("_n_start")]
     aggs += [F.max_by(F.col(c), last).alias(f"_last_{c}") for c in carry]
     head = F.col("_local") == F.lit(0)
     for v in single_valued:
@@ -169,20 +176,21 @@ def _sequence_sliced(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_
     # stitch: windows over the summary, per user
     wu = Window.partitionBy(UKEY).orderBy(SLICE)
     w_user = Window.partitionBy(UKEY)
-    cols = {"_prev_last_ts": F.lag("_last_ts").over(wu)}
+    cols = {"_prev_last_ts": F.lag("_last_ts").over(wu), "_prev_last_g": F.lag("_last_g").over(wu)}
     cols.update({f"_prev_last_{c}": F.lag(f"_last_{c}").over(wu) for c in carry})
     cols.update({f"_umx_{u}": F.coalesce(F.max(f"_uhi_{u}").over(w_user)
                                          > F.min(f"_ulo_{u}").over(w_user), F.lit(False))
                  for u in user_single_valued})
     st = st.withColumns(cols)
     first_start = (F.col("_prev_last_ts").isNull()
-                   | (seconds_between("_prev_last_ts", "_first_ts") > F.lit(gap_seconds)))
+                   | (seconds_between("_prev_last_g", "_first_g") > F.lit(gap_seconds)))
     st = st.withColumn("_fs", first_start.cast("long"))
     before = F.sum(F.col("_fs") + F.col("_n_start")).over(
         wu.rowsBetween(Window.unboundedPreceding, -1))
     st = st.withColumn("_base", F.coalesce(before, F.lit(0)) + F.col("_fs"))
 
-    keep = ["_prev_last_ts", "_base", "_n_start"] + [f"_prev_last_{c}" for c in carry]
+    keep = ["_prev_last_ts", "_prev_last_g", "_base", "_n_start"]
+    keep += [f"_prev_last_{c}" for c in carry]
     keep += [f"_umx_{u}" for u in user_single_valued]
     if single_valued:
         # a session crossing slice borders = the tail piece of one slice + head pieces of the
@@ -211,7 +219,8 @@ def _sequence_sliced(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_
     y = x.join(F.broadcast(st), on=part, how="inner")
     inside = F.col("_prev_ts_in").isNotNull()
     prev_ts = F.when(inside, F.col("_prev_ts_in")).otherwise(F.col("_prev_last_ts"))
-    cols = {"prev_ts": prev_ts, "date_diff_seconds": seconds_between(prev_ts, ts),
+    prev_g = F.when(inside, F.col("_prev_g_in")).otherwise(F.col("_prev_last_g"))
+    cols = {"prev_ts": prev_ts, "date_diff_seconds": seconds_between(prev_g, gap_col),
             "session_no": (F.col("_base") + F.col("_local")).cast("long")}
     cols.update({f"prev_{c}": F.when(inside, F.col(f"_prev_in_{c}"))
                  .otherwise(F.col(f"_prev_last_{c}")) for c in carry})
@@ -222,7 +231,8 @@ def _sequence_sliced(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_
                               .otherwise(local_mixed))
     cols.update({f"{u}_user_mixed": F.col(f"_umx_{u}") for u in user_single_valued})
     y = y.withColumns(cols)
-    helpers = ["_prev_ts_in", "_gap_in", "_local", "_prev_last_ts", "_base", "_n_start"]
+    helpers = ["_prev_ts_in", "_prev_g_in", "_gap_in", "_local", "_prev_last_ts", "_prev_last_g",
+               "_base", "_n_start"]
     helpers += [f"_prev_in_{c}" for c in carry] + [f"_prev_last_{c}" for c in carry]
     helpers += [f"_umx_{u}" for u in user_single_valued]
     for v in single_valued:

@@ -24,6 +24,7 @@ class Pipeline:
     lookup: DataFrame
     gap_seconds: int = P.SESSION_GAP_SECONDS
     sep: str = "#"
+    gap_basis: str = "utc"
     experiment: str = P.EXPERIMENT
     test_name: str = P.TEST_NAME
     alpha: float = P.ALPHA
@@ -46,6 +47,7 @@ class Pipeline:
     def clean_events(self) -> DataFrame:
         return cleaning.build_clean_events(self.raw, self.lookup, gap_seconds=self.gap_seconds,
                                            sep=self.sep, materialize=self.materialize,
+                                           gap_basis=self.gap_basis,
                                            **self.slice_opts)
 
     @cached_property

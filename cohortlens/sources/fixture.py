@@ -96,21 +96,18 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when((uid % 10 == 7) & (k >= 90), F.lit("Control"))
          .otherwise(F.lit("Variation")).alias("cohort"),
     )
+    # copy kind: 0 = the event, 1 = exact duplicate, 2 = same-instant echo. Only the kind is
+    # exploded, so columns a query does not use still prune down to the scan.
     eid = F.col("event_id")
+    kinds = F.array(F.lit(0), F.when(eid % 50 == 0, F.lit(1)), F.when(eid % 25 == 1, F.lit(2)))
+    x = d.select("*", F.explode(F.filter(kinds, lambda c: c.isNotNull())).alias("_kind"))
+    echo = F.col("_kind") == F.lit(2)
     none = F.lit(None).cast("string")
-    # (event_id, event_name, action, page_type) of each emitted copy
-    copies = F.array(
-        F.struct(eid.alias("i"), F.col("event_name").alias("n"), F.col("action").alias("a"),
-                 F.col("page_type").alias("p")),
-        F.when(eid % 50 == 0, F.struct(eid.alias("i"), F.col("event_name").alias("n"),
-                                       F.col("action").alias("a"), F.col("page_type").alias("p"))),
-        F.when(eid % 25 == 1, F.struct((eid + F.lit(1_000_000_000)).alias("i"),
-                                       F.lit("Homepage_Viewed").alias("n"), none.alias("a"),
-                                       none.alias("p"))))
-    x = d.select("*", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("_c"))
     return x.select(
-        F.col("_c.i").alias("event_id"), "event_date", F.col("_c.n").alias("event_name"),
-        F.col("_c.a").alias("action"), F.col("_c.p").alias("page_type"), "event_datetime",
+        F.when(echo, eid + F.lit(1_000_000_000)).otherwise(eid).alias("event_id"), "event_date",
+        F.when(echo, F.lit("Homepage_Viewed")).otherwise(F.col("event_name")).alias("event_name"),
+        F.when(echo, none).otherwise(F.col("action")).alias("action"),
+        F.when(echo, none).otherwise(F.col("page_type")).alias("page_type"), "event_datetime",
         "platform", "user_id", "login_status", "app_language", "release_version", "ip_country",
         "cohort")
 

@@ -91,3 +91,28 @@ def test_hot_users_bounded(spark):
     hot = s.filter(F.col("_hot"))
     assert {r.user_id for r in hot.select("user_id").distinct().collect()} == {"hot"}
     assert hot.select("_slice").distinct().count() == 6  # 300 rows / 50 per slice
+
+
+def test_clean_chain_with_a_hot_user(spark):
+    """A third of all events belong to one user: that user is split, the result is unchanged."""
+    from conftest import SF_MID
+    from cohortlens.operators import cleaning
+    from cohortlens.sources import fixture
+
+    raw = fixture.raw_events(spark, SF_MID)
+    raw = raw.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit("u_hot"))
+                         .otherwise(F.col("user_id")))
+    is_hot = F.col("user_id") == "u_hot"
+    raw = raw.withColumns({"cohort": F.when(is_hot, F.lit("Variation")).otherwise(F.col("cohort")),
+                           "ip_country": F.when(is_hot, F.lit("NATION_1"))
+                           .otherwise(F.col("ip_country"))})
+    lk = fixture.country_timezone(spark, SF_MID)
+    hot = TL.hot_users(raw.withColumn(TL.UKEY, TL._ukey("user_id")), "event_datetime",
+                       rows_per_slice=400, max_hot_users=10**9)
+    assert hot.count() == 1
+    cols = cleaning.CLEAN_COLUMNS + cleaning.INTERNAL_COLUMNS
+    split = cleaning.build_clean_events(raw, lk, rows_per_slice=400, max_hot_users=10**9,
+                                        materialize=False).select(*cols)
+    whole = cleaning.build_clean_events(raw, lk, materialize=False).select(*cols)
+    assert split.filter(F.col("user_id") == "u_hot").count() > 1000
+    assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0

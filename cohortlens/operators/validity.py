@@ -18,16 +18,21 @@ def cohort_balance(base: DataFrame, dim: str, control: str = P.CONTROL) -> DataF
     (percent, rounded to 2) and the difference of the rounded shares; largest gaps first.
 
     Totals are exact distinct counts over the whole table (a user can fall under several
-    values), computed as scalar subqueries. "Variation" is ``cohort != control``, so null
+    values), computed in one scalar subquery. "Variation" is ``cohort != control``, so null
     cohorts count in neither.
     """
     is_c = F.col("cohort") == F.lit(control)
     is_v = F.col("cohort") != F.lit(control)
-    tot_c = base.select(F.count_distinct(F.when(is_c, F.col("user_id")))).scalar()
-    tot_v = base.select(F.count_distinct(F.when(is_v, F.col("user_id")))).scalar()
+    # both totals in one scalar subquery (one pass over the table)
+    tot = base.select(F.struct(
+        F.count_distinct(F.when(is_c, F.col("user_id"))).alias("c"),
+        F.count_distinct(F.when(is_v, F.col("user_id"))).alias("v"))).scalar()
     g = base.groupBy(dim).agg(
         F.count_distinct(F.when(is_c, F.col("user_id"))).alias("control_users"),
         F.count_distinct(F.when(is_v, F.col("user_id"))).alias("variation_users"))
+    # the subquery result is attached once as a column and referenced by name below
+    g = g.withColumn("_tot", tot)
+    tot_c, tot_v = F.col("_tot.c"), F.col("_tot.v")
     c_perc = F.round(F.try_divide(F.lit(100.0) * F.col("control_users"), tot_c), 2)
     v_perc = F.round(F.try_divide(F.lit(100.0) * F.col("variation_users"), tot_v), 2)
     out = g.select(

@@ -38,3 +38,17 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns[:2] == ["step_id", "step"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["clean_events", "sessions", "funnel_report",
+                                  "significance_results", "dq_session_trace"])
+def test_independent_of_session_time_zone(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = QUERIES[name](spark, SF_SMALL)
+        srows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    rel = duck.sql(ORACLE[name])
+    assert digest(df.columns, srows) == digest(rel.columns, rel.fetchall())

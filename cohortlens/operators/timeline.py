@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import params as P
 from cohortlens.functions.columns import epoch_micros, seconds_between
+from cohortlens.sources import sinks
 
 SLICE = "_slice"
 UKEY = "_uk"  # struct(user): a non-null key under which null users still form one group
@@ -103,7 +104,9 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
               gap_col=gap_col or ts)
     if SLICE not in df.columns:
         df = df.withColumn(UKEY, _ukey(user))
-        hot = hot_users(df, ts, rows_per_slice, max_hot_users)
+        # one pass over the profile; the (bounded) hot table is written once, so the
+        # emptiness check and the broadcast below read it instead of re-aggregating
+        hot = sinks.materialize(hot_users(df, ts, rows_per_slice, max_hot_users), "hot_users")
         if hot.isEmpty():
             return _sequence_plain(df.withColumns({HOT: F.lit(False), SLICE: F.lit(0).cast("long")}),
                                    **kw)

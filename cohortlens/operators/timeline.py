@@ -217,9 +217,11 @@ def _sequence_sliced(df: DataFrame, *, ts, tiebreak, gap_seconds, carry, single_
     else:
         st = st.select(*part, *keep)
 
-    # join back on (user, slice). One summary row per slice of a split user: at most
-    # total / rows_per_slice + max_hot_users rows, so it is broadcast.
-    y = x.join(F.broadcast(st), on=part, how="inner")
+    # join back on (user, slice). One summary row per slice of a split user (at most
+    # total / rows_per_slice + max_hot_users rows). No hint: the planner / AQE broadcast it
+    # under the size threshold; otherwise a sort-merge join shuffles only the summary, since
+    # the event side is already partitioned on (user, slice).
+    y = x.join(st, on=part, how="inner")
     inside = F.col("_prev_ts_in").isNotNull()
     prev_ts = F.when(inside, F.col("_prev_ts_in")).otherwise(F.col("_prev_last_ts"))
     prev_g = F.when(inside, F.col("_prev_g_in")).otherwise(F.col("_prev_last_g"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import params as P
-from cohortlens.functions.columns import local_time, zone_or_default
+from cohortlens.functions.columns import event_label, local_time, zone_or_default
 from cohortlens.operators import timeline as TL
 from cohortlens.sources import sinks
 
@@ -132,8 +132,6 @@ def session_trace(base: DataFrame, lookup: DataFrame, *,
 
     ``select distinct`` as in the profiling query; ordering by (UTC time, event_id).
     """
-    from cohortlens.functions.columns import event_label
-
     x = localize(base, lookup).withColumn("event", event_label())
     x = TL.sequence(x, user="user_id", ts="event_ts", tiebreak=("event_id",),
                     gap_seconds=gap_seconds, carry=("event", "event_datetime"))

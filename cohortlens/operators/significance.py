@@ -22,12 +22,16 @@ def test_input(session_funnel: DataFrame) -> DataFrame:
     """Sessions that reached search activation; steps 4 and 5 recoded to 0/1 (implied
     steps count as conversions), step 6 as is."""
     x = session_funnel.filter(F.col("step_2_flg") > 0)
-    as01 = lambda c: F.when(F.col(c) > 0, F.lit(1)).otherwise(F.lit(0)).alias(c)
     return x.select(F.col("cohort").alias("variant"), "user_id", "session_id", "step_3_flg",
-                    "event_count_Search_Sub", as01("step_4_flg"), as01("step_5_flg"),
+                    "event_count_Search_Sub", _reached("step_4_flg"), _reached("step_5_flg"),
                     "step_6_flg")
 
 
+def _reached(flag: str) -> Column:
+    """1 when the step was seen or implied by a later one (flag 1 or 2), else 0."""
+    return F.when(F.col(flag) > 0, F.lit(1)).otherwise(F.lit(0)).alias(flag)
+
+
 def conversion_summary(ti: DataFrame, metrics: Sequence[str] = P.CONVERSION_METRICS) -> DataFrame:
     """Per metric × variant: conversions (sum), total_sessions (non-null count), value.
 

@@ -48,8 +48,8 @@ def hot_users(df: DataFrame, ts: str, rows_per_slice: int = P.ROWS_PER_SLICE,
     us = epoch_micros(ts)
     prof = df.groupBy(UKEY).agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_t0"),
                                 F.max(us).alias("_t1"))
-    # total rows from the (one row per user) profile: the input is not scanned again
-    total = prof.select(F.sum("_n")).scalar()
+    # total rows: a count that reads no columns (row-group metadata of the Parquet input)
+    total = df.select(F.count(F.lit(1))).scalar()
     threshold = F.greatest(F.lit(float(rows_per_slice)), total / F.lit(float(max_hot_users)))
     n_slices = F.ceil(F.col("_n") / F.lit(rows_per_slice))
     return prof.filter(F.col("_n") > threshold).select(

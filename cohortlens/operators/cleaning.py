@@ -100,7 +100,7 @@ def build_clean_events(raw: DataFrame, lookup: DataFrame, *,
                        rows_per_slice: int = P.ROWS_PER_SLICE,
                        max_hot_users: int = P.MAX_HOT_USERS,
                        internal: bool = True, materialize: bool = True,
-                       gap_basis: str = "utc") -> DataFrame:
+                       gap_basis: str = "utc", slicing: str = "rank") -> DataFrame:
     """CL8: CL1–CL7 in order, skew-safe.
 
     Exchanges of event rows: the dedupe grouping (after map-side combine), written once as a
@@ -119,7 +119,7 @@ def build_clean_events(raw: DataFrame, lookup: DataFrame, *,
     x = TL.sequence(x, user="user_id", ts="event_ts", tiebreak=("event_id",),
                     gap_seconds=gap_seconds, single_valued=("ip_country",),
                     user_single_valued=("cohort",), rows_per_slice=rows_per_slice,
-                    max_hot_users=max_hot_users,
+                    max_hot_users=max_hot_users, slicing=slicing,
                     gap_col="event_datetime" if gap_basis == "local" else None)
     x = x.filter(~F.col("cohort_user_mixed") & ~F.col("ip_country_mixed"))
     cols = [session_id(sep=sep).alias("session_id")] + CLEAN_COLUMNS[1:]

@@ -53,7 +53,7 @@ def hot_users(df: DataFrame, ts: str, rows_per_slice: int = P.ROWS_PER_SLICE,
     threshold = F.greatest(F.lit(float(rows_per_slice)), total / F.lit(float(max_hot_users)))
     n_slices = F.ceil(F.col("_n") / F.lit(rows_per_slice))
     return prof.filter(F.col("_n") > threshold).select(
-        F.col(UKEY).alias("_hot_uk"), "_t0",
+        F.col(UKEY).alias("_hot_uk"), "_n", "_t0",
         (F.floor((F.col("_t1") - F.col("_t0")) / n_slices) + F.lit(1)).alias("_w"))
 
 
@@ -65,7 +65,8 @@ def add_slices(df: DataFrame, user: str = "user_id", ts: str = "event_ts",
         df = df.withColumn(UKEY, _ukey(user))
     if hot is None:
         hot = hot_users(df, ts, rows_per_slice, max_hot_users)
-    j = df.join(F.broadcast(hot), F.col(UKEY) == F.col("_hot_uk"), "left")
+    j = df.join(F.broadcast(hot.select("_hot_uk", "_t0", "_w")), F.col(UKEY) == F.col("_hot_uk"),
+                "left")
     us = epoch_micros(ts)
     return j.withColumns({
         HOT: F.col("_hot_uk").isNotNull(),
@@ -73,12 +74,33 @@ def add_slices(df: DataFrame, user: str = "user_id", ts: str = "event_ts",
     }).drop("_hot_uk", "_t0", "_w")
 
 
+def rank_slices(df: DataFrame, ts: str, tiebreak: Sequence[str], hot: DataFrame,
+                rows_per_slice: int = P.ROWS_PER_SLICE) -> tuple[DataFrame, DataFrame]:
+    """Equi-depth slices for hot users: (ordinary rows, hot rows with ``_slice``).
+
+    Hot rows are range-partitioned on (user, time, *tiebreak) into about
+    ``rows_per_slice``-row partitions; the partition number is the slice, increasing along
+    each user's timeline. Bursts and same-instant tie groups are split too. The hot rows are
+    written once with their slice, so every consumer sees the same assignment.
+    """
+    keys = F.broadcast(hot.select("_hot_uk"))
+    on = F.col(UKEY) == F.col("_hot_uk")
+    plain = df.join(keys, on, "left_anti").withColumns(
+        {HOT: F.lit(False), SLICE: F.lit(0).cast("long")})
+    n_hot = hot.agg(F.sum("_n")).first()[0] or 0
+    parts = max(1, -(-n_hot // rows_per_slice))
+    hot_rows = (df.join(keys, on, "left_semi")
+                .repartitionByRange(parts, F.col(UKEY), F.col(ts), *[F.col(c) for c in tiebreak])
+                .withColumns({HOT: F.lit(True), SLICE: F.spark_partition_id().cast("long")}))
+    return plain, sinks.materialize(hot_rows, "hot_rows")
+
+
 def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
              tiebreak: Sequence[str] = ("event_id",), gap_seconds: int = P.SESSION_GAP_SECONDS,
              carry: Sequence[str] = (), single_valued: Sequence[str] = (),
              user_single_valued: Sequence[str] = (), gap_col: str | None = None,
              rows_per_slice: int = P.ROWS_PER_SLICE,
-             max_hot_users: int = P.MAX_HOT_USERS) -> DataFrame:
+             max_hot_users: int = P.MAX_HOT_USERS, slicing: str = "rank") -> DataFrame:
     """Per-user sequence columns, ordered by (ts, *tiebreak).
 
     Gaps are measured on ``gap_col`` (default ``ts``) between consecutive events in that order;
@@ -97,8 +119,13 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
                              whole history
     Ordinary users take one windowed pass; only split ("hot") users go through the stitching
     of time slices. When no user is hot (checked with a one-row job on the per-user profile)
-    only the plain pass is planned. Keeps ``_uk``, ``_hot`` and ``_slice``.
+    only the plain pass is planned. ``slicing='time'`` cuts a hot user's timeline into
+    equal-width slices (one shuffle of its rows); ``slicing='rank'`` into equi-depth slices
+    by range partitioning (also splits bursts and tie groups; one more shuffle and a write of
+    the hot rows). Keeps ``_uk``, ``_hot`` and ``_slice``.
     """
+    if slicing not in ("time", "rank"):
+        raise ValueError("slicing must be 'time' or 'rank'")
     kw = dict(ts=ts, tiebreak=tiebreak, gap_seconds=gap_seconds, carry=carry,
               single_valued=single_valued, user_single_valued=user_single_valued,
               gap_col=gap_col or ts)
@@ -110,6 +137,9 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
         if hot.isEmpty():
             return _sequence_plain(df.withColumns({HOT: F.lit(False), SLICE: F.lit(0).cast("long")}),
                                    **kw)
+        if slicing == "rank":
+            plain_rows, hot_rows = rank_slices(df, ts, tiebreak, hot, rows_per_slice)
+            return _sequence_plain(plain_rows, **kw).unionByName(_sequence_sliced(hot_rows, **kw))
         df = add_slices(df, user, ts, hot=hot)
     plain = _sequence_plain(df.filter(~F.col(HOT)), **kw)
     sliced = _sequence_sliced(df.filter(F.col(HOT)), **kw)

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 from collections import defaultdict
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -50,8 +51,9 @@ event = st.tuples(
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(event, min_size=1, max_size=40), st.integers(1, 6), st.booleans())
-def test_sequence_matches_brute_force(spark, evs, rows_per_slice, single_cohort):
+@given(st.lists(event, min_size=1, max_size=40), st.integers(1, 6), st.booleans(),
+       st.sampled_from(["time", "rank"]))
+def test_sequence_matches_brute_force(spark, evs, rows_per_slice, single_cohort, slicing):
     rows = []
     for i, (u, s, us, c, coh) in enumerate(evs):
         rows.append((i, u, T0 + dt.timedelta(seconds=s, microseconds=us), c,
@@ -60,7 +62,7 @@ def test_sequence_matches_brute_force(spark, evs, rows_per_slice, single_cohort)
                                      "country string, cohort string")
     got = TL.sequence(df, gap_seconds=GAP, single_valued=("country",),
                       user_single_valued=("cohort",), rows_per_slice=rows_per_slice,
-                      max_hot_users=10**9)
+                      max_hot_users=10**9, slicing=slicing)
     res = {r.event_id: (r.prev_ts, r.date_diff_seconds, r.session_no, r.country_mixed,
                         r.cohort_user_mixed) for r in got.collect()}
     assert res == brute(rows)
@@ -93,7 +95,8 @@ def test_hot_users_bounded(spark):
     assert hot.select("_slice").distinct().count() == 6  # 300 rows / 50 per slice
 
 
-def test_clean_chain_with_a_hot_user(spark):
+@pytest.mark.parametrize("slicing", ["time", "rank"])
+def test_clean_chain_with_a_hot_user(spark, slicing):
     """A third of all events belong to one user: that user is split, the result is unchanged."""
     from conftest import SF_MID
     from cohortlens.operators import cleaning
@@ -112,7 +115,21 @@ def test_clean_chain_with_a_hot_user(spark):
     assert hot.count() == 1
     cols = cleaning.CLEAN_COLUMNS + cleaning.INTERNAL_COLUMNS
     split = cleaning.build_clean_events(raw, lk, rows_per_slice=400, max_hot_users=10**9,
-                                        materialize=False).select(*cols)
+                                        materialize=False, slicing=slicing).select(*cols)
     whole = cleaning.build_clean_events(raw, lk, materialize=False).select(*cols)
     assert split.filter(F.col("user_id") == "u_hot").count() > 1000
     assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
+
+
+def test_rank_slicing_splits_a_tie_group(spark):
+    """400 events of one user at one instant: equi-depth slices split them, results hold."""
+    rows = [(i, "bot", T0, "P", "Control") for i in range(400)]
+    rows += [(1000 + i, "bot", T0 + dt.timedelta(seconds=5000 + i), "E", "Control") for i in range(50)]
+    df = spark.createDataFrame(rows, "event_id long, user_id string, event_ts timestamp_ntz, "
+                                     "country string, cohort string")
+    got = TL.sequence(df, gap_seconds=GAP, single_valued=("country",), user_single_valued=("cohort",),
+                      rows_per_slice=60, max_hot_users=10**9, slicing="rank")
+    res = {r.event_id: (r.prev_ts, r.date_diff_seconds, r.session_no, r.country_mixed,
+                        r.cohort_user_mixed) for r in got.collect()}
+    assert res == brute(rows)
+    assert got.select("_slice").distinct().count() >= 6

@@ -78,11 +78,13 @@ def build_session_funnel(clean: DataFrame,
 
 
 def build_funnel_report(session_funnel: DataFrame, experiment: str = P.EXPERIMENT,
-                        report_steps=P.REPORT_STEPS) -> DataFrame:
+                        report_steps=P.REPORT_STEPS, unique_sessions: bool = False) -> DataFrame:
     """Per step × start date × cohort × country × zone: events, users, sessions, duration.
 
     Each session emits one element per step it reaches (``F.explode``), so the seven-branch
-    union becomes one scan and one grouping.
+    union becomes one scan and one grouping. With ``unique_sessions`` (session ids cannot
+    repeat across users, true for a non-empty key separator) sessions are counted directly,
+    leaving one distinct count (users) and no Expand of the rows before the shuffle.
     """
     elems = []
     for step_id, label, flag, rule, count_col in report_steps:
@@ -103,7 +105,8 @@ def build_funnel_report(session_funnel: DataFrame, experiment: str = P.EXPERIMEN
                       "ip_country", "timezone")
              .agg(F.sum("_s._ev").alias("event_count"),
                   F.count_distinct("user_id").alias("users"),
-                  F.count_distinct("session_id").alias("sessions"),
+                  (F.count(F.lit(1)) if unique_sessions else F.count_distinct("session_id"))
+                  .alias("sessions"),
                   F.sum("session_duration_seconds").alias("total_session_duration")))
 
 

@@ -60,7 +60,9 @@ class Pipeline:
 
     @cached_property
     def funnel_report(self) -> DataFrame:
-        return funnel.build_funnel_report(self.session_funnel, self.experiment)
+        # with a separator in the session key, ids cannot repeat across users
+        return funnel.build_funnel_report(self.session_funnel, self.experiment,
+                                          unique_sessions=bool(self.sep))
 
     @cached_property
     def significance_results(self) -> DataFrame:
@@ -89,7 +91,9 @@ class Pipeline:
         sinks.overwrite(funnel.build_sessions(clean), paths["sessions"])
         sinks.overwrite(funnel.build_session_funnel(clean), paths["session_funnel"])
         sf = spark.read.parquet(paths["session_funnel"])
-        sinks.overwrite(funnel.build_funnel_report(sf, self.experiment), paths["funnel_report"],
+        sinks.overwrite(funnel.build_funnel_report(sf, self.experiment,
+                                                   unique_sessions=bool(self.sep)),
+                        paths["funnel_report"],
                         partition_by=["session_start_date"])
         res = significance.significance(sf, test_name=self.test_name, alpha=self.alpha,
                                         run_date=self.run_date)

@@ -73,3 +73,18 @@ def test_conversion_and_searchers(spark):
     assert conv["Variation"].sessions == 1 and conv["Variation"].results_rate == 0.0
     sps = {r.cohort: (r.searchers, r.events) for r in funnel.searches_per_searcher(sf).collect()}
     assert sps == {"Control": (1, 2), "Variation": (1, 1)}
+
+
+def test_report_session_counts_with_and_without_key_separator(spark):
+    from cohortlens.plans import Pipeline
+    import datetime as dt
+    from helpers import T0
+
+    day = T0.replace(hour=0)
+    rows = [ev(i, 0, user="u1", when=day + dt.timedelta(hours=2 * i)) for i in range(11)]
+    rows.append(ev(100, 0, user="u11", when=day + dt.timedelta(hours=23)))
+    raw, lk = raw_df(spark, rows), lookup_df(spark, (("PT", "UTC"),))
+    for sep, sessions in (("#", 12), ("", 11)):   # 'u1'+'11' == 'u11'+'1' without a separator
+        p = Pipeline(raw, lk, sep=sep, materialize=False)
+        step1 = [r for r in p.funnel_report.collect() if r.step_id == 1]
+        assert len(step1) == 1 and step1[0].users == 2 and step1[0].sessions == sessions

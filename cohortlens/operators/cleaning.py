@@ -22,8 +22,9 @@ CLEAN_COLUMNS = [
     "event_datetime", "timezone", "ip_country", "platform", "login_status", "app_language",
     "release_version", "date_diff_seconds",
 ]
-# kept beside the public columns for deterministic ordering downstream
-INTERNAL_COLUMNS = ["event_id", "event_ts", "session_no"]
+# kept beside the public columns: ordering downstream, and the user key whose partitioning
+# the session groupings reuse
+INTERNAL_COLUMNS = ["event_id", "event_ts", "session_no", "_uk"]
 
 
 def drop_staging(df: DataFrame, col: str = "release_version",

@@ -13,6 +13,15 @@ from cohortlens.functions.columns import event_label, seconds_between
 SESSION_KEY = ["cohort", "user_id", "session_id", "ip_country", "timezone"]
 SESSIONS_KEY = ["cohort", "user_id", "session_id", "app_language", "ip_country",
                 "release_version", "timezone"]
+UKEY = "_uk"
+
+
+def _by_session(clean: DataFrame, key: list[str]):
+    """Group by ``key``, plus the user key when present: it is a function of user_id, so the
+    grouping is unchanged, and the events' partitioning on it (from the sequence windows)
+    satisfies the grouping without another exchange."""
+    extra = [UKEY] if UKEY in clean.columns else []
+    return clean.groupBy(*extra, *key)
 
 
 def build_sessions(clean: DataFrame, sep: str = P.SEQ_SEPARATOR) -> DataFrame:
@@ -23,22 +32,24 @@ def build_sessions(clean: DataFrame, sep: str = P.SEQ_SEPARATOR) -> DataFrame:
     """
     x = clean.withColumn("_label", event_label())
     seq = F.expr(f"listagg(_label, '{sep}') WITHIN GROUP (ORDER BY event_ts, event_id)")
-    return x.groupBy(*SESSIONS_KEY).agg(
+    out = _by_session(x, SESSIONS_KEY).agg(
         F.min("event_date").alias("session_start_date"),
         F.max("event_date").alias("session_end_date"),
         F.min("event_datetime").alias("first_datetime"),
         F.max("event_datetime").alias("last_datetime"),
         seconds_between(F.min("event_ts"), F.max("event_ts")).alias("session_duration_seconds"),
         seq.alias("session_seq"))
+    return out.drop(UKEY)
 
 
 def build_session_starts(clean: DataFrame) -> DataFrame:
     """R2a (step 1): every session with a session id: events, start/end date, duration."""
-    return clean.filter(F.col("session_id").isNotNull()).groupBy(*SESSION_KEY).agg(
+    return _by_session(clean.filter(F.col("session_id").isNotNull()), SESSION_KEY).agg(
         F.count(F.lit(1)).alias("event_count"),
         F.min("event_date").alias("session_start_date"),
         F.max("event_date").alias("session_end_date"),
-        seconds_between(F.min("event_ts"), F.max("event_ts")).alias("session_duration_seconds"))
+        seconds_between(F.min("event_ts"), F.max("event_ts")).alias("session_duration_seconds")
+    ).drop(UKEY)
 
 
 def ghost_flags(steps: Sequence[P.FunnelStep] = P.FUNNEL_STEPS) -> list[Column]:
@@ -68,7 +79,7 @@ def build_session_funnel(clean: DataFrame,
     partial, so a huge session costs one row per map task before the shuffle.
     """
     counts = [F.nullif(F.count_if(s.predicate()), F.lit(0)).alias(s.count_col) for s in steps]
-    g = clean.filter(F.col("session_id").isNotNull()).groupBy(*SESSION_KEY).agg(
+    g = _by_session(clean.filter(F.col("session_id").isNotNull()), SESSION_KEY).agg(
         F.min("event_date").alias("session_start_date"),
         F.max("event_date").alias("session_end_date"),
         seconds_between(F.min("event_ts"), F.max("event_ts")).alias("session_duration_seconds"),

@@ -89,3 +89,11 @@ def test_window_check_detects_global_windows(spark):
 def test_no_unpartitioned_window(pipe):
     for df in (pipe.clean_events, pipe.session_funnel, pipe.funnel_report):
         assert unpartitioned_windows(df) == 0
+
+
+def test_session_funnel_reuses_user_partitioning(pipe):
+    ex = exchanges(plan(pipe.session_funnel))
+    # events: one exchange on the user key; the session grouping adds none (the only other
+    # exchange is the tiny lookup's own grouping)
+    assert sum("_uk" in e for e in ex) == 1
+    assert not any("session_id" in e for e in ex)

@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The analysed pipeline is batch only: every input is a bounded table and no watermark, window
+of time, state or late-data handling appears in it, so there is no streaming operator to
+rebuild. The batch operators are plain DataFrame transformations; they are not wrapped in
+a streaming variant here.
+"""

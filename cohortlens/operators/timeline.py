@@ -1,21 +1,23 @@
 """Per-user event sequences without a per-user task: previous event, gaps, inactivity sessions.
 
 A window partitioned by user alone sends a user's whole history to one task. One user (a bot, a
-load test, a shared device id) may hold a large share of all rows, so:
-
-1. ``add_slices`` counts rows per user (partial aggregation, one row per user). Users above
-   ``rows_per_slice`` rows are "hot"; their timeline is cut into equal-width time slices of
-   about ``rows_per_slice`` rows. The hot-user table is broadcast; it has fewer than
-   ``max_hot_users`` rows by construction (a user is hot only if it holds more than
-   total / max_hot_users rows). Ordinary users get slice 0, i.e. one slice each.
-2. Every window runs per (user, slice): lag, in-slice gaps, in-slice session counter, and the
-   value range of each session piece.
-3. A per-slice summary (one row per slice, computed on the same partitioning, no shuffle) is
-   windowed per user to stitch slices: the previous event across a border, session-number
-   offsets, and the value range of sessions that straddle a border.
-4. The summary is joined back on (user, slice); the event side keeps its partitioning.
-
-The results equal a plain ``Window.partitionBy(user).orderBy(ts, tiebreak)`` computation.
+load test, a shared device id) may hold a large share of all rows, so ``sequence``:
+
+1. profiles rows per user (partial aggregation, one row per user) and keeps the users above
+   max(rows_per_slice, total / max_hot_users) rows as "hot". That table has fewer than
+   ``max_hot_users`` rows by construction, so it may be broadcast. If it is empty (the usual
+   case) only step 2 is planned.
+2. ordinary users: one exchange on the user key; lag, gaps, the running session count and the
+   per-session / per-user value checks are windows over the user in one pass.
+3. hot users: their rows are cut into slices of about ``rows_per_slice`` rows, equi-depth by
+   range partitioning on (user, time, tiebreak) (default) or equal-width in time; every
+   window runs per (user, slice). A per-slice summary, computed on the same partitioning, is
+   windowed per user to stitch the slices: the previous event across a border, session
+   number offsets, and the value range of sessions that straddle borders. The summary is
+   joined back on (user, slice), where the event side is already partitioned.
+
+The results equal a plain ``Window.partitionBy(user).orderBy(ts, *tiebreak)`` computation
+(checked against a brute-force scan in the tests).
 """
 
 from __future__ import annotations

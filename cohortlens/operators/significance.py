@@ -87,23 +87,27 @@ def welch_ttest(totals: DataFrame, metric: str = "event_count_Search_Sub",
                 a: str = P.VARIATION, b: str = P.CONTROL) -> DataFrame:
     """Welch's unequal-variance t test on user totals, t = (mean_a − mean_b) / SE.
 
-    The sign is opposite to the z test's (Variation first here). One row per variant with
-    sample size (users), value (mean per user), statistic and Welch–Satterthwaite dof.
+    The sign is opposite to the z test's (Variation first here). One global aggregation
+    (partial per task) yields both variants' count, mean and sample variance in one row;
+    the statistic and the Welch–Satterthwaite dof are computed on it and the row is then
+    split into one row per variant (sample size = users, value = mean per user).
     """
-    g = (totals.filter(F.col("variant").isin(a, b)).groupBy("variant")
-         .agg(F.count(F.lit(1)).alias("n"), F.avg("total").alias("mean"),
-              F.var_samp("total").alias("var"))
-         .withColumn("metric", F.lit(metric)))
-    w = Window.partitionBy("metric")
-    is_a = F.col("variant") == F.lit(a)
-    na, nb = _pair("n", is_a, w)
-    ma, mb = _pair("mean", is_a, w)
-    sa, sb = _pair("var", is_a, w)
-    va, vb = sa / na, sb / nb
-    stat = F.try_divide(ma - mb, F.nullif(F.sqrt(va + vb), F.lit(0.0)))
-    dof = F.try_divide((va + vb) * (va + vb), va * va / (na - 1) + vb * vb / (nb - 1))
-    return g.select("metric", "variant", F.col("n").alias("sample_size"),
-                    F.col("mean").alias("value"), stat.alias("statistic"), dof.alias("dof"))
+    def stats(v: str, tag: str) -> list[Column]:
+        x = F.when(F.col("variant") == F.lit(v), F.col("total"))
+        return [F.count(x).alias(f"n{tag}"), F.avg(x).alias(f"m{tag}"),
+                F.var_samp(x).alias(f"s{tag}")]
+
+    g = totals.agg(*stats(a, "a"), *stats(b, "b"))
+    va, vb = F.col("sa") / F.col("na"), F.col("sb") / F.col("nb")
+    stat = F.try_divide(F.col("ma") - F.col("mb"), F.nullif(F.sqrt(va + vb), F.lit(0.0)))
+    dof = F.try_divide((va + vb) * (va + vb),
+                       va * va / (F.col("na") - 1) + vb * vb / (F.col("nb") - 1))
+    rows = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"n{t}").alias("sample_size"),
+                              F.col(f"m{t}").alias("value")) for v, t in ((a, "a"), (b, "b"))])
+    x = g.select(stat.alias("statistic"), dof.alias("dof"), F.explode(rows).alias("_v"))
+    return x.filter(F.col("_v.sample_size") > 0).select(
+        F.lit(metric).alias("metric"), "_v.variant", "_v.sample_size", "_v.value",
+        "statistic", "dof")
 
 
 def _finish(rows: DataFrame, test_name: str, alpha: float, run_date) -> DataFrame:

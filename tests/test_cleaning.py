@@ -122,3 +122,12 @@ def test_reconcile_counts(spark):
     out = {r.table_name: (r.total_users, r.rows_) for r in
            cleaning.reconcile({"raw": raw, "clean": cleaning.build_base(raw)}).collect()}
     assert out == {"raw": (2, 2), "clean": (1, 1)}
+
+
+def test_dedup_is_idempotent(spark):
+    from conftest import SF_SMALL
+    from cohortlens.sources import fixture
+
+    once = cleaning.dedup_exact(cleaning.drop_staging(fixture.raw_events(spark, SF_SMALL)))
+    twice = cleaning.dedup_exact(once)
+    assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0

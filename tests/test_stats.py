@@ -77,3 +77,32 @@ def test_chi_square_cross_check(spark):
     chi2 = sum((obs[i][j] - [n1, n2][i] * cols[j] / tot) ** 2 / ([n1, n2][i] * cols[j] / tot)
                for i in range(2) for j in range(2))
     assert z * z == pytest.approx(chi2)
+
+
+def test_ztest_matches_spark_ml_chi_square(spark):
+    """z² of the pooled test equals Pearson's χ² from pyspark.ml on the same 2×2 table."""
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.stat import ChiSquareTest
+
+    x1, n1, x2, n2 = 45, 178, 124, 467
+    rows = ([(0.0, Vectors.dense([0.0]))] * x1 + [(1.0, Vectors.dense([0.0]))] * (n1 - x1)
+            + [(0.0, Vectors.dense([1.0]))] * x2 + [(1.0, Vectors.dense([1.0]))] * (n2 - x2))
+    chi = ChiSquareTest.test(spark.createDataFrame(rows, ["label", "features"]),
+                             "features", "label").first()
+    summ = spark.createDataFrame([("m", "Control", x1, n1), ("m", "Variation", x2, n2)],
+                                 "metric string, variant string, conversions long, total_sessions long")
+    z = SG.proportion_ztest(summ).first().statistic
+    assert z * z == pytest.approx(chi.statistics[0], rel=1e-9)
+    assert S.normal_two_sided_p(z) == pytest.approx(chi.pValues[0], abs=1e-9)
+
+
+def test_swapping_variants_flips_sign_keeps_p(spark):
+    a, b = [1, 5, 2, 8, 3], [4, 4, 6, 9]
+    rows = [("Variation", f"a{i}", x) for i, x in enumerate(a)] + \
+           [("Control", f"b{i}", x) for i, x in enumerate(b)]
+    tot = spark.createDataFrame(rows, "variant string, user_id string, total long")
+    t1 = SG.welch_ttest(tot).first()
+    t2 = SG.welch_ttest(tot, a="Control", b="Variation").first()
+    assert t1.statistic == pytest.approx(-t2.statistic) and t1.dof == pytest.approx(t2.dof)
+    assert S.student_two_sided_p(t1.statistic, t1.dof) == pytest.approx(
+        S.student_two_sided_p(t2.statistic, t2.dof))

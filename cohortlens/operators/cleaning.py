@@ -100,27 +100,30 @@ def build_clean_events(raw: DataFrame, lookup: DataFrame, *,
                        gap_seconds: int = P.SESSION_GAP_SECONDS, sep: str = "#",
                        rows_per_slice: int = P.ROWS_PER_SLICE,
                        max_hot_users: int = P.MAX_HOT_USERS,
-                       internal: bool = True, materialize: bool = True,
-                       gap_basis: str = "utc", slicing: str = "rank") -> DataFrame:
+                       internal: bool = True, gap_basis: str = "utc",
+                       slicing: str = "rank") -> DataFrame:
     """CL8: CL1–CL7 in order, skew-safe.
 
-    Exchanges of event rows: the dedupe grouping (after map-side combine), written once as a
-    table read by the per-user profile that finds hot users and by the main path, and the
-    (user, time slice) partitioning of the sequence windows. Cross-exposure (CL4) and the
-    multi-country rule (CL7) ride on the per-slice summary, so no event shuffle by user or
-    by session is needed.
+    Exchanges of event rows: the dedupe grouping (after map-side combine) and the user (or
+    user, slice) partitioning of the sequence windows. Hot users are found on a narrow scan
+    of (user, time) of the input. Cross-exposure (CL4) and the multi-country rule (CL7) are
+    window checks on the same partitioning (or ride on the slice summary), so no event
+    shuffle by user or by session is added.
 
     ``gap_basis='local'`` measures gaps on local wall-clock times (the analysed pipeline's
     rule; gaps can be wrong or negative across zones and DST), still ordering by UTC time.
     """
     if gap_basis not in ("utc", "local"):
         raise ValueError("gap_basis must be 'utc' or 'local'")
-    # the per-user profile (hot users) and the main path both read the deduplicated table
-    x = localize(deduplicated(raw, materialize), lookup)
+    kept = drop_staging(raw)
+    x = localize(dedup_exact(kept), lookup)
+    # hot users are counted on a narrow scan of the input (user, time), so the deduplicated
+    # events have one consumer and are neither written nor computed twice
+    prof = kept.select("user_id", F.col("event_datetime").alias("event_ts"))
     x = TL.sequence(x, user="user_id", ts="event_ts", tiebreak=("event_id",),
                     gap_seconds=gap_seconds, single_valued=("ip_country",),
                     user_single_valued=("cohort",), rows_per_slice=rows_per_slice,
-                    max_hot_users=max_hot_users, slicing=slicing,
+                    max_hot_users=max_hot_users, slicing=slicing, profile=prof,
                     gap_col="event_datetime" if gap_basis == "local" else None)
     x = x.filter(~F.col("cohort_user_mixed") & ~F.col("ip_country_mixed"))
     cols = [session_id(sep=sep).alias("session_id")] + CLEAN_COLUMNS[1:]

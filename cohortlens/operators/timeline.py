@@ -102,9 +102,15 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
              carry: Sequence[str] = (), single_valued: Sequence[str] = (),
              user_single_valued: Sequence[str] = (), gap_col: str | None = None,
              rows_per_slice: int = P.ROWS_PER_SLICE,
-             max_hot_users: int = P.MAX_HOT_USERS, slicing: str = "rank") -> DataFrame:
+             max_hot_users: int = P.MAX_HOT_USERS, slicing: str = "rank",
+             profile: DataFrame | None = None) -> DataFrame:
     """Per-user sequence columns, ordered by (ts, *tiebreak).
 
+    ``profile`` (columns ``user`` and ``ts``) is what hot users are counted on; default
+    ``df``. Any superset of ``df``'s rows with the same time range per user works (counts
+    are then upper bounds and the bound on the hot table still holds), e.g. a narrow scan of
+    the input before deduplication, which spares re-reading or re-computing ``df``.
+
     Gaps are measured on ``gap_col`` (default ``ts``) between consecutive events in that order;
     e.g. local wall-clock times, which can run backwards across zones or DST.
 
@@ -133,9 +139,11 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
               gap_col=gap_col or ts)
     if SLICE not in df.columns:
         df = df.withColumn(UKEY, _ukey(user))
+        prof_src = df if profile is None else profile.withColumn(UKEY, _ukey(user))
         # one pass over the profile; the (bounded) hot table is written once, so the
         # emptiness check and the broadcast below read it instead of re-aggregating
-        hot = sinks.materialize(hot_users(df, ts, rows_per_slice, max_hot_users), "hot_users")
+        hot = sinks.materialize(hot_users(prof_src, ts, rows_per_slice, max_hot_users),
+                                "hot_users")
         if hot.isEmpty():
             return _sequence_plain(df.withColumns({HOT: F.lit(False), SLICE: F.lit(0).cast("long")}),
                                    **kw)

@@ -46,7 +46,7 @@ class Pipeline:
     @cached_property
     def clean_events(self) -> DataFrame:
         return cleaning.build_clean_events(self.raw, self.lookup, gap_seconds=self.gap_seconds,
-                                           sep=self.sep, materialize=self.materialize,
+                                           sep=self.sep,
                                            gap_basis=self.gap_basis,
                                            **self.slice_opts)
 

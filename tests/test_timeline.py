@@ -114,9 +114,8 @@ def test_clean_chain_with_a_hot_user(spark, slicing):
                        rows_per_slice=400, max_hot_users=10**9)
     assert hot.count() == 1
     cols = cleaning.CLEAN_COLUMNS + cleaning.INTERNAL_COLUMNS
-    split = cleaning.build_clean_events(raw, lk, rows_per_slice=400, max_hot_users=10**9,
-                                        materialize=False, slicing=slicing).select(*cols)
-    whole = cleaning.build_clean_events(raw, lk, materialize=False).select(*cols)
+    split = cleaning.build_clean_events(raw, lk, rows_per_slice=400, max_hot_users=10**9, slicing=slicing).select(*cols)
+    whole = cleaning.build_clean_events(raw, lk).select(*cols)
     assert split.filter(F.col("user_id") == "u_hot").count() > 1000
     assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import params as P
 from cohortlens.functions.columns import epoch_seconds, event_label
+from cohortlens.operators import timeline as TL
 from cohortlens.operators.cleaning import zone_lookup
 
 NULL_CHECK_COLUMNS = ["event_date", "event_datetime", "user_id", "event_name", "login_status",
@@ -69,19 +70,19 @@ def simultaneous_pairs(df: DataFrame, user: str = "user_id",
     """DQ7: frequency of (event, previous event) pairs 0 s apart, counting each distinct
     (user, date, event, time, previous time, previous event) once.
 
-    Order within a user: (time, event_id, event_name, event_date). The previous event of a pair
-    0 s apart lies in the same second, so the window is partitioned by (user, second), not by
-    user. Exact copies collapse first (partial aggregation); a copy's predecessor is its twin.
+    Order within a user: (time, event_id, event_name, event_date). Exact copies collapse
+    first (partial aggregation, before any shuffle); a copy's predecessor is its twin. The
+    previous event comes from the skew-safe per-user sequence, so neither a hot user nor a
+    burst within one second is processed as one group.
     """
-    x = _same_second(df, ts)
-    keys = [user, "_sec", ts, "event_id", "event_name", "event_date"]
-    red = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(user, "_sec").orderBy(ts, "event_id", "event_name", "event_date")
-    red = (red.withColumn("last_event_time", F.lag(ts).over(w))
-              .withColumn("last_event", F.lag("event_name").over(w)))
-    after_other = red.filter(F.col("last_event_time").isNotNull()).select(
-        user, "event_date", "event_name", ts, "last_event_time", "last_event")
-    after_twin = red.filter(F.col("_m") > 1).select(
+    keys = [user, ts, "event_id", "event_name", "event_date"]
+    red = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    seq = TL.sequence(red, user=user, ts=ts, tiebreak=("event_id", "event_name", "event_date"),
+                      carry=("event_name",), profile=df.select(user, ts))
+    after_other = seq.filter(F.col("date_diff_seconds") == 0).select(
+        user, "event_date", "event_name", ts, F.col("prev_ts").alias("last_event_time"),
+        F.col("prev_event_name").alias("last_event"))
+    after_twin = seq.filter(F.col("_m") > 1).select(
         user, "event_date", "event_name", ts, F.col(ts).alias("last_event_time"),
         F.col("event_name").alias("last_event"))
     pairs = after_other.unionByName(after_twin).distinct()

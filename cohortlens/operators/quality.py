@@ -65,20 +65,21 @@ def events_of_simultaneous_users(df: DataFrame, user: str = "user_id",
     return df.join(simultaneous_users(df, user, ts), on=user, how="left_semi")
 
 
-def simultaneous_pairs(df: DataFrame, user: str = "user_id",
-                       ts: str = "event_datetime") -> DataFrame:
+def simultaneous_pairs(df: DataFrame, user: str = "user_id", ts: str = "event_datetime",
+                       **slice_opts) -> DataFrame:
     """DQ7: frequency of (event, previous event) pairs 0 s apart, counting each distinct
     (user, date, event, time, previous time, previous event) once.
 
     Order within a user: (time, event_id, event_name, event_date). Exact copies collapse
     first (partial aggregation, before any shuffle); a copy's predecessor is its twin. The
     previous event comes from the skew-safe per-user sequence, so neither a hot user nor a
-    burst within one second is processed as one group.
+    burst within one second is processed as one group (``slice_opts``: rows_per_slice,
+    max_hot_users, slicing).
     """
     keys = [user, ts, "event_id", "event_name", "event_date"]
     red = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     seq = TL.sequence(red, user=user, ts=ts, tiebreak=("event_id", "event_name", "event_date"),
-                      carry=("event_name",), profile=df.select(user, ts))
+                      carry=("event_name",), profile=df.select(user, ts), **slice_opts)
     after_other = seq.filter(F.col("date_diff_seconds") == 0).select(
         user, "event_date", "event_name", ts, F.col("prev_ts").alias("last_event_time"),
         F.col("prev_event_name").alias("last_event"))

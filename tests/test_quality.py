@@ -59,3 +59,15 @@ def test_duplicate_histogram_and_cross_exposed(spark):
     assert h == {3: 1, 2: 1}
     x = quality.cross_exposed(raw_df(spark, rows)).collect()
     assert [(r.user_id, r.cohort_count) for r in x] == [("u1", 2)]
+
+
+def test_simultaneous_pairs_sliced_equals_plain(spark):
+    from conftest import SF_MID
+    from cohortlens.sources import fixture
+
+    raw = fixture.raw_events(spark, SF_MID)
+    plain = quality.simultaneous_pairs(raw)
+    for slicing in ("rank", "time"):
+        sliced = quality.simultaneous_pairs(raw, rows_per_slice=9, max_hot_users=10**9,
+                                            slicing=slicing)
+        assert plain.exceptAll(sliced).count() == 0 and sliced.exceptAll(plain).count() == 0

@@ -1,18 +1,16 @@
 """Two-sided p-values of the z and Welch t statistics.
 
-Spark SQL has no erfc / incomplete beta function. The statistics themselves are computed by
-Spark aggregates; only the reduced rows (one per metric) go through this Arrow-batched UDF.
+Spark SQL has no erfc / incomplete beta function. The statistics are Spark aggregates; the
+p-values are Spark column expressions below (numerical integration), applied to the reduced
+rows. The exact closed forms in plain Python (erfc, continued-fraction incomplete beta) are
+the reference the tests compare those expressions with.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def normal_two_sided_p(z: float) -> float:
@@ -64,28 +62,6 @@ def student_two_sided_p(t: float, df: float) -> float:
     return regularized_beta(df / (df + t * t), df / 2.0, 0.5)
 
 
-def two_sided_p(kind: str, stat, df) -> float | None:
-    if stat is None or (isinstance(stat, float) and math.isnan(stat)):
-        return None
-    if kind == "z":
-        return normal_two_sided_p(float(stat))
-    if df is None or (isinstance(df, float) and (math.isnan(df) or df <= 0)):
-        return None
-    return student_two_sided_p(float(stat), float(df))
-
-
-@F.pandas_udf(T.DoubleType())
-def p_value_udf(kind: pd.Series, stat: pd.Series, df: pd.Series) -> pd.Series:
-    """Vectorised over the (few) reduced rows: kind 'z' uses the normal law, 't' Student's."""
-    out = [two_sided_p(k, None if pd.isna(s) else s, None if pd.isna(d) else d)
-           for k, s, d in zip(kind, stat, df)]
-    return pd.Series(out, dtype="float64")
-
-
-# ship this small module with the UDF (pickled by value): executors need no package install
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 # --- JVM-side p-values (no Python worker): column expressions for the reduced rows ----------
 #
 # normal:  p = 1 − 2·∫₀^|z| φ(x) dx, Simpson's rule with 1000 intervals.

@@ -132,3 +132,14 @@ def test_rank_slicing_splits_a_tie_group(spark):
                         r.cohort_user_mixed) for r in got.collect()}
     assert res == brute(rows)
     assert got.select("_slice").distinct().count() >= 6
+
+
+def test_hot_threshold_keeps_the_bound(spark):
+    """Hot means more than max(rows_per_slice, total / max_hot_users) rows: < max_hot_users users."""
+    big = [(i, "big", T0 + dt.timedelta(seconds=i)) for i in range(900)]
+    small = [(1000 + i, f"s{i % 10}", T0 + dt.timedelta(seconds=i)) for i in range(100)]
+    df = spark.createDataFrame(big + small, "event_id long, user_id string, event_ts timestamp_ntz")
+    df = df.withColumn(TL.UKEY, TL._ukey("user_id"))
+    # rows_per_slice 5 alone would make all 11 users hot; total / 3 = 333 keeps only "big"
+    hot = TL.hot_users(df, "event_ts", rows_per_slice=5, max_hot_users=3).collect()
+    assert [r._hot_uk.u for r in hot] == ["big"] and hot[0]._n == 900

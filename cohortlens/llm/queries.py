@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import (chat_format, decontaminate, language_id, license_scan, line_dedup,
-                            packing, sharding)
+                            ngram_join, packing, sharding)
 
 SHARDS = [f"shard-{k:02d}" for k in range(48)]
 TABLE_SIZE = 5003
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. Python workers started from now on also look for this package where the driver
+    has it; on a cluster without that path, ship it with ``--py-files``."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,6 +72,16 @@ def packing_query(spark, sf):
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def ngram_join_query(spark, sf):
+    return ngram_join.join_components(read(spark, sf, "documents"))
+
+
+def pipeline_query(spark, sf):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding_query,
@@ -74,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_scan": license_query,
         "op7_chat_format": chat_query,
         "op8_packing": packing_query,
+        "op9_ngram_join": ngram_join_query,
+        "pipeline": pipeline_query,
     }
 
 

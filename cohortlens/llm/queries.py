@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import (chat_format, decontaminate, language_id, license_scan, line_dedup,
+from cohortlens.llm import (chat_format, decontaminate, gated_lm, language_id, license_scan, line_dedup,
                             ngram_join, packing, sharding)
 
 SHARDS = [f"shard-{k:02d}" for k in range(48)]
@@ -36,6 +36,10 @@ def sharding_query(spark, sf):
     return sharding.assign(docs, "doc_id", SHARDS, TABLE_SIZE).select("doc_id", "slot", "shard")
 
 
+def lm_query(spark, sf):
+    return gated_lm.score_documents(read(spark, sf, "documents"), held_out(7))
+
+
 def decontamination_query(spark, sf):
     return decontaminate.contaminations(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
@@ -85,6 +89,7 @@ def pipeline_query(spark, sf):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding_query,
+        "op2_gated_lm": lm_query,
         "op3_decontamination": decontamination_query,
         "op4_line_dedup": line_dedup_query,
         "op5_language_id": language_id_query,

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import (chat_format, decontaminate, gated_lm, language_id, license_scan, line_dedup,
+from cohortlens.llm import (ann, chat_format, decontaminate, gated_lm, language_id, license_scan, line_dedup,
                             ngram_join, packing, sharding)
 
 SHARDS = [f"shard-{k:02d}" for k in range(48)]
@@ -80,6 +80,10 @@ def ngram_join_query(spark, sf):
     return ngram_join.join_components(read(spark, sf, "documents"))
 
 
+def ann_query(spark, sf):
+    return ann.search(read(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
 def pipeline_query(spark, sf):
     import corpus_pipeline
 
@@ -97,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat_format": chat_query,
         "op8_packing": packing_query,
         "op9_ngram_join": ngram_join_query,
+        "op10_ann": ann_query,
         "pipeline": pipeline_query,
     }
 

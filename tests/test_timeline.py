@@ -15,57 +15,80 @@ T0 = dt.datetime(2024, 1, 1)
 GAP = 100
 
 
-def brute(rows):
-    """rows: (id, user, ts, country, cohort) → {id: (prev_ts, gap, session_no, mixed, umixed)}"""
+def brute(rows, local=False):
+    """rows: (id, user, ts, country, cohort) -> {id: (prev_ts, gap, session_no, mixed, umixed, prev
+    country)}. Null times come first. With ``local``, gaps are taken on local wall-clock times."""
     by = defaultdict(list)
     for r in rows:
         by[r[1]].append(r)
     out = {}
     for user, rs in by.items():
-        rs.sort(key=lambda r: (r[2], r[0]))
-        secs = [math.floor((r[2] - dt.datetime(1970, 1, 1)).total_seconds()) for r in rs]
+        rs.sort(key=lambda r: (r[2] is not None, r[2] or T0, r[0]))
+        secs = [None if r[2] is None else
+                math.floor((r[2] - dt.datetime(1970, 1, 1)).total_seconds()) + (SHIFT[r[3]] if local else 0)
+                for r in rs]
         starts, prev = [], []
         for i, r in enumerate(rs):
-            g = None if i == 0 else secs[i] - secs[i - 1]
-            prev.append((None if i == 0 else rs[i - 1][2], g))
+            g = None if i == 0 or secs[i] is None or secs[i - 1] is None else secs[i] - secs[i - 1]
+            prev.append((None if i == 0 else rs[i - 1][2], g, None if i == 0 else rs[i - 1][3]))
             starts.append(g is None or g > GAP)
+        upto = lambda a, b: a is None or (b is not None and a <= b)
         sess = []
         for i, r in enumerate(rs):  # RANGE frame: all rows with ts <= current ts
-            sess.append(sum(s for j, s in enumerate(starts) if rs[j][2] <= r[2]))
+            sess.append(sum(s for j, s in enumerate(starts) if upto(rs[j][2], r[2])))
         countries = defaultdict(set)
         for r, s in zip(rs, sess):
             if r[3] is not None:
                 countries[s].add(r[3])
         cohorts = {r[4] for r in rs if r[4] is not None}
         for r, p, s in zip(rs, prev, sess):
-            out[r[0]] = (p[0], p[1], s, len(countries[s]) > 1, len(cohorts) > 1)
+            out[r[0]] = (p[0], p[1], s, len(countries[s]) > 1, len(cohorts) > 1, p[2])
     return out
 
 
+SHIFT = {"P": 0, "E": 3600, None: -300}
+SCHEMA = "event_id long, user_id string, event_ts timestamp_ntz, country string, cohort string"
+COLUMNS = ("prev_ts", "date_diff_seconds", "session_no", "country_mixed", "cohort_user_mixed", "prev_country")
+
+
+def sequenced(spark, rows, local=False, **kw):
+    df = spark.createDataFrame(rows, SCHEMA)
+    shift = F.when(F.col("country") == "P", 0).when(F.col("country") == "E", 3600).otherwise(-300)
+    df = df.withColumn("local", F.timestamp_add("SECOND", shift, F.col("event_ts")))
+    got = TL.sequence(df, gap_seconds=GAP, carry=("country",), single_valued=("country",),
+                      user_single_valued=("cohort",), max_hot_users=10**9,
+                      gap_col="local" if local else None, **kw)
+    return {r.event_id: tuple(r[c] for c in COLUMNS) for r in got.collect()}
+
+
 event = st.tuples(
-    st.sampled_from(["a", "b", "c", None]),
-    st.integers(0, 600),                    # seconds
-    st.sampled_from([0, 400_000, 999_999]),  # microseconds
+    st.sampled_from(["a", "b", None]),
+    st.one_of(st.none(), st.integers(0, 600), st.sampled_from([10, 10, 500])),  # seconds, with ties
+    st.sampled_from([0, 0, 400_000, 999_999]),  # microseconds
     st.sampled_from(["P", "E", None]),
-    st.sampled_from(["Control", "Variation"]))
+    st.sampled_from(["Control", "Variation", None]))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(event, min_size=1, max_size=40), st.integers(1, 6), st.booleans(),
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(event, min_size=1, max_size=40), st.integers(1, 6), st.booleans(), st.booleans(),
        st.sampled_from(["time", "rank"]))
-def test_sequence_matches_brute_force(spark, evs, rows_per_slice, single_cohort, slicing):
+def test_sequence_matches_brute_force(spark, evs, rows_per_slice, single_cohort, local, slicing):
     rows = []
     for i, (u, s, us, c, coh) in enumerate(evs):
-        rows.append((i, u, T0 + dt.timedelta(seconds=s, microseconds=us), c,
-                     "Control" if single_cohort else coh))
-    df = spark.createDataFrame(rows, "event_id long, user_id string, event_ts timestamp_ntz, "
-                                     "country string, cohort string")
-    got = TL.sequence(df, gap_seconds=GAP, single_valued=("country",),
-                      user_single_valued=("cohort",), rows_per_slice=rows_per_slice,
-                      max_hot_users=10**9, slicing=slicing)
-    res = {r.event_id: (r.prev_ts, r.date_diff_seconds, r.session_no, r.country_mixed,
-                        r.cohort_user_mixed) for r in got.collect()}
-    assert res == brute(rows)
+        when = None if s is None else T0 + dt.timedelta(seconds=s, microseconds=us)
+        rows.append((i, u, when, c, "Control" if single_cohort else coh))
+    assert sequenced(spark, rows, local, rows_per_slice=rows_per_slice, slicing=slicing) == brute(rows, local)
+
+
+@pytest.mark.parametrize("slicing", ["time", "rank"])
+@pytest.mark.parametrize("local", [False, True])
+def test_ties_across_borders_with_changing_zones(spark, slicing, local):
+    """One user, ties of 20 rows whose zones differ, and a run of null times; slices of 7 rows."""
+    rows = [(i, "u", T0 + dt.timedelta(seconds=60 * (i // 20)), "PE"[i % 2] if i % 3 else None, "Control") for i in range(80)]
+    rows += [(100 + i, "u", None, "P", "Control") for i in range(9)]
+    want = brute(rows, local)
+    assert sequenced(spark, rows, local, rows_per_slice=7, slicing=slicing) == want
+    assert sequenced(spark, rows, local) == want
 
 
 def test_sliced_equals_plain_on_fixture(spark):
@@ -127,10 +150,8 @@ def test_rank_slicing_splits_a_tie_group(spark):
     df = spark.createDataFrame(rows, "event_id long, user_id string, event_ts timestamp_ntz, "
                                      "country string, cohort string")
     got = TL.sequence(df, gap_seconds=GAP, single_valued=("country",), user_single_valued=("cohort",),
-                      rows_per_slice=60, max_hot_users=10**9, slicing="rank")
-    res = {r.event_id: (r.prev_ts, r.date_diff_seconds, r.session_no, r.country_mixed,
-                        r.cohort_user_mixed) for r in got.collect()}
-    assert res == brute(rows)
+                      carry=("country",), rows_per_slice=60, max_hot_users=10**9, slicing="rank")
+    assert {r.event_id: tuple(r[c] for c in COLUMNS) for r in got.collect()} == brute(rows)
     assert got.select("_slice").distinct().count() >= 6
 
 

@@ -2,8 +2,7 @@
 
 Spark SQL has no erfc / incomplete beta function. The statistics are Spark aggregates; the
 p-values are Spark column expressions below (numerical integration), applied to the reduced
-rows. The exact closed forms in plain Python (erfc, continued-fraction incomplete beta) are
-the reference the tests compare those expressions with.
+rows. The tests compare them with closed forms.
 """
 
 from __future__ import annotations
@@ -13,55 +12,6 @@ import math
 from pyspark.sql import functions as F
 
 
-def normal_two_sided_p(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2.0))
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10_000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-15:
-            break
-    return h
-
-
-def regularized_beta(x: float, a: float, b: float) -> float:
-    """I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    ln_front = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                + a * math.log(x) + b * math.log1p(-x))
-    front = math.exp(ln_front)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
-
-
-def student_two_sided_p(t: float, df: float) -> float:
-    return regularized_beta(df / (df + t * t), df / 2.0, 0.5)
-
-
 # --- JVM-side p-values (no Python worker): column expressions for the reduced rows ----------
 #
 # normal:  p = 1 − 2·∫₀^|z| φ(x) dx, Simpson's rule with 1000 intervals.

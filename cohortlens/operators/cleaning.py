@@ -50,11 +50,13 @@ def cohort_mixed_users(df: DataFrame, user: str = "user_id", cohort: str = "coho
 
 
 def drop_cross_exposed(df: DataFrame, user: str = "user_id", cohort: str = "cohort") -> DataFrame:
-    """CL4: keep users with fewer than two distinct cohorts (null cohorts do not count).
+    """CL4: keep users with fewer than two distinct cohorts (null cohorts do not count; null
+    users are one group, as in the windows of CL8).
 
     Anti join against the per-user aggregate; AQE splits a skewed user's partition.
     """
-    return df.join(cohort_mixed_users(df, user, cohort), on=user, how="left_anti")
+    mixed = cohort_mixed_users(df, user, cohort).select(F.struct(F.col(user)).alias("_mixed_user"))
+    return df.join(mixed, F.struct(F.col(user)) == F.col("_mixed_user"), "left_anti")
 
 
 def zone_lookup(lookup: DataFrame, country: str = "country", zone: str = "timezone") -> DataFrame:
@@ -96,6 +98,12 @@ def build_base(raw: DataFrame, materialize: bool = True) -> DataFrame:
     return sinks.materialize(base, "base") if materialize else base
 
 
+def profile_base(raw: DataFrame) -> DataFrame:
+    """CL1 + CL4: the base for answers that exact duplicates cannot change (distinct users or
+    values, first events). No dedupe shuffle and no write, so scans prune to what is asked."""
+    return drop_cross_exposed(drop_staging(raw))
+
+
 def build_clean_events(raw: DataFrame, lookup: DataFrame, *,
                        gap_seconds: int = P.SESSION_GAP_SECONDS, sep: str = "#",
                        rows_per_slice: int = P.ROWS_PER_SLICE,
@@ -104,45 +112,56 @@ def build_clean_events(raw: DataFrame, lookup: DataFrame, *,
                        slicing: str = "rank") -> DataFrame:
     """CL8: CL1–CL7 in order, skew-safe.
 
-    Exchanges of event rows: the dedupe grouping (after map-side combine) and the user (or
-    user, slice) partitioning of the sequence windows. Hot users are found on a narrow scan
-    of (user, time) of the input. Cross-exposure (CL4) and the multi-country rule (CL7) are
-    window checks on the same partitioning (or ride on the slice summary), so no event
-    shuffle by user or by session is added.
+    Event rows are exchanged once, on the user key; the dedupe grouping, the sequence windows,
+    cross-exposure (CL4) and the multi-country rule (CL7) all work within that partitioning.
+    Hot users are found on a narrow scan of (user, time) of the input and split off first; their
+    rows are deduplicated by a grouping on the whole key (copies collapse before the shuffle)
+    and sliced in time.
 
-    ``gap_basis='local'`` measures gaps on local wall-clock times (the analysed pipeline's
-    rule; gaps can be wrong or negative across zones and DST), still ordering by UTC time.
+    ``gap_basis='local'`` is the analysed pipeline's own rule: gaps are differences of local
+    wall-clock times (wrong or negative across zones and DST) of events in UTC order, and the
+    running session count follows local time.
     """
     if gap_basis not in ("utc", "local"):
         raise ValueError("gap_basis must be 'utc' or 'local'")
     kept = drop_staging(raw)
-    x = localize(dedup_exact(kept), lookup)
-    # hot users are counted on a narrow scan of the input (user, time), so the deduplicated
-    # events have one consumer and are neither written nor computed twice
     prof = kept.select("user_id", F.col("event_datetime").alias("event_ts"))
-    x = TL.sequence(x, user="user_id", ts="event_ts", tiebreak=("event_id",),
-                    gap_seconds=gap_seconds, single_valued=("ip_country",),
-                    user_single_valued=("cohort",), rows_per_slice=rows_per_slice,
-                    max_hot_users=max_hot_users, slicing=slicing, profile=prof,
-                    gap_col="event_datetime" if gap_basis == "local" else None)
+    checks = dict(single_valued=("ip_country",), user_single_valued=("cohort",))
+    opts = dict(user="user_id", tiebreak=("event_id",), gap_seconds=gap_seconds, rows_per_slice=rows_per_slice,
+                max_hot_users=max_hot_users, slicing=slicing, profile=prof)
+
+    def prepare(x: DataFrame) -> DataFrame:
+        return localize(dedup_exact(x), lookup)
+
+    if gap_basis == "utc":
+        x = TL.sequence(kept, ts="event_ts", prepare=prepare, **opts, **checks)
+    else:
+        x = TL.sequence(kept, ts="event_ts", prepare=prepare, gap_col="event_datetime", **opts)
+        opts["profile"] = prof.withColumnRenamed("event_ts", "event_datetime")
+        x = TL.sequence(x.drop("session_no", TL.HOT, TL.SLICE), ts="event_datetime",
+                        gap_values="date_diff_seconds", **opts, **checks)
     x = x.filter(~F.col("cohort_user_mixed") & ~F.col("ip_country_mixed"))
     cols = [session_id(sep=sep).alias("session_id")] + CLEAN_COLUMNS[1:]
     return x.select(*cols, *(INTERNAL_COLUMNS if internal else []))
 
 
 def session_trace(base: DataFrame, lookup: DataFrame, *,
-                  gap_seconds: int = P.SESSION_GAP_SECONDS) -> DataFrame:
+                  gap_seconds: int = P.SESSION_GAP_SECONDS, **slice_opts) -> DataFrame:
     """DQ10: per event local date/time, label, previous label and time, gap, running session.
 
     ``select distinct`` as in the profiling query; ordering by (UTC time, event_id).
     """
     x = localize(base, lookup).withColumn("event", event_label())
     x = TL.sequence(x, user="user_id", ts="event_ts", tiebreak=("event_id",),
-                    gap_seconds=gap_seconds, carry=("event", "event_datetime"))
-    return x.select(
-        "user_id", "event_date", "event", "event_datetime",
-        F.col("prev_event_datetime").alias("last_event_time"),
-        F.col("prev_event").alias("last_event"), "date_diff_seconds", "session_no").distinct()
+                    gap_seconds=gap_seconds, carry=("event", "event_datetime"), **slice_opts)
+    cols = ["user_id", "event_date", "event", "event_datetime",
+            F.col("prev_event_datetime").alias("last_event_time"),
+            F.col("prev_event").alias("last_event"), "date_diff_seconds", "session_no"]
+    # the user key is a function of the user: with it the grouping reuses the sequence's
+    # partitioning instead of shuffling the wide rows again
+    out = x.select(TL.UKEY, *cols).groupBy(TL.UKEY, "user_id", "event_date", "event", "event_datetime",
+                                           "last_event_time", "last_event", "date_diff_seconds", "session_no").agg(F.count(F.lit(1)).alias("_n"))
+    return out.drop(TL.UKEY, "_n")
 
 
 def reconcile(stages: Mapping[str, DataFrame], user: str = "user_id") -> DataFrame:

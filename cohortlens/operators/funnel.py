@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens import params as P
@@ -76,7 +76,11 @@ def build_session_funnel(clean: DataFrame,
     """R2 + R3 + R4: per session, event counts per funnel step (null when absent) and flags.
 
     One grouping with conditional counts replaces six scans and five joins; all aggregates are
-    partial, so a huge session costs one row per map task before the shuffle.
+    partial, so a huge session costs one row per map task before the shuffle. A session with
+    null countries or cohorts beside others has several key rows; counts and flags are facts of
+    the session, so each of its rows carries the session's (a window over the few key rows, on
+    the same partitioning). Where the joins would repeat a row for a step seen under two keys,
+    there is one row here.
     """
     counts = [F.nullif(F.count_if(s.predicate()), F.lit(0)).alias(s.count_col) for s in steps]
     g = _by_session(clean.filter(F.col("session_id").isNotNull()), SESSION_KEY).agg(
@@ -84,6 +88,8 @@ def build_session_funnel(clean: DataFrame,
         F.max("event_date").alias("session_end_date"),
         seconds_between(F.min("event_ts"), F.max("event_ts")).alias("session_duration_seconds"),
         *counts)
+    whole = Window.partitionBy(*([UKEY] if UKEY in g.columns else []), "user_id", "session_id")
+    g = g.withColumns({s.count_col: F.sum(s.count_col).over(whole) for s in steps})
     return g.select(*SESSION_KEY, "session_start_date", "session_end_date",
                     "session_duration_seconds", *[s.count_col for s in steps], *ghost_flags(steps))
 

@@ -28,14 +28,14 @@ def null_counts(df: DataFrame, cols: Sequence[str] = NULL_CHECK_COLUMNS) -> Data
 
 def users_by(df: DataFrame, dims: Sequence[str], user: str = "user_id",
              name: str = "users") -> DataFrame:
-    """DQ3 / V1: distinct users per combination of ``dims`` (exact distinct count)."""
-    return df.groupBy(*dims).agg(F.count_distinct(user).alias(name))
+    """DQ3: distinct users per combination of ``dims`` (exact distinct count), in their order."""
+    return df.groupBy(*dims).agg(F.count_distinct(user).alias(name)).orderBy(*dims)
 
 
 def event_combinations(df: DataFrame) -> DataFrame:
     """DQ4: rows per event_name × action × page_type; nulls form their own groups."""
-    return df.groupBy("event_name", "action", "page_type").agg(
-        F.count(F.lit(1)).alias("event_count"))
+    keys = ["event_name", "action", "page_type"]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count")).orderBy(*keys)
 
 
 def cross_exposed(df: DataFrame, user: str = "user_id", cohort: str = "cohort") -> DataFrame:
@@ -54,15 +54,16 @@ def simultaneous_users(df: DataFrame, user: str = "user_id",
 
     Consecutive events share a second exactly when some second holds two events of the user,
     so this is a grouping on (user, second): partial aggregation, no window over the user.
+    An event without a time is 0 s from nothing.
     """
-    return (_same_second(df, ts).groupBy(user, "_sec").agg(F.count(F.lit(1)).alias("_n"))
+    return (_same_second(df.filter(F.col(ts).isNotNull()), ts).groupBy(user, "_sec").agg(F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") > 1).select(user).distinct())
 
 
 def events_of_simultaneous_users(df: DataFrame, user: str = "user_id",
                                  ts: str = "event_datetime") -> DataFrame:
     """DQ6: every row of the users above (a semi join: duplicates stay, none are added)."""
-    return df.join(simultaneous_users(df, user, ts), on=user, how="left_semi")
+    return df.join(simultaneous_users(df, user, ts), on=user, how="left_semi")  # null users match none, as with IN
 
 
 def simultaneous_pairs(df: DataFrame, user: str = "user_id", ts: str = "event_datetime",
@@ -83,11 +84,12 @@ def simultaneous_pairs(df: DataFrame, user: str = "user_id", ts: str = "event_da
     after_other = seq.filter(F.col("date_diff_seconds") == 0).select(
         user, "event_date", "event_name", ts, F.col("prev_ts").alias("last_event_time"),
         F.col("prev_event_name").alias("last_event"))
-    after_twin = seq.filter(F.col("_m") > 1).select(
+    after_twin = seq.filter((F.col("_m") > 1) & F.col(ts).isNotNull()).select(
         user, "event_date", "event_name", ts, F.col(ts).alias("last_event_time"),
         F.col("event_name").alias("last_event"))
     pairs = after_other.unionByName(after_twin).distinct()
-    return pairs.groupBy("event_name", "last_event").agg(F.count(F.lit(1)).alias("frequency"))
+    out = pairs.groupBy("event_name", "last_event").agg(F.count(F.lit(1)).alias("frequency"))
+    return out.orderBy(F.desc("frequency"), "event_name", "last_event")
 
 
 def duplicate_histogram(df: DataFrame, key: Sequence[str] = P.RAW_KEY) -> DataFrame:
@@ -111,12 +113,12 @@ def landing_events(df: DataFrame, user: str = "user_id", ts: str = "event_dateti
     """
     first = df.groupBy(user).agg(
         F.min_by(event_label(), F.struct(F.col(ts), F.col("event_id"))).alias("event"))
-    return first.groupBy("event").agg(F.count(F.lit(1)).alias("occur"))
+    return first.groupBy("event").agg(F.count(F.lit(1)).alias("occur")).orderBy(F.desc("occur"), "event")
 
 
 def lookup_coverage(df: DataFrame, lookup: DataFrame, country: str = "ip_country") -> DataFrame:
     """DQ12: distinct countries; how many the lookup knows (and with a usable zone); the
-    missing ones as a sorted comma list. Countries are reduced to distinct values first."""
+    missing ones as a sorted comma list, null when none is missing. Countries are reduced to distinct values first."""
     c = df.select(F.col(country).alias("_c")).filter(F.col("_c").isNotNull()).distinct()
     z = zone_lookup(lookup)
     j = c.join(z, F.col("_c") == F.col("_lk_country"), "left")
@@ -125,5 +127,5 @@ def lookup_coverage(df: DataFrame, lookup: DataFrame, country: str = "ip_country
         F.count(F.lit(1)).alias("countries"),
         F.count_if(found).alias("countries_in_lookup"),
         F.count_if(F.col("_lk_zone").isNotNull()).alias("countries_with_zone"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~found, F.col("_c")))), ", ")
+        F.expr("listagg(CASE WHEN _lk_country IS NULL THEN _c END, ', ') WITHIN GROUP (ORDER BY CASE WHEN _lk_country IS NULL THEN _c END)")
         .alias("missing_countries"))

@@ -35,11 +35,11 @@ def _reached(flag: str) -> Column:
 def conversion_summary(ti: DataFrame, metrics: Sequence[str] = P.CONVERSION_METRICS) -> DataFrame:
     """Per metric × variant: conversions (sum), total_sessions (non-null count), value.
 
-    One grouping for all metrics, then unpivot."""
+    One grouping for all metrics, then unpivot. Rows without a variant do not count."""
     aggs = []
     for m in metrics:
         aggs += [F.sum(m).alias(f"x__{m}"), F.count(m).alias(f"n__{m}")]
-    g = ti.groupBy("variant").agg(*aggs)
+    g = ti.filter(F.col("variant").isNotNull()).groupBy("variant").agg(*aggs)
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"x__{m}").cast("long").alias("conversions"),
                               F.col(f"n__{m}").alias("total_sessions")) for m in metrics])
     u = g.select("variant", F.explode(rows).alias("_r")).select("_r.metric", "variant",
@@ -56,8 +56,9 @@ def proportion_ztest(summary: DataFrame) -> DataFrame:
     """Pooled two-proportion z test per metric, two-sided; one row per metric × variant.
 
     Variants in alphabetical order (first = Control): z = (p_first − p_second) / SE.
-    Zero pooled variance gives a null statistic and p. The input has one row per metric ×
-    variant, so the per-metric window holds two rows.
+    Zero pooled variance gives a null statistic and p, and so does any number of variants but
+    two: it is a two-sample test. The input has one row per metric × variant, so the per-metric
+    window holds a few rows.
     """
     w = Window.partitionBy("metric")
     is_a = F.col("variant") == F.min("variant").over(w)
@@ -66,18 +67,19 @@ def proportion_ztest(summary: DataFrame) -> DataFrame:
     pooled = (x1 + x2) / (n1 + n2)
     se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
     z = F.try_divide(x1 / n1 - x2 / n2, F.nullif(se, F.lit(0.0)))
+    z = F.when(F.count(F.lit(1)).over(w) == 2, z)
     return summary.withColumn("statistic", z).withColumn("dof", F.lit(None).cast("double"))
 
 
 def user_totals(ti: DataFrame, metric: str = "event_count_Search_Sub") -> DataFrame:
     """Per variant × user, the metric summed over sessions with step 3 seen."""
-    x = ti.filter(F.col("step_3_flg") == 1)
+    x = ti.filter((F.col("step_3_flg") == 1) & F.col("variant").isNotNull())
     return x.groupBy("variant", "user_id").agg(F.coalesce(F.sum(metric), F.lit(0)).alias("total"))
 
 
 def user_summary(ti: DataFrame, metric: str = "event_count_Search_Sub") -> DataFrame:
     """Per variant: total events, distinct users, events per user."""
-    x = ti.filter(F.col("step_3_flg") == 1)
+    x = ti.filter((F.col("step_3_flg") == 1) & F.col("variant").isNotNull())
     g = x.groupBy("variant").agg(F.sum(metric).alias("total_events"),
                                  F.count_distinct("user_id").alias("unique_users"))
     return g.withColumn("value", F.try_divide(F.col("total_events"), F.col("unique_users")))

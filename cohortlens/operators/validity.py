@@ -9,8 +9,9 @@ from cohortlens import params as P
 
 
 def cohort_size(base: DataFrame) -> DataFrame:
-    """V1: distinct users per cohort."""
-    return base.groupBy("cohort").agg(F.count_distinct("user_id").alias("user_count"))
+    """V1: distinct users per cohort, largest first. Exact duplicates do not matter."""
+    return (base.groupBy("cohort").agg(F.count_distinct("user_id").alias("user_count"))
+            .orderBy(F.desc("user_count"), "cohort"))
 
 
 def cohort_balance(base: DataFrame, dim: str, control: str = P.CONTROL) -> DataFrame:
@@ -18,18 +19,18 @@ def cohort_balance(base: DataFrame, dim: str, control: str = P.CONTROL) -> DataF
     (percent, rounded to 2) and the difference of the rounded shares; largest gaps first.
 
     Totals are exact distinct counts over the whole table (a user can fall under several
-    values), computed in one scalar subquery. "Variation" is ``cohort != control``, so null
-    cohorts count in neither.
+    values). Rows are first reduced to distinct (value, side, user), so only those are shuffled
+    and no counts expand the rows; exact duplicates do not matter. "Variation" is
+    ``cohort != control``, so null cohorts count in neither, but their values are listed.
     """
-    is_c = F.col("cohort") == F.lit(control)
-    is_v = F.col("cohort") != F.lit(control)
-    # both totals in one scalar subquery (one pass over the table)
-    tot = base.select(F.struct(
-        F.count_distinct(F.when(is_c, F.col("user_id"))).alias("c"),
-        F.count_distinct(F.when(is_v, F.col("user_id"))).alias("v"))).scalar()
-    g = base.groupBy(dim).agg(
-        F.count_distinct(F.when(is_c, F.col("user_id"))).alias("control_users"),
-        F.count_distinct(F.when(is_v, F.col("user_id"))).alias("variation_users"))
+    side = F.when(F.col("cohort") == F.lit(control), F.lit("c")).when(F.col("cohort") != F.lit(control), F.lit("v"))
+    users = base.select(dim, side.alias("_side"), "user_id").distinct()
+    known = F.col("user_id").isNotNull()
+    by_side = users.filter(known & F.col("_side").isNotNull()).select("_side", "user_id").distinct()
+    tot = by_side.select(F.struct(F.count_if(F.col("_side") == "c").alias("c"),
+                                  F.count_if(F.col("_side") == "v").alias("v"))).scalar()
+    g = users.groupBy(dim).agg(F.count_if(known & (F.col("_side") == "c")).alias("control_users"),
+                               F.count_if(known & (F.col("_side") == "v")).alias("variation_users"))
     # the subquery result is attached once as a column and referenced by name below
     g = g.withColumn("_tot", tot)
     tot_c, tot_v = F.col("_tot.c"), F.col("_tot.v")
@@ -40,7 +41,7 @@ def cohort_balance(base: DataFrame, dim: str, control: str = P.CONTROL) -> DataF
         c_perc.alias("control_users_perc"), "variation_users",
         tot_v.alias("total_variation_users"), v_perc.alias("variation_users_perc"),
         F.round(c_perc - v_perc, 2).alias("perc_diff"))
-    return out.orderBy(F.abs(F.col("perc_diff")).desc_nulls_last())
+    return out.orderBy(F.abs(F.col("perc_diff")).desc_nulls_last(), dim)
 
 
 def distinct_values(base: DataFrame, col: str) -> DataFrame:

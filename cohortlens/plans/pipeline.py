@@ -43,6 +43,11 @@ class Pipeline:
         """CL1 + CL3 + CL4 (the profiling table before sessions)."""
         return cleaning.build_base(self.raw, self.materialize)
 
+    @cached_property
+    def profile_base(self) -> DataFrame:
+        """CL1 + CL4, for answers that exact duplicates cannot change."""
+        return cleaning.profile_base(self.raw)
+
     @cached_property
     def clean_events(self) -> DataFrame:
         return cleaning.build_clean_events(self.raw, self.lookup, gap_seconds=self.gap_seconds,
@@ -60,9 +65,8 @@ class Pipeline:
 
     @cached_property
     def funnel_report(self) -> DataFrame:
-        # with a separator in the session key, ids cannot repeat across users
         return funnel.build_funnel_report(self.session_funnel, self.experiment,
-                                          unique_sessions=bool(self.sep))
+                                          unique_sessions=self._unique_sessions)
 
     @cached_property
     def significance_results(self) -> DataFrame:
@@ -71,6 +75,12 @@ class Pipeline:
         return significance.significance(sf, test_name=self.test_name,
                                          alpha=self.alpha, run_date=self.run_date)
 
+    @property
+    def _unique_sessions(self) -> bool:
+        """Session ids cannot repeat across users: the key separator holds a character that a
+        session number cannot hold and user ids do not end in it and digits."""
+        return any(not c.isdigit() for c in self.sep)
+
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return sinks.materialize(df, name) if self.materialize else df
 
@@ -86,16 +96,17 @@ class Pipeline:
                  ("clean_events", "sessions", "session_funnel", "funnel_report",
                   "significance_results")}
         spark = self.raw.sparkSession
-        sinks.overwrite(self.clean_events, paths["clean_events"])
-        clean = spark.read.parquet(paths["clean_events"])
-        sinks.overwrite(funnel.build_sessions(clean), paths["sessions"])
-        sinks.overwrite(funnel.build_session_funnel(clean), paths["session_funnel"])
-        sf = spark.read.parquet(paths["session_funnel"])
-        sinks.overwrite(funnel.build_funnel_report(sf, self.experiment,
-                                                   unique_sessions=bool(self.sep)),
-                        paths["funnel_report"],
-                        partition_by=["session_start_date"])
-        res = significance.significance(sf, test_name=self.test_name, alpha=self.alpha,
-                                        run_date=self.run_date)
-        sinks.append(res, paths["significance_results"], partition_by=["run_date"])
+        with sinks.intermediates(spark):
+            sinks.overwrite(self.clean_events, paths["clean_events"])
+            clean = spark.read.parquet(paths["clean_events"])
+            sinks.overwrite(funnel.build_sessions(clean), paths["sessions"])
+            sinks.overwrite(funnel.build_session_funnel(clean), paths["session_funnel"])
+            sf = spark.read.parquet(paths["session_funnel"])
+            sinks.overwrite(funnel.build_funnel_report(sf, self.experiment,
+                                                       unique_sessions=self._unique_sessions),
+                            paths["funnel_report"],
+                            partition_by=["session_start_date"])
+            res = significance.significance(sf, test_name=self.test_name, alpha=self.alpha,
+                                            run_date=self.run_date)
+            sinks.append(res, paths["significance_results"], partition_by=["run_date"])
         return paths

@@ -67,6 +67,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = ev.withColumn("_k", F.regexp_extract("props", r"([0-9]+)", 1).cast("int"))
     k = F.col("_k")
     uid = F.col("user_id")
+    eid = F.col("event_id")
     et = F.col("event_type")
     click = et == F.lit("click")
     d = ev.select(
@@ -80,25 +81,25 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(click & (k % 10 == 7), F.lit(None).cast("string"))
          .when(click & (k % 10 == 9), F.lit("Homepage"))
          .when(click, F.lit("Destination Search")).alias("page_type"),
-        F.col("ts").alias("event_datetime"),
+        F.when(eid % 307 != 11, F.col("ts")).alias("event_datetime"),
         F.lit("android").alias("platform"),
-        F.concat(F.lit("u"), uid.cast("string")).alias("user_id"),
+        F.when(eid % 211 != 5, F.concat(F.lit("u"), uid.cast("string"))).alias("user_id"),
         F.when(uid % 2 == 0, F.lit("logged_in")).otherwise(F.lit("guest")).alias("login_status"),
         _case(uid % 5, [(0, "en"), (1, "pt"), (2, "es"), (3, "fr")], "de").alias("app_language"),
         F.when(k == 50, F.lit(None).cast("string")).otherwise(F.concat(
             F.when(k == 13, F.lit("staging-")).otherwise(F.lit("")), F.lit("9."),
             (F.lit(79) + uid % 3).cast("string"), F.lit("."), (k % 4).cast("string")))
          .alias("release_version"),
-        F.concat(F.lit("NATION_"),
-                 ((uid + F.when(k == 0, F.lit(1)).otherwise(F.lit(0))) % 25).cast("string"))
+        F.when(eid % 97 != 3, F.concat(
+            F.lit("NATION_"), ((uid + F.when(k == 0, F.lit(1)).otherwise(F.lit(0))) % 25).cast("string")))
          .alias("ip_country"),
-        F.when(uid % 4 == 0, F.lit("Control"))
+        F.when(eid % 173 == 9, F.lit(None).cast("string"))
+         .when(uid % 4 == 0, F.lit("Control"))
          .when((uid % 10 == 7) & (k >= 90), F.lit("Control"))
          .otherwise(F.lit("Variation")).alias("cohort"),
     )
     # copy kind: 0 = the event, 1 = exact duplicate, 2 = same-instant echo. Only the kind is
     # exploded, so columns a query does not use still prune down to the scan.
-    eid = F.col("event_id")
     kinds = F.array(F.lit(0), F.when(eid % 50 == 0, F.lit(1)), F.when(eid % 25 == 1, F.lit(2)))
     x = d.select("*", F.explode(F.filter(kinds, lambda c: c.isNotNull())).alias("_kind"))
     echo = F.col("_kind") == F.lit(2)

@@ -3,19 +3,44 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.session import ensure_checkpoint_dir
 
 
+_kept: dict[str, list[str]] = {}  # intermediate tables by application
+recorder = None  # called with (name, DataFrame) before an intermediate table is written
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None,
               fmt: str = "parquet") -> None:
-    """``create or replace table … as select``: write the whole result, replacing the old one."""
-    w = df.write.mode("overwrite").format(fmt)
+    """``create or replace table … as select``: the whole result is written beside the old table
+    and takes its place by renames when it is complete; a failed run leaves the old table."""
+    path = path.rstrip("/")
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    w = df.write.format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(path)
+    w.save(fresh)
+    fs, target = _fs(df.sparkSession, path)
+    new = _fs(df.sparkSession, fresh)[1]
+    before = _fs(df.sparkSession, old)[1]
+    had = fs.exists(target)
+    if had and not fs.rename(target, before):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(before, target)
+        raise OSError(f"cannot put the new table at {path}")
+    if had:
+        fs.delete(before, True)
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -38,5 +63,23 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/cohortlens-tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    if recorder is not None:
+        recorder(name, df)
+    df.write.parquet(path)
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
+
+
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Delete the intermediate tables made inside the block when it ends. Results built from them
+    must be written or collected inside."""
+    made = _kept.setdefault(spark.sparkContext.applicationId, [])
+    start = len(made)
+    try:
+        yield
+    finally:
+        for path in made[start:]:
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+        del made[start:]

@@ -23,17 +23,43 @@ def pipe(spark):
     return Pipeline.from_testdata(spark, SF_SMALL, run_date="2024-02-01")
 
 
-def test_clean_events_shuffles_events_once_by_user_slice(pipe):
+def test_clean_events_shuffles_events_once(pipe):
     p = plan(pipe.clean_events)
     ex = exchanges(p)
-    # event rows are shuffled twice: the dedupe grouping (after map-side combine) and the
-    # user partitioning of the windows (the slice is the constant 0 when no user is hot and
-    # is folded away); the lookup side is broadcast
+    # event rows are shuffled once, by user: dedupe and windows work within that partitioning
+    # (the slice is the constant 0 when no user is hot); the lookup side is broadcast
     assert sum("_uk" in e for e in ex) == 1
-    assert sum("event_name" in e for e in ex) == 1
+    assert not any("event_name" in e for e in ex)
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
 
 
+@pytest.mark.parametrize("name, columns", [
+    ("validity_cohort_size", {"user_id", "event_type", "props", "event_id"}),
+    ("validity_distinct_platform", {"user_id", "event_type", "props", "event_id"}),
+    ("dq_lookup_coverage", {"user_id", "event_type", "props", "event_id"})])
+def test_profiles_write_nothing_and_prune(spark, name, columns, monkeypatch):
+    """Answers that duplicates cannot change: no intermediate table, no dedupe, a pruned scan."""
+    from cohortlens.sources import sinks
+
+    monkeypatch.setattr(sinks, "recorder", lambda what, df: pytest.fail(f"wrote {what}"))
+    p = plan(E.queries()[name](spark, SF_SMALL))
+    assert not any("event_name" in e for e in exchanges(p))
+    for s in re.findall(r"ReadSchema: struct<([^>]*)>", p):
+        assert {c.split(":")[0] for c in s.split(",")} <= columns | {"n_nationkey", "n_name"}
+
+
+def test_plans_behind_written_tables(spark, monkeypatch):
+    """The plans of written intermediates count too: the clean chain writes only the narrow user
+    profile and the hot users, never event rows, when no user is hot."""
+    from cohortlens.sources import sinks
+
+    seen = []
+    monkeypatch.setattr(sinks, "recorder", lambda what, df: seen.append((what, df.columns)))
+    E.queries()["clean_events"](spark, SF_SMALL)
+    assert [w for w, _ in seen] == ["user_profile", "hot_users"]
+    assert all("event_name" not in c for _, c in seen)
+
+
 def test_no_python_in_significance(pipe):
     p = plan(pipe.significance_results)
     assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p

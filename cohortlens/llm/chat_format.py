@@ -74,16 +74,22 @@ def render(turns: Column, escaped) -> Column:
     return F.array_join(F.transform(turns, lambda t: _render_turn(t["role"], t["text"], escaped(t))), "")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often lambdas inside ``use`` read it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _cut(formatted: Column) -> Column:
+    """struct(controls, between): control strings in order and the texts around them."""
+    return F.struct(F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0)).alias("controls"),
+                    F.split(formatted, CONTROL, -1).alias("between"))
+
+
 def parse(formatted: Column) -> Column:
-    """struct(turns, texts, ok): recovered (role, text) turns, raw text segments, and whether
-    the string follows the grammar."""
-    controls = F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0))
-    between = F.split(formatted, CONTROL, -1)
-    n = (F.size(controls) / 2).cast("int")
+    """struct(turns, ok): recovered (role, text) turns and whether the string follows the grammar."""
 
     def role_of(opening: Column) -> Column:
-        named = _role_back(F.regexp_replace(F.regexp_replace(opening, r"^\[ROLE%?=", ""), r"\]$", ""))
-        out = named
+        out = _role_back(F.regexp_replace(F.regexp_replace(opening, r"^\[ROLE%?=", ""), r"\]$", ""))
         for name, (a, b) in OPEN.items():
             out = F.when(opening.isin(a + b, a + "%" + b), F.lit(name)).otherwise(out)
         return out
@@ -94,16 +100,22 @@ def parse(formatted: Column) -> Column:
             out = out.when(opening.isin(a + b, a + "%" + b), F.lit(CLOSE[name]))
         return out
 
-    def turn(i: Column) -> Column:
-        opening, raw = controls[i * 2], between[i * 2 + 1]
-        marked = opening.rlike(r"^(<<SYS%|\[INST%|<s%|\[ROLE%)")
-        return F.struct(role_of(opening).alias("role"), F.when(marked, unescape(raw)).otherwise(raw).alias("text"))
+    def read(cut: Column) -> Column:
+        controls, between = cut["controls"], cut["between"]
+        n = F.floor(F.size(controls) / 2).cast("int")
+        places = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+
+        def turn(i: Column) -> Column:
+            opening, raw = controls[i * 2], between[i * 2 + 1]
+            marked = opening.rlike(r"^(<<SYS%|\[INST%|<s%|\[ROLE%)")
+            return F.struct(role_of(opening).alias("role"), F.when(marked, unescape(raw)).otherwise(raw).alias("text"))
+
+        paired = F.forall(places, lambda i: F.coalesce(closing_of(controls[i * 2]) == controls[i * 2 + 1], F.lit(False)))
+        empty = F.forall(F.sequence(F.lit(0), n), lambda i: F.coalesce(between[i * 2] == "", F.lit(False)))
+        return F.struct(F.transform(places, turn).alias("turns"),
+                        ((F.size(controls) % 2 == 0) & paired & empty).alias("ok"))
 
-    places = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
-    paired = F.forall(places, lambda i: F.coalesce(closing_of(controls[i * 2]) == controls[i * 2 + 1], F.lit(False)))
-    empty = F.forall(F.sequence(F.lit(0), n), lambda i: F.coalesce(between[i * 2] == "", F.lit(False)))
-    ok = (F.size(controls) % 2 == 0) & paired & empty
-    return F.struct(F.transform(places, turn).alias("turns"), between.alias("texts"), ok.alias("ok"))
+    return _once(_cut(formatted), read)
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
@@ -136,10 +148,9 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 def loss_spans(formatted: Column) -> Column:
     """Code-point ranges of the assistant texts: running lengths over controls and texts."""
-    controls = F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0))
-    between = F.split(formatted, CONTROL, -1)
-    step = F.zip_with(F.slice(between, 1, F.size(controls)), controls,
-                      lambda t, c: F.struct(F.length(t).alias("t"), F.length(c).alias("c"), c.alias("kind")))
+    step = _once(_cut(formatted), lambda cut: F.zip_with(
+        F.slice(cut["between"], 1, F.size(cut["controls"])), cut["controls"],
+        lambda t, c: F.struct(F.length(t).alias("t"), F.length(c).alias("c"), c.alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("open"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def walk(acc: Column, s: Column) -> Column:

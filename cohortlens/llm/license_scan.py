@@ -102,7 +102,7 @@ def normalise(sentence: str) -> str:
 
 def identify(sentence: str) -> str | None:
     """Identifier of a normalised sentence."""
-    if not any(s in sentence for s in STEMS) and "this program" not in sentence and not sentence.startswith(("you ", "either ", "see ", "mit", "the mit")):
+    if not any(s in sentence for s in STEMS):
         return None
     return next((k for k, p in _KNOWN if p.fullmatch(sentence)), None)
 

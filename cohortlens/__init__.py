@@ -7,7 +7,6 @@ functions/  column-level helpers (epoch seconds, local time, event labels, p-val
 operators/  DataFrame -> DataFrame operators: quality checks, cleaning, sessionizing,
             validity checks, funnel, significance
 plans/      end-to-end compositions of the operators and the DuckDB oracle SQL
-streaming/  (empty on purpose: the analysed pipeline is batch only)
 """
 
 from cohortlens import params  # noqa: F401

@@ -14,16 +14,20 @@ their overlap is at least a(n) = ceil(n num/den), for either size.
    lists; linked sets share a list. The order puts frequent elements last. It is taken from
    counts over all documents' first elements and over whole sets of a hashed share of them;
    any order gives the same result, a good one gives short lists.
-   - A list of up to ``light_list`` sets yields its pairs that pass the size filter and the
-     position filter (seen from the first shared element); each distinct pair is verified once.
-   - A longer list is scanned with the whole sets at hand: split into blocks of bounded rows
-     and bytes, each block and pair of blocks a group of its own, in which overlaps are counted
-     through the block's inverted index and only edges that join two trees are kept. No pairs
-     are written, however large a group of near copies is; blocks scan in parallel.
+   - A list of up to ``light_list`` sets yields its pairs that pass the size and position
+     filters. Over all lists, a pair is counted as often as it shares a list; the count, and all
+     that may follow the posted elements, bounds its overlap. Pairs within the bound are candidates.
+   - A longer list makes candidates of all its members, without writing pairs.
+   - Candidates that hang together (components of candidate pairs and long lists) form a group, so
+     each whole set is shipped twice: groups are cut into size bands, and a set meets those of its
+     band and of the band below. A large band is split into blocks of bounded rows and bytes, each
+     block and pair of blocks a task's group of its own, in which overlaps are counted through
+     the block's inverted index and only edges that join two trees are kept: no pairs are
+     written, however large a group of near copies is, and blocks scan in parallel.
 4. The boundary is the one of least estimated cost, from the histogram of small sizes.
-5. Verified edges between representatives, and components over them.
+5. Edges between representatives, by exact overlap, and components over them.
 
-Broadcast: at most ``hot_elements`` element hashes (8 bytes each).
+Broadcast: at most ``hot_limit`` element hashes and ``broadcast_rows`` rows of group numbers.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with
 nothing; its component is its own id. Rows that share a ``doc_id`` are one document with several
@@ -118,7 +122,7 @@ def hot_elements(docs: DataFrame, k: int, num: int, den: int, limit: int, share:
 def signatures(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, f1, f2, rare, prefix, small): set size, digest, list prefix in the global order
     (its first ``rare`` elements are not frequent), and the whole set if it is small."""
-    order = np.argsort(hot)
+    order = np.argsort(hot).astype(np.int32)
     shared = docs.sparkSession.sparkContext.broadcast((hot[order], order))
 
     def sign(batches):
@@ -190,27 +194,32 @@ def small_pairs(base: DataFrame, b: int, num: int, den: int) -> DataFrame:
               .filter(F.col("_n") > 1))
     pairs = keyed.join(centre, ["k", "c"]).filter(F.col("doc_id") != F.col("m.doc_id"))
     pairs = pairs.filter(_linked(F.col("c"), F.col("n"), F.col("m.n"), num, den))
-    return pairs.select(F.least("doc_id", "m.doc_id").alias("a"), F.greatest("doc_id", "m.doc_id").alias("b"))
+    return pairs.select(F.col("m.doc_id").alias("a"), F.col("doc_id").alias("b"),
+                        F.col("m.n").cast("long").alias("n"), F.col("n").cast("long").alias("m"))
 
 
-def _pairs_of_lists(doc, n, pos, starts, sizes, num, den):
-    """Pairs of the lists of one size that pass the size and position filters."""
-    s = sizes
+def _pairs_of_lists(doc, n, pos, starts, s, num, den):
+    """Pairs (rows i, j) of the lists of size s that pass the size and position filters: the shared
+    element stands at pos, so at most the smaller pos lie before it and the smaller rest after."""
     at = starts[:, None] + np.arange(s)
     i, j = np.triu_indices(s, 1)
     A, B = at[:, i].ravel(), at[:, j].ravel()
-    most = np.minimum(n[A] - pos[A], n[B] - pos[B])
+    most = np.minimum(pos[A], pos[B]) + np.minimum(n[A] - pos[A], n[B] - pos[B])
     ok = _linked(most, n[A], n[B], num, den) & (doc[A] != doc[B])
-    return np.minimum(doc[A], doc[B])[ok], np.maximum(doc[A], doc[B])[ok]
+    A, B = A[ok], B[ok]
+    flip = doc[A] > doc[B]
+    return np.where(flip, B, A), np.where(flip, A, B)
 
 
 def light_lists(postings: DataFrame, num: int, den: int, light_list: int) -> DataFrame:
-    """(e, a, b, n, pos) over lists: pairs (e null) of short lists; members of long ones (b null)."""
+    """(e, a, b, n, m, pos): pairs of short lists with their sizes (e null), once per shared list;
+    members of long lists (b null)."""
+    names = ["e", "a", "b", "n", "m", "pos"]
 
     def scan(batches):
         rest = None
         for last, batch in _with_last(batches):
-            cols = [batch.column(k).to_numpy() for k in range(4)]
+            cols = [batch.column(k).to_numpy().astype(np.int64) for k in range(4)]
             if rest is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols)]
             e = cols[0]
@@ -219,23 +228,30 @@ def light_lists(postings: DataFrame, num: int, den: int, light_list: int) -> Dat
             if not last and len(begin):
                 cut = begin[-1]
                 rest, begin, end = [x[cut:] for x in cols], begin[:-1], end[:-1]
-            doc, n, pos = cols[1], cols[2], cols[3]
+            doc, n, pos = cols[1:]
             size = end - begin
             for s in np.unique(size[(size > 1) & (size <= light_list)]).tolist():
-                runs = begin[size == s]
-                for r in range(0, len(runs), max(1, 1_000_000 // (s * s))):
-                    a, b = _pairs_of_lists(doc, n, pos, runs[r:r + max(1, 1_000_000 // (s * s))], s, num, den)
-                    if len(a):
-                        a, b = np.unique(np.stack([a, b]), axis=1)
-                        none = pa.nulls(len(a), pa.int64())
-                        yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b), none, none], names=["e", "a", "b", "n", "pos"])
+                runs, step = begin[size == s], max(1, 1_000_000 // (s * s))
+                for r in range(0, len(runs), step):
+                    i, j = _pairs_of_lists(doc, n, pos, runs[r:r + step], s, num, den)
+                    if len(i):
+                        none = pa.nulls(len(i), pa.int64())
+                        yield pa.RecordBatch.from_arrays([none, *map(pa.array, (doc[i], doc[j], n[i], n[j])), none], names=names)
             for x, y in zip(begin[size > light_list], end[size > light_list]):
                 none = pa.nulls(int(y - x), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(e[x:y]), pa.array(doc[x:y]), none, pa.array(n[x:y]), pa.array(pos[x:y].astype(np.int64))],
-                                                 names=["e", "a", "b", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(e[x:y]), pa.array(doc[x:y]), none, pa.array(n[x:y]), none, pa.array(pos[x:y])], names=names)
 
     sorted_ = postings.select("e", "doc_id", "n", "pos").repartition("e").sortWithinPartitions("e")
-    return sorted_.mapInArrow(scan, "e long, a long, b long, n long, pos long")
+    return sorted_.mapInArrow(scan, "e long, a long, b long, n long, m long, pos long")
+
+
+def bounded_pairs(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, n, m) whose shared lists, and all elements not posted, allow the overlap they need.
+    Common elements up to the end of one of the two postings are all in shared lists."""
+    n, m = F.col("n"), F.col("m")
+    rest = lambda x: F.ceil(x * num / den) - 1  # noqa: E731  elements not posted
+    x = pairs.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("_c"))
+    return x.filter(_linked(F.col("_c") + F.greatest(rest(n), rest(m)), n, m, num, den)).select("a", "b", "n", "m")
 
 
 def _with_last(batches):
@@ -249,11 +265,12 @@ def _with_last(batches):
     yield True, previous if previous is not None else empty
 
 
-def scan_block(doc, n, pos, side, sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join trees, among the members of one long list (or block pair: only across
-    sides). Members are taken by position, so those nearest a group's centre come first."""
+def scan_block(doc, n, pos, side, guest, sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join trees, among the sets of one block (or block pair: only across sides).
+    Guests (of the next size band) are not compared with each other.
+    Sets with few elements before their first long list come first: those nearest a centre."""
     order = np.lexsort((doc, pos))
-    doc, n, pos, side = doc[order], n[order], pos[order], side[order]
+    doc, n, pos, side, guest = doc[order], n[order], pos[order], side[order], guest[order].astype(bool)
     sets = [sets[i] for i in order]
     m = len(doc)
     flat = np.concatenate(sets)
@@ -270,11 +287,12 @@ def scan_block(doc, n, pos, side, sets, num: int, den: int) -> tuple[np.ndarray,
     across = len(np.unique(side)) > 1
     a, b = [], []
     for i in range(m - 1):
-        most = np.minimum(n[i] - pos[i], n - pos)
-        open_ = (tree != tree[i]) & _linked(most, n[i], n, num, den)
+        open_ = (tree != tree[i]) & _linked(np.minimum(n[i], n), n[i], n, num, den)
         open_[:i + 1] = False
         if across:
             open_ &= side != side[i]
+        if guest[i]:
+            open_ &= ~guest
         if not open_.any():
             continue
         own = code[mine[i]:mine[i + 1]]
@@ -287,61 +305,59 @@ def scan_block(doc, n, pos, side, sets, num: int, den: int) -> tuple[np.ndarray,
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def heavy_edges(members: DataFrame, sets: DataFrame, num: int, den: int, block_rows: int, block_bytes: int) -> DataFrame:
-    """Edges (a, b) within long lists. members: (e, doc_id, n, pos); sets: (doc_id, set)."""
-    size = members.groupBy("e").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_s"))
+def candidate_groups(members: DataFrame, pairs: DataFrame, num: int, den: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """(doc_id, g, band, lo, hi, pos, side, guest): candidate sets by group, size band and block
+    pair. members: (e, doc_id, n, pos) of long lists; pairs: (a, b, n, m) with sizes."""
+    low = members.groupBy("e").agg(F.min("doc_id").alias("a"))
+    ties = members.join(low, "e").select("a", F.col("doc_id").alias("b"))
+    roots = components(ties.unionByName(pairs.select("a", "b")))
+    far = F.lit(1 << 30)
+    ends = [pairs.select(F.col(c).alias("doc_id"), F.col(n).alias("n"), far.alias("pos")) for c, n in (("a", "n"), ("b", "m"))]
+    x = members.select("doc_id", "n", "pos").union(ends[0]).union(ends[1])
+    x = x.groupBy("doc_id").agg(F.min("pos").alias("pos"), F.max("n").alias("n"))
+    x = x.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    # linked sets differ in size by at most den/num: band j compares its own sets with each other
+    # and with those of band j + 1
+    band = F.col("n") if num == den else F.floor(F.log(F.col("n") + F.lit(0.5)) / F.lit(float(np.log(den / num))))
+    band = band.cast("int")
+    x = x.select("doc_id", "n", "pos", F.coalesce("root", "doc_id").alias("g"), band.alias("_own"))
+    x = x.withColumn("band", F.explode(F.array(F.col("_own"), F.col("_own") - 1)))
+    x = x.withColumn("guest", F.col("band") != F.col("_own"))
+    size = x.groupBy("g", "band").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_s"), F.count_if(~F.col("guest")).alias("_mine"))
+    size = size.filter((F.col("_mine") > 0) & (F.col("_c") > 1))
     blocks = F.greatest(F.ceil(F.col("_c") / block_rows), F.ceil(F.col("_s") * 8 / block_bytes), F.lit(1)).cast("int")
-    x = members.join(size.select("e", blocks.alias("_nb")), "e")
-    x = x.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.col("_nb")).cast("int"))
+    x = x.join(size.select("g", "band", blocks.alias("_nb")), ["g", "band"])
+    x = x.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("_nb")).cast("int"))
     x = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    x = x.select("e", F.least("_s", "_o").alias("lo"), F.greatest("_s", "_o").alias("hi"), "doc_id", "n", "pos", F.col("_s").alias("side"))
-
-    def run(table: pa.Table) -> pa.Table:
-        got = {c: table[c].to_numpy() for c in ("doc_id", "n", "pos", "side")}
-        s = [np.frombuffer(v, dtype="<u8") for v in table["set"].to_pylist()]
-        # rows of one id with several texts: the size is the set's own
-        a, b = scan_block(got["doc_id"], np.array([len(v) for v in s], np.int64), got["pos"], got["side"], s, num, den)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return x.join(sets.select("doc_id", "set"), "doc_id").groupBy("e", "lo", "hi").applyInArrow(run, "a long, b long")
-
+    return x.select("doc_id", "g", "band", F.least("side", "_o").alias("lo"), F.greatest("side", "_o").alias("hi"), "pos", "side", "guest")
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets link."""
 
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                keep.append(bool(_linked(int((y[at] == x).sum()), len(x), len(y), num, den)))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
-    x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
-    return x.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, set): the sets of the named documents, as sorted little-endian bytes."""
+def group_edges(docs: DataFrame, grouped: DataFrame, k: int, num: int, den: int, broadcast_rows: int) -> DataFrame:
+    """Edges (a, b) within the groups of ``candidate_groups``. The sets are made from the texts of
+    their documents: where at most ``broadcast_rows`` rows are grouped (6 numbers each), they are
+    broadcast and no text is shuffled; beyond, they are joined."""
 
     def make(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 got = [s.tobytes() for _, s in _sets(part, k)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], names=["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(got, pa.binary())], names=[*part.schema.names[1:], "set"])
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, pos, side, guest = (table[c].to_numpy() for c in ("doc_id", "pos", "side", "guest"))
+        s = [np.frombuffer(v, dtype="<u8") for v in table["set"].to_pylist()]
+        a, b = scan_block(doc, np.array([len(v) for v in s], np.int64), pos, side, guest, s, num, den)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    own = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    return own.mapInArrow(make, "doc_id long, set binary")
+    few = grouped.limit(broadcast_rows + 1).count() <= broadcast_rows
+    own = docs.join(F.broadcast(grouped) if few else grouped.hint("shuffle_hash"), "doc_id")
+    own = own.select("text", *grouped.columns).mapInArrow(make, "doc_id long, g long, band int, lo int, hi int, pos long, side int, guest boolean, set binary")
+    return own.groupBy("g", "band", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot_limit: int = 131_072, light_list: int = 32,
-         block_rows: int = 2048, block_bytes: int = 1 << 24, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot_limit: int = 1 << 20, light_list: int = 32,
+         block_rows: int = 2048, block_bytes: int = 1 << 24, broadcast_rows: int = 1 << 19, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, edges, roots): (doc_id, n_shingles, rep) per document row, verified edges (a, b)
     between representatives, and (node, root) of their components."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -362,14 +378,13 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot_limit:
     plain = post.filter("pos < rare").drop("rare").unionByName(
         hot_post.join(counted.filter(F.col("_c") <= light_list).select("e"), "e", "left_semi").select("doc_id", "n", "pos", "e"))
     scanned = materialize(light_lists(plain, num, den, light_list), "lists")
-    pairs = scanned.filter("e is null").select("a", "b").unionByName(small).distinct()
-    pairs = materialize(pairs, "pairs")
+    listed = bounded_pairs(scanned.filter("e is null").select("a", "b", "n", "m"), num, den)
+    pairs = materialize(listed.unionByName(small.distinct()), "pairs")
     members = (hot_post.join(counted.filter(F.col("_c") > light_list).select("e"), "e", "left_semi").select("e", "doc_id", "n", "pos")
                .unionByName(scanned.filter("e is not null").select("e", F.col("a").alias("doc_id"), "n", "pos")))
     members = materialize(members, "long-lists")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("doc_id")).distinct()
-    sets = materialize(sets_of(docs, ids, k), "sets")
-    edges = verified(pairs, sets, num, den).unionByName(heavy_edges(members, sets, num, den, block_rows, block_bytes))
+    grouped = materialize(candidate_groups(members, pairs, num, den, block_rows, block_bytes), "groups")
+    edges = group_edges(docs, grouped, k, num, den, broadcast_rows)
     edges = materialize(edges.distinct(), "links")
     roots = components(edges)
     rows = sig.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")

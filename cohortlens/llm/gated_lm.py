@@ -8,16 +8,18 @@ Every other token, seen or not, belongs to a class by its last two bytes, in whi
 unigram base score, applied within a class. The state is that of a gated recurrent unit.
 
 Corpus counts: every scan batch adds up its words before the shuffle, so a frequent word costs
-a row per batch. Documents are dealt by hash into parts of about ``part_bytes``; a part's
-distinct words get their corpus counts in one join, and the part's documents meet them in one
-cogroup: no table of all words is ever broadcast or collected.
+a row per batch. The ``direct`` most frequent words are broadcast with their counts. The others'
+occurrences leave the scoring scan packed by hash bucket, together with the document they stand
+in and whether it trains; a bucket holds all occurrences of its words, counts them, and returns
+the documents' sums of log counts, packed by scan batch. Texts are not shuffled, and no table of all words is ever
+broadcast or collected.
 
 Training: truncated backpropagation (``window`` steps, state carried on) with Adam, over every
 training document once. The documents are dealt into ``rounds``; in a round each task trains on
 what it reads from the round's weights, and the weights are averaged by tokens in two grouped
-steps. Broadcast and collected: the weights (fixed size), ``head`` counts, class totals.
+steps. Broadcast and collected: the weights (fixed size), ``direct`` counts, class totals.
 
-Scoring: all documents of a part advance together, longest first, in windows between which
+Scoring: all documents of a scan batch advance together, longest first, in windows between which
 the state is carried, so a text is scored whole, whatever its length.
 
 Defined results: a null or empty text is the end token alone; without training documents the
@@ -28,6 +30,7 @@ and text are read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,33 +79,34 @@ def tokens(col: pa.Array, i: int, j: int, data: np.ndarray, off: np.ndarray):
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """(part, w, kind, c): per scan batch and part, each distinct word and how often it stands in
-    training documents (0: not at all)."""
+    """(w, kind, c): per scan batch, each distinct word and how often it stands there."""
 
     def count(batches):
         for b in batches:
             col = text_column(b)
             data, off = raw(col)
-            part, train = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
-            for p in np.unique(part).tolist():
-                rows = np.flatnonzero(part == p)
-                sub = col.take(pa.array(rows))
-                data, off = raw(sub)
-                hs, ks, ts = [], [], []
-                for i, j in slices(off):
-                    h, k, first = tokens(sub, i, j, data, off)
-                    t = np.repeat(train[rows[i:j]], np.diff(first))
-                    u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-                    hs.append(u)
-                    ks.append(k[at])
-                    ts.append(np.bincount(inv, weights=t, minlength=len(u)).astype(np.int64))
+            hs, ks, cs = [], [], []
+            for i, j in slices(off):
+                h, k, _ = tokens(col, i, j, data, off)
+                u, at, c = np.unique(h, return_index=True, return_counts=True)
+                hs.append(u)
+                ks.append(k[at])
+                cs.append(c)
+            if hs:
                 u, at, inv = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
-                c = np.bincount(inv, weights=np.concatenate(ts), minlength=len(u)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(u), p, np.int32)), pa.array(u.view(np.int64)), pa.array(np.concatenate(ks)[at].astype(np.int32)), pa.array(c)],
-                    names=["part", "w", "kind", "c"])
+                c = np.bincount(inv, weights=np.concatenate(cs), minlength=len(u)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.concatenate(ks)[at].astype(np.int32)), pa.array(c)],
+                                                 names=["w", "kind", "c"])
+
+    return docs.select("text").mapInArrow(count, "w long, kind int, c long")
 
-    return docs.select("part", "text", "train").mapInArrow(count, "part int, w long, kind int, c long")
+
+def frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the most frequent words, sorted by hash; at most ``limit``."""
+    top = counts.orderBy(F.desc("c"), "w").limit(limit).select("w", "c").toArrow()
+    w, c = top["w"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    order = np.argsort(w)
+    return w[order], c[order]
 
 
 def vocabulary(counts: DataFrame, head: int) -> Vocabulary:
@@ -379,57 +383,121 @@ def neural(m: Model, y: np.ndarray, first: np.ndarray, memory: int = 1 << 16) ->
     return total
 
 
-def score_documents(docs: DataFrame, held_out: Column, hidden: int = 16, head: int = 1024, rounds: int = 3, lanes: int = 128,
-                    window: int = 32, rate: float = 0.02, part_bytes: int = 1 << 24, id_col: str = "doc_id",
-                    text: str = "text") -> DataFrame:
+def _scan(shared, hidden: int, buckets: int):
+    """Scan batches to document rows (bucket -1) and packed rest words (bucket 0 and up)."""
+
+    def run(batches):
+        voc, flat, w, c = shared.value
+        m, order = Model(voc, hidden, flat), np.argsort(voc.head)
+        w, c = np.append(w, np.uint64(2**64 - 1)), np.append(c, 0)
+        share = np.log10(voc.tail_tokens + voc.tail_types + 1.0)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            col = text_column(b)
+            data, off = raw(col)
+            train = ~b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            parts: dict[str, list] = {k: [] for k in ("n", "k", "s", "m", "y", "first", "h", "row")}
+            at = 0
+            for i, j in slices(off):
+                h, kind, first = tokens(col, i, j, data, off)
+                place = np.searchsorted(w, h)
+                direct = w[place] == h
+                logc = np.where(direct, np.log10(c[place] + 1.0), 0.0)
+                y = token_ids(voc, order, h, kind)
+                out = y >= len(voc.head)
+                inner = np.where(out, logc - share[np.where(out, y - len(voc.head), 0)], 0.0)
+                begin = first[:-1]
+                parts["n"].append(np.diff(first))
+                parts["k"].append(np.add.reduceat((direct & (c[place] > 0)).astype(np.int64), begin))
+                parts["s"].append(np.add.reduceat(logc, begin))
+                parts["m"].append(np.add.reduceat(inner, begin))
+                parts["y"].append(y)
+                parts["first"].append(begin + at)
+                rest = ~direct
+                parts["h"].append(h[rest])
+                parts["row"].append((np.repeat(np.arange(i, j), np.diff(first))[rest]).astype(np.uint32))
+                at += len(h)
+            g = {k: np.concatenate(v) for k, v in parts.items()}
+            score = neural(m, g["y"], np.append(g["first"], at).astype(np.int64)) / np.log(10) + g["m"]
+            rows = b.num_rows
+            chunk = uuid.uuid4().int >> 65
+            where = (g["h"] >> np.uint64(33)) % np.uint64(buckets)
+            by = np.argsort(where, kind="stable")
+            ends = np.searchsorted(where[by], np.arange(buckets + 1))
+            packed = [(k, by[ends[k]:ends[k + 1]]) for k in range(buckets) if ends[k] < ends[k + 1]]
+            flags, n = train.tobytes(), len(packed)
+            pad = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(n, t)])
+            blank = pa.nulls(rows, pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(np.full(rows, -1, np.int32)), pa.array([k for k, _ in packed], pa.int32())]),
+                 pa.array(np.full(rows + n, chunk, np.int64)), pad(np.arange(rows, dtype=np.int32), pa.int32()),
+                 pa.concat_arrays([b.column(0), pa.nulls(n, b.column(0).type)]), pad(~train, pa.bool_()),
+                 pad(g["n"], pa.int64()), pad(g["k"], pa.int64()), pad(g["s"], pa.float64()), pad(score, pa.float64()),
+                 pa.concat_arrays([blank, pa.array([g["h"][x].tobytes() for _, x in packed], pa.binary())]),
+                 pa.concat_arrays([blank, pa.array([g["row"][x].tobytes() for _, x in packed], pa.binary())]),
+                 pa.concat_arrays([blank, pa.array([flags] * n, pa.binary())])],
+                names=["bucket", "chunk", "row", "doc_id", "held_out", "n", "k", "s", "m", "words", "rows", "flags"])
+
+    return run
+
+
+def _count_bucket(table: pa.Table) -> pa.Table:
+    """Per chunk, packed: its rows with words of this bucket, their sums of log10(c + 1) and
+    numbers of known words."""
+    words_ = [np.frombuffer(x, "<u8") for x in table["words"].to_pylist()]
+    rows = [np.frombuffer(x, "<u4") for x in table["rows"].to_pylist()]
+    flags = [np.frombuffer(x, bool) for x in table["flags"].to_pylist()]
+    _, inv = np.unique(np.concatenate(words_), return_inverse=True)
+    c = np.bincount(inv, weights=np.concatenate([f[r] for f, r in zip(flags, rows)]))[inv]
+    logc, at = np.log10(c + 1.0), 0
+    out: dict[str, list[bytes]] = {"rows": [], "s": [], "k": []}
+    for r in rows:
+        own = slice(at, at + len(r))
+        at += len(r)
+        s, k, n = np.bincount(r, weights=logc[own]), np.bincount(r, weights=c[own] > 0), np.bincount(r)
+        there = np.flatnonzero(n)
+        for name, x in (("rows", there.astype("<u4")), ("s", s[there]), ("k", k[there])):
+            out[name].append(x.tobytes())
+    return pa.table({"chunk": table["chunk"], **{n: pa.array(x, pa.binary()) for n, x in out.items()}})
+
+
+def _sum_chunk(table: pa.Table) -> pa.Table:
+    """(chunk, row, s, k) of one scan batch, over all buckets."""
+    row, s, k = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("rows", "<u4"), ("s", "<f8"), ("k", "<f8")))
+    there = np.flatnonzero(np.bincount(row))
+    return pa.table({"chunk": np.full(len(there), table["chunk"][0].as_py(), np.int64), "row": there.astype(np.int32),
+                     "_s": np.bincount(row, weights=s)[there], "_k": np.bincount(row, weights=k)[there].astype(np.int64)})
+
+
+def score_documents(docs: DataFrame, held_out: Column, hidden: int = 16, head: int = 1024, direct: int = 65_536,
+                    rounds: int = 3, lanes: int = 256, window: int = 32, rate: float = 0.02, bucket_bytes: int = 1 << 26,
+                    id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document
     row; scores are log10. Learns from the rows where ``held_out`` is false."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
-    docs = docs.withColumn("train", ~F.col("held_out")).withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
-    counted = materialize(_word_counts(docs).groupBy("w", "kind", "part").agg(F.sum("c").alias("c")), "word-counts")
-    counts = materialize(counted.groupBy("w", "kind").agg(F.sum("c").alias("c")).filter("c > 0"), "counts")
+    counts = _word_counts(docs.filter(~F.col("held_out"))).groupBy("w", "kind").agg(F.sum("c").alias("c"))
+    counts = materialize(counts, "word-counts")
     voc = vocabulary(counts, head)
-    flat = train(docs, voc, hidden, rounds, lanes, window, rate)
-    shared = spark.sparkContext.broadcast((voc, flat))
-
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        voc, flat = shared.value
-        m, order = Model(voc, hidden, flat), np.argsort(voc.head)
-        w, c = right["w"].to_numpy().view(np.uint64), right["c"].to_numpy()
-        by = np.argsort(w)
-        w, c = np.append(w[by], np.uint64(2**64 - 1)), np.append(c[by], 0)
-        col = text_column(left.combine_chunks().to_batches()[0]) if left.num_rows else pa.array([], pa.large_string())
-        data, off = raw(col)
-        n_tok, n_known, base, tail, ys, firsts, at = [], [], [], [], [], [], 0
-        n, v = voc.tokens, voc.types
-        share = np.log10(voc.tail_tokens + voc.tail_types + 1.0)
-        for i, j in slices(off):
-            h, k, first = tokens(col, i, j, data, off)
-            place = np.searchsorted(w, h)
-            cnt = np.where(w[place] == h, c[place], 0)
-            y = token_ids(voc, order, h, k)
-            logc = np.log10(cnt + 1.0)
-            is_tail = y >= len(voc.head)
-            inner = np.where(is_tail, logc - share[np.where(is_tail, y - len(voc.head), 0)], 0.0)
-            n_tok.append(np.diff(first))
-            n_known.append(np.add.reduceat((cnt > 0).astype(np.int64), first[:-1]))
-            base.append(np.add.reduceat(logc, first[:-1]) - np.diff(first) * np.log10(n + v + 1.0))
-            tail.append(np.add.reduceat(inner, first[:-1]))
-            ys.append(y)
-            firsts.append(first[:-1] + at)
-            at += len(h)
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        y, first = cat(ys, np.int32), np.append(cat(firsts, np.int64), at).astype(np.int64)
-        total = neural(m, y, first) / np.log(10) + cat(tail, np.float64)
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(cat(n_tok, np.int64), pa.int64()),
-                         "n_known": pa.array(cat(n_known, np.int64), pa.int64()), "train_tokens": pa.array(np.full(len(first) - 1, n), pa.int64()),
-                         "base_score": pa.array(cat(base, np.float64)), "score": pa.array(total)})
-
+    flat = train(docs.withColumn("train", ~F.col("held_out")), voc, hidden, rounds, lanes, window, rate)
+    w, c = frequent(counts, direct)
+    if END not in w:  # few documents: the end token is always direct
+        at = int(np.searchsorted(w, END))
+        w, c = np.insert(w, at, END), np.insert(c, at, voc.head_count[voc.head == END][0])
+    shared = spark.sparkContext.broadcast((voc, flat, w, c))
+    buckets = max(1, -(-size // bucket_bytes))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    answers = (counted.select("part", "w").join(counts.select("w", "c"), "w"))
-    left = docs.select("part", "doc_id", "held_out", "text").groupBy("part")
-    return left.cogroup(answers.groupBy("part")).applyInArrow(score, schema)
+    schema = (f"bucket int, chunk long, row int, doc_id {kind}, held_out boolean, n long, k long, s double, m double, "
+              "words binary, rows binary, flags binary")
+    scored = materialize(docs.mapInArrow(_scan(shared, hidden, buckets), schema), "scored")
+    rest = (scored.filter("bucket >= 0").select("bucket", "chunk", "words", "rows", "flags").groupBy("bucket")
+            .applyInArrow(_count_bucket, "chunk long, rows binary, s binary, k binary"))
+    rest = rest.groupBy("chunk").applyInArrow(_sum_chunk, "chunk long, row int, _s double, _k long")
+    x = scored.filter("bucket < 0").join(rest, ["chunk", "row"], "left")
+    more, known = F.coalesce("_s", F.lit(0.0)), F.coalesce("_k", F.lit(0))
+    each = float(np.log10(voc.tokens + voc.types + 1.0))
+    return x.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("k") + known).alias("n_known"),
+                    F.lit(voc.tokens).cast("long").alias("train_tokens"),
+                    (F.col("s") + more - F.col("n") * F.lit(each)).alias("base_score"), (F.col("m") + more).alias("score"))

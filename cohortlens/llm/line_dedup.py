@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm._text import SPACES, text_column, with_columns
+from cohortlens.llm._text import SPACES, raw, slices, text_column, with_columns
 from cohortlens.session import ensure_checkpoint_dir
 
 KEY = ["h1", "h2"]
@@ -52,13 +53,20 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(digest, keys)), dtype=_PAIR)
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The texts as bytes, about 1 MB of them held at a time."""
+    col = text_column(batch)
+    for i, j in slices(raw(col)[1]):
+        yield from col.slice(i, j - i).cast(pa.large_binary()).to_pylist()
+
+
 def batch_counts(docs: DataFrame, n_batches: int, min_chars: int) -> DataFrame:
     """(batch, h1, h2, n_docs) with one row per key, batch and Arrow batch of the scan."""
 
     def count(batches):
         for b in batches:
             seen: list[Counter] = [Counter() for _ in range(n_batches)]
-            for part, text in zip(b.column(0).to_pylist(), text_column(b).cast(pa.large_binary()).to_pylist()):
+            for part, text in zip(b.column(0).to_pylist(), _texts(b)):
                 seen[part].update({k for k in line_keys(text) if _long_enough(k, min_chars)})
             for part, keys in enumerate(seen):
                 if keys:
@@ -136,7 +144,7 @@ def _filtered(batch: pa.RecordBatch, drop_of, min_chars: int) -> pa.RecordBatch:
     """Drop lines; ``drop_of(row)`` is the set of 16-byte hashes that go from this row."""
     texts, lines, dropped = [], [], []
     digest = xxhash.xxh3_128_digest
-    for row, text in enumerate(text_column(batch).cast(pa.large_binary()).to_pylist()):
+    for row, text in enumerate(_texts(batch)):
         parts, drop = text.split(b"\n"), drop_of(row)
         kept = parts
         if drop:
@@ -185,7 +193,7 @@ def _drop_by_join(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataF
 
     def pairs(batches):
         for b in batches:
-            for text in text_column(b).cast(pa.large_binary()).to_pylist():
+            for text in _texts(b):
                 h = _hashes(list({k for k in line_keys(text) if _long_enough(k, min_chars)}))
                 one = np.frombuffer(xxhash.xxh3_128_digest(text), _PAIR)[0]
                 if len(h):
@@ -195,7 +203,7 @@ def _drop_by_join(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataF
 
     def keyed(batches):
         for b in batches:
-            h = _hashes(text_column(b).cast(pa.large_binary()).to_pylist())
+            h = _hashes(list(_texts(b)))
             yield with_columns(b, {"_t1": pa.array(h["h1"]), "_t2": pa.array(h["h2"])})
 
     def apply(batches):

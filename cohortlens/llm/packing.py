@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm._text import text_column
+from cohortlens.llm._text import raw, slices, text_column
 from cohortlens.sources.sinks import materialize
 
 SIZE = 2048
@@ -38,7 +38,7 @@ _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 # Letters that NFC and lower-casing treat one by one, then ASCII marks without the apostrophe:
 # the tokenizer's pattern cuts such a word into its letters and its marks.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
-_KEPT_WORDS = 1_000_000
+_KEPT_WORDS = 400_000
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
@@ -106,17 +106,11 @@ def _ids(path: str, texts: list[str]) -> list[bytes]:
     return [x + end for x in word_tokenizer(path).encode(texts)]
 
 
-def _batches_of_texts(col: pa.Array, limit: int = 1 << 20):
-    """Slices of about ``limit`` characters, so that ids of few documents are held at once."""
-    part, n, at = [], 0, 0
-    for k, t in enumerate(col.to_pylist()):
-        part.append(t)
-        n += len(t)
-        if n >= limit:
-            yield at, part
-            part, n, at = [], 0, k + 1
-    if part:
-        yield at, part
+def _batches_of_texts(col: pa.Array):
+    """(first row, texts) of slices of about 1 MB, so that ids of few documents are held at once."""
+    _, off = raw(col)
+    for i, j in slices(off):
+        yield i, col.slice(i, j - i).to_pylist()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str = "doc_id",
@@ -125,8 +119,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str =
 
     def cut(batches):
         for b in batches:
-            col = text_column(b, "text").cast(pa.string())
-            for at, texts in _batches_of_texts(col):
+            for at, texts in _batches_of_texts(text_column(b, "text")):
                 doc, piece, length, crc = [], [], [], []
                 for k, ids in enumerate(_ids(tokenizer_path, texts)):
                     for p, i in enumerate(range(0, len(ids), 4 * size)):

@@ -14,15 +14,23 @@ from cohortlens.llm import decontaminate, language_id, line_dedup, ngram_join, p
 from cohortlens.llm.queries import read
 from cohortlens.sources.sinks import materialize
 
+#: Rows per Arrow batch, set for the session by every stage: texts are long, and a task holds a few
+#: copies of a batch on either side of its Python worker. It does not change results.
+ARROW_ROWS = 1000
 #: A document goes when it has no letter or its best language is less likely than not.
 MIN_LANGUAGE_SCORE = 0.5
 #: Near-duplicates: five-word shingles, similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows of ``docs``; keeps rows with a recognised language. A null
     text has none."""
+    _small_batches(spark)
     found = language_id.identify(docs.drop("lang_pred", "score"))
     keep = (F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE)
     return found.filter(keep).select(*docs.columns)
@@ -30,6 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand in ten or more documents; ``n_chars`` follows."""
+    _small_batches(spark)
     out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -38,16 +47,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
+    _small_batches(spark)
     return ngram_join.keep_first(docs, k=SHINGLE_WORDS, num=SIMILARITY_PERCENT, den=100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
+    _small_batches(spark)
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece: its document, token range, sequence and place."""
+    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

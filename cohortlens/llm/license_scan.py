@@ -1,7 +1,7 @@
 """License scans by sentence rules.
 
-A text is cut into sentences (at line ends, and at ., !, ? or ; before white space; also with
-single line ends taken as spaces, for notices wrapped over lines). A sentence is normalised:
+A text is cut into sentences (at line ends, and at ., !, ?, : or ; before white space, but not
+in "v. 2"; also with single line ends taken as spaces, for notices wrapped over lines). A sentence is normalised:
 lower case, runs of anything but letters, digits, '.', '+' and '-' become one space, outer
 marks go. A fixed table maps normalised sentences to sentence identifiers. Ordered licence
 rules, each a sequence of identifiers, are matched against the document's identifier
@@ -31,8 +31,9 @@ MAX_GAP = 1
 
 # Sentences of well-known licence notices, normalised, as patterns by identifier.
 SENTENCES: dict[str, str] = {
-    "apache2-short": r"licensed under the apache license,? version 2\.0",
+    "apache2-short": r"(licensed|the asf licenses this file to you) under the apache license,? (version |v)?2\.0( the license)?",
     "apache2-compliance": r"you may not use this file except in compliance with the license",
+    "apache2-obtain-asis": r"you may obtain a copy of the license at https? \S+ unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache2-obtain": r"you may obtain a copy of the license at( http.*)?",
     "apache2-asis": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache2-see": r"see the license for the specific language governing permissions and limitations under the license",
@@ -47,6 +48,8 @@ SENTENCES: dict[str, str] = {
     "gpl-free": r"this program is free software",
     "gpl-terms2": r"you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-terms2-one": r"this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-terms-either3": r"(this program is free software )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or( at your option)? any later version",
+    "gpl-terms-either2": r"(this program is free software )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or( at your option)? any later version",
     "gpl-either3": r"either version 3 of the license or( at your option)? any later version",
     "gpl-either2": r"either version 2 of the license or( at your option)? any later version",
     "gpl-hope": r"this program is distributed in the hope that it will be useful but without any warranty",
@@ -56,9 +59,9 @@ SENTENCES: dict[str, str] = {
     "bsd-endorse": r"(\d\.? )?neither the name of .* nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-short": r"licensed under the (3-clause )?bsd license",
     "mpl2": r"this source code form is subject to the terms of the mozilla public license v\. 2\.0",
-    "cc-by": r"(this work is )?licensed under (a )?(cc by|creative commons attribution) 4\.0( international license)?",
-    "cc-by-nc": r"(this work is )?licensed under (a )?(cc by-nc|creative commons attribution-noncommercial) 4\.0( international license)?",
-    "cc-by-sa": r"(this work is )?licensed under (a )?(cc by-sa|creative commons attribution-sharealike) 4\.0( international license)?",
+    "cc-by": r"(this work is )?licensed under ((a|the) )?(cc by|creative commons attribution) 4\.0( international license)?",
+    "cc-by-nc": r"(this work is )?licensed under ((a|the) )?(cc by-nc|creative commons attribution-noncommercial) 4\.0( international license)?",
+    "cc-by-sa": r"(this work is )?licensed under ((a|the) )?(cc by-sa|creative commons attribution-sharealike) 4\.0( international license)?",
     "cc0": r"(this work is )?(dedicated to|released into) the public domain( under cc0.*)?",
     "reserved": r"all rights reserved",
     "copyright": r"copyright( c)? \d{4}.*",
@@ -66,6 +69,7 @@ SENTENCES: dict[str, str] = {
 # Ordered rules (name, licence, identifiers); longer rules stand before shorter.
 RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("apache2-header", "Apache-2.0", ("apache2-short", "apache2-compliance", "apache2-obtain", "apache2-asis", "apache2-see")),
+    ("apache2-header-one", "Apache-2.0", ("apache2-short", "apache2-compliance", "apache2-obtain-asis", "apache2-see")),
     ("mit-full", "MIT", ("mit-grant", "mit-notice", "asis-software", "no-liability")),
     ("bsd3", "BSD-3-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("bsd2", "BSD-2-Clause", ("bsd-redist", "bsd-source", "bsd-binary")),
@@ -73,6 +77,10 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("gpl3-header-one", "GPL-3.0-or-later", ("gpl-terms2-one", "gpl-either3")),
     ("gpl2-header", "GPL-2.0-or-later", ("gpl-free", "gpl-terms2", "gpl-either2")),
     ("gpl2-header-one", "GPL-2.0-or-later", ("gpl-terms2-one", "gpl-either2")),
+    ("gpl3-sentence", "GPL-3.0-or-later", ("gpl-free", "gpl-terms-either3")),
+    ("gpl3-sentence-one", "GPL-3.0-or-later", ("gpl-terms-either3",)),
+    ("gpl2-sentence", "GPL-2.0-or-later", ("gpl-free", "gpl-terms-either2")),
+    ("gpl2-sentence-one", "GPL-2.0-or-later", ("gpl-terms-either2",)),
     ("mit-grant-notice", "MIT", ("mit-grant", "mit-notice")),
     ("apache2-notice", "Apache-2.0", ("apache2-short",)),
     ("mit-notice", "MIT", ("mit-short",)),
@@ -90,9 +98,12 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
 STEMS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "warrant", "free software", "public domain", "liab")
 MENTION = re.compile(r"\blicen[sc]ed? under\b|\bunder the \S+ licen[sc]e\b")
 
+#: Order in which matches that share text are kept.
+_RANK = {r: k for k, r in enumerate([*(r[0] for r in RULES), "partial", "mention"])}
 _KNOWN = [(k, re.compile(v)) for k, v in SENTENCES.items()]
-_END = re.compile(r"[.!?;:](?=\s|$)|\n")
-_WRAPPED_END = re.compile(r"[.!?;:](?=\s|$)|\n[^\S\n]*\n")
+_STOP = r"[.!?;:](?=\s|$)(?!(?<=\b[vV]\.)\s+\d)"
+_END = re.compile(_STOP + r"|\n")
+_WRAPPED_END = re.compile(_STOP + r"|\n[^\S\n]*\n")
 _OTHER = re.compile(r"[^\w.+/-]+|_+")
 
 
@@ -117,8 +128,8 @@ def sentences(text: str, end: re.Pattern) -> Iterator[tuple[int, int, str]]:
         at = m.end() if m else stop
 
 
-def match_rules(found: list[tuple[int, int, str, str | None]]) -> list[tuple[str, str, int, int]]:
-    """(rule, licence, first, last): rules matched in order of RULES over (start, end, text, id)."""
+def match_rules(found: list[tuple[int, int, str, str | None]]) -> list[tuple[str, str, list[int]]]:
+    """(rule, licence, sentences): rules matched in order of RULES over (start, end, text, id)."""
     ids = [x[3] for x in found]
     known = [i for i, k in enumerate(ids) if k]
     used: set[int] = set()
@@ -135,32 +146,33 @@ def match_rules(found: list[tuple[int, int, str, str | None]]) -> list[tuple[str
                 b += 1
             if len(path) == len(want):
                 used.update(path)
-                out.append((rule, licence, path[0], path[-1]))
+                out.append((rule, licence, path))
     for i, (_, _, n, k) in enumerate(found):
         if k and i not in used:
-            out.append(("partial", k, i, i))
+            out.append(("partial", k, [i]))
         elif not k and MENTION.search(n):
-            out.append(("mention", "UNKNOWN", i, i))
-    return sorted(out, key=lambda r: (r[2], r[0]))
+            out.append(("mention", "UNKNOWN", [i]))
+    return sorted(out, key=lambda r: (r[2][0], r[0]))
 
 
 def scan_text(text: str) -> list[tuple[str, str, int, int]]:
-    """(rule, licence, start, end) of one text, by lines and, for rules of wrapped notices, by
-    paragraphs; a wrapped match that a line match overlaps is not repeated."""
+    """(rule, licence, start, end) of one text, by lines and, for wrapped notices, by paragraphs.
+    Of matches that share text, the one of the earlier rule stays, and the line's of equal ones."""
     low = text.lower()
     if not any(s in low for s in STEMS):
         return []
-    out: list[tuple[str, str, int, int]] = []
-    for end in (_END, _WRAPPED_END):
-        found = [(s, e, n, identify(n)) for s, e, n in sentences(text, end)]
-        spans = [(r, lic, found[i][0], found[j][1]) for r, lic, i, j in match_rules(found)]
-        if end is _END:
-            out = [x for x in spans if x[0] not in ("partial", "mention")]
-            weak = [x for x in spans if x[0] in ("partial", "mention")]
-        else:
-            strong = [x for x in spans if x[0] not in ("partial", "mention")]
-            out += [x for x in strong if not any(x[2] < y[3] and y[2] < x[3] for y in out)]
-    out += [x for x in weak if not any(x[2] < y[3] and y[2] < x[3] for y in out)]
+    found = []
+    for turn, end in enumerate((_END, _WRAPPED_END)):
+        cut = [(s, e, n, identify(n)) for s, e, n in sentences(text, end)]
+        for rule, licence, path in match_rules(cut):
+            spans = [cut[i][:2] for i in path]
+            if turn == 0 or rule not in ("partial", "mention"):
+                found.append((_RANK[rule], turn, spans[0][0], spans[-1][1], rule, licence, spans))
+    out, taken = [], []
+    for _, _, start, stop, rule, licence, spans in sorted(found):
+        if not any(a < d and c < b for a, b in spans for c, d in taken):
+            taken += spans
+            out.append((rule, licence, start, stop))
     return sorted(out, key=lambda x: (x[2], x[3], x[0]))
 
 

@@ -1,9 +1,10 @@
 """License scans by sentence rules.
 
 A text is cut into sentences (at line ends, and at ., !, ?, : or ; before white space, but not
-in "v. 2"; also with single line ends taken as spaces, for notices wrapped over lines). A sentence is normalised:
-lower case, runs of anything but letters, digits, '.', '+' and '-' become one space, outer
-marks go. A fixed table maps normalised sentences to sentence identifiers. Ordered licence
+in "v. 2"; also with single line ends taken as spaces, for notices wrapped over lines, once whole
+and once cut at the ends of comments and copyright lines). Comment marks at line starts and ends
+count as blanks. A sentence is normalised: lower case, runs of anything but letters, digits, '.',
+'+', '/' and '-' become one space, outer marks go. A fixed table maps normalised sentences to sentence identifiers. Ordered licence
 rules, each a sequence of identifiers, are matched against the document's identifier
 sequence; identifiers of one match are consecutive, apart from up to ``MAX_GAP`` unknown
 sentences. Earlier rules win, each sentence serves one match. A known sentence left over that
@@ -101,9 +102,16 @@ MENTION = re.compile(r"\blicen[sc]ed? under\b|\bunder the \S+ licen[sc]e\b")
 #: Order in which matches that share text are kept.
 _RANK = {r: k for k, r in enumerate([*(r[0] for r in RULES), "partial", "mention"])}
 _KNOWN = [(k, re.compile(v)) for k, v in SENTENCES.items()]
+_BORDER = "\x1e"  # stands for the line end where a comment or a copyright line ends
 _STOP = r"[.!?;:](?=\s|$)(?!(?<=\b[vV]\.)\s+\d)"
 _END = re.compile(_STOP + r"|\n")
-_WRAPPED_END = re.compile(_STOP + r"|\n[^\S\n]*\n")
+_WRAPPED_END = re.compile(_STOP + r"|\n[^\S\n]*\n|" + _BORDER)
+# comment marks at the start and the end of a line, and where a comment of several lines opens and closes
+_MARK = re.compile(r"(?:[^\S\n]*(?://+!?|/\*+!?|\*+/|\*+|--+|#+!?|;+|<!--+|\(\*+|\{-+|(?:dnl|@?rem)(?=\s|$)))+", re.I)
+_MARK_END = re.compile(r"(?:(?<!\*)\*+[/)]|(?<!-)--+>?|(?<!-)-+\})\s*$")
+_OPEN = re.compile(r"(?:^|(?<=\s))(?:/\*|<!--|\(\*|\{-)")
+_CLOSE = re.compile(r"\*/|-->|\*\)|-\}")
+_COPYRIGHT = re.compile(r"\s*copyright\b.*(?:\(c\)|©|\d{4})", re.I)
 _OTHER = re.compile(r"[^\w.+/-]+|_+")
 
 
@@ -128,6 +136,27 @@ def sentences(text: str, end: re.Pattern) -> Iterator[tuple[int, int, str]]:
         at = m.end() if m else stop
 
 
+def uncomment(text: str) -> tuple[str, str]:
+    """The text with comment marks at line starts and ends blanked, and the same with the ends of
+    comments and of copyright lines as ``_BORDER``; both as long as the text, so spans hold."""
+    plain, bordered = [], []
+    inside = marked = False
+    for line in text.split("\n"):
+        m, z = _MARK.match(line), _MARK_END.search(line)
+        bare = " " * m.end() + line[m.end():] if m else line
+        if z and z.start() >= (m.end() if m else 0):
+            bare = bare[:z.start()] + " " * (len(line) - z.start())
+        was, marked = marked, inside or bool(m)
+        opened, closed = [x.end() for x in _OPEN.finditer(line)], [x.end() for x in _CLOSE.finditer(line)]
+        if opened or closed:
+            inside = max(opened, default=-1) > max(closed, default=-1)
+        if plain:
+            bordered.append("\n" if was == marked and not _COPYRIGHT.match(plain[-1]) else _BORDER)
+        plain.append(bare)
+        bordered.append(bare)
+    return "\n".join(plain), "".join(bordered)
+
+
 def match_rules(found: list[tuple[int, int, str, str | None]]) -> list[tuple[str, str, list[int]]]:
     """(rule, licence, sentences): rules matched in order of RULES over (start, end, text, id)."""
     ids = [x[3] for x in found]
@@ -156,18 +185,20 @@ def match_rules(found: list[tuple[int, int, str, str | None]]) -> list[tuple[str
 
 
 def scan_text(text: str) -> list[tuple[str, str, int, int]]:
-    """(rule, licence, start, end) of one text, by lines and, for wrapped notices, by paragraphs.
-    Of matches that share text, the one of the earlier rule stays, and the line's of equal ones."""
+    """(rule, licence, start, end) of one text, by lines and, for wrapped notices, by paragraphs,
+    whole and within comments. Of matches that share text, the one of the earlier rule stays, and
+    of equal ones the line's."""
     low = text.lower()
     if not any(s in low for s in STEMS):
         return []
     found = []
-    for turn, end in enumerate((_END, _WRAPPED_END)):
-        cut = [(s, e, n, identify(n)) for s, e, n in sentences(text, end)]
+    plain, bordered = uncomment(text)
+    passes = [(plain, _END), (bordered, _WRAPPED_END), (plain, _WRAPPED_END)]
+    for turn, (x, end) in enumerate(passes if _BORDER in bordered else passes[:2]):
+        cut = [(s, e, n, identify(n)) for s, e, n in sentences(x, end)]
         for rule, licence, path in match_rules(cut):
             spans = [cut[i][:2] for i in path]
-            if turn == 0 or rule not in ("partial", "mention"):
-                found.append((_RANK[rule], turn, spans[0][0], spans[-1][1], rule, licence, spans))
+            found.append((_RANK[rule], turn, spans[0][0], spans[-1][1], rule, licence, spans))
     out, taken = [], []
     for _, _, start, stop, rule, licence, spans in sorted(found):
         if not any(a < d and c < b for a, b in spans for c, d in taken):

@@ -114,3 +114,56 @@ def test_standard_notice(rule):
     for form in (text, *(wrapped(text, w) for w in (30, 72, 10_000))):
         assert strong(form) == [(rule, licence)], form
         assert strong("Some words before.\n\n" + form + "\nSome words after.") == [(rule, licence)]
+
+
+COMMENTS = {"//": ("", "// ", ""), "#": ("", "# ", ""), "--": ("", "-- ", ""), ";;": ("", ";; ", ""), "dnl": ("", "dnl ", ""), "rem": ("", "REM ", ""),
+            "/* * */": ("/*\n", " * ", " */\n"), "/* */": ("/*\n", "", "*/\n"), "<!-- -->": ("<!--\n", "  ", "-->\n")}
+
+
+def commented(text, style):
+    first, mark, last = COMMENTS[style]
+    return first + "".join((mark + line).rstrip() + "\n" for line in text.splitlines()) + last
+
+
+@pytest.mark.parametrize("style", COMMENTS)
+def test_standard_notices_in_comments(style):
+    for rule, (text, licence) in STANDARD.items():
+        for width in (30, 72):
+            form = commented(wrapped(text, width), style)
+            assert strong(form) == [(rule, licence)], form
+            assert strong(f"int before = 1\n{form}int after = 2\n") == [(rule, licence)], form
+            # no full stop at its end, and text right after it
+            bare = commented(wrapped(text, width).rstrip(".\n") + "\n", style)
+            assert strong(f"{bare}int after\n") == [(rule, licence)], bare
+
+
+def test_boxed_and_closed_on_each_line():
+    assert strong("/* you may use it.      */\n/* Licensed under the   */\n/* MIT License.         */\nint x") == [("mit-notice", "MIT")]
+    assert strong("/***\n * Licensed under the *\n * MIT License        *\n ***/\nint x") == [("mit-notice", "MIT")]
+    assert strong("/* Licensed under the\n   MIT License */\nint x") == [("mit-notice", "MIT")]
+
+
+def test_copyright_line_before_a_notice():
+    for style in COMMENTS:
+        form = commented("Copyright 2020 Foo\nLicensed under the Apache\nLicense, Version 2.0", style)
+        assert strong(form) == [("apache2-notice", "Apache-2.0")]
+
+
+def test_wrapped_bullet_is_one_sentence():
+    form = BSD3.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    assert strong(form) == [("bsd3", "BSD-3-Clause")]
+
+
+def test_weak_matches_of_paragraphs_stay():
+    assert license_scan.scan_text("It is licensed\nunder Foo terms.") == [("mention", "UNKNOWN", 0, 30)]
+    text = "// you may not use this file except\n// in compliance with the License.\n"
+    assert [m[:2] for m in license_scan.scan_text(text)] == [("partial", "apache2-compliance")]
+    # of a line's and a paragraph's equal matches one stays, and none beside a rule
+    assert [m[:2] for m in license_scan.scan_text("Licensed under Foo terms\nand more.")] == [("mention", "UNKNOWN")]
+    assert license_scan.scan_text("Licensed under the\nMIT License.") == [("mit-notice", "MIT", 0, 30)]
+
+
+def test_spans_are_of_the_stored_text():
+    text = "int x\n// Released under the\n// MIT License.\n"
+    [(rule, _, a, b)] = license_scan.scan_text(text)
+    assert rule == "mit-notice" and text[a:b].split() == "// Released under the // MIT License".split()

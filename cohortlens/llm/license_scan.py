@@ -9,7 +9,13 @@ rules, each a sequence of identifiers, are matched against the document's identi
 sequence; identifiers of one match are consecutive, apart from up to ``MAX_GAP`` unknown
 sentences. Earlier rules win, each sentence serves one match. A known sentence left over that
 names no licence by itself is reported as rule ``partial``; a sentence that mentions a licence
-but is not in the table is reported as licence ``UNKNOWN``.
+but is not in the table is reported as licence ``UNKNOWN``. SPDX tags give a row (rule ``spdx``)
+per licence of their expression, as the tag names it.
+
+Scope: notices, headers and tags of Apache-2.0, MIT, ISC, 0BSD, BSD, GPL, LGPL, AGPL, MPL-2.0, EPL,
+Unlicense, CC BY 4.0 and its kin, CC0 in the wording of the table, and SPDX tags of any licence;
+other licences are ``UNKNOWN`` where a sentence says that something stands under a licence. Full
+licence texts (such as the whole GPL) are not recognised as such.
 
 Only texts holding one of a few stems are cut; each table sentence holds one, so no match is
 lost. Defined results: null, empty and licence-free texts give no row; spans are code points
@@ -19,6 +25,7 @@ in the text as stored; repeated documents give repeated rows; only id and text a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,7 +53,7 @@ SENTENCES: dict[str, str] = {
     "no-liability": r"in no event shall the authors or copyright holders be liable for any claim damages or other liability .*",
     "gpl3-short": r"(this work is )?licensed under the gnu general public license version 3( or later)?",
     "gpl2-short": r"(this work is )?licensed under the gnu general public license version 2( or later)?",
-    "gpl-free": r"this program is free software",
+    "gpl-free": r"this \S+ is free software",
     "gpl-terms2": r"you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-terms2-one": r"this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-terms-either3": r"(this program is free software )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or( at your option)? any later version",
@@ -58,6 +65,20 @@ SENTENCES: dict[str, str] = {
     "bsd-source": r"(\d\.? )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": r"(\d\.? )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": r"(\d\.? )?neither the name of .* nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "lgpl2-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?gnu (lesser|library) general public license,? (version |v)2(\.0)?( or later)?",
+    "lgpl21-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?gnu lesser general public license,? (version |v)2\.1( or later)?",
+    "lgpl3-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?gnu lesser general public license,? (version |v)3(\.0)?( or later)?",
+    "agpl3-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?gnu affero general public license,? (version |v)3(\.0)?( or later)?",
+    "isc-grant": r"permission to use copy modify and(/or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd-grant": r"permission to use copy modify and(/or)? distribute this software for any purpose with or without fee is hereby granted",
+    "isc-asis": r"the software is provided as is and .* disclaims? all warranties with regard to this software .*",
+    "isc-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?isc license",
+    "epl1": r"(all rights reserved )?this program and the accompanying materials are made available under the terms of the eclipse public license (version |v\.? ?)?1\.0.*",
+    "epl2": r"(all rights reserved )?this program and the accompanying materials are made available under the terms of the eclipse public license (version |v\.? ?)?2\.0.*",
+    "epl1-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?eclipse public license (version |v\.? ?)?1\.0",
+    "epl2-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?eclipse public license (version |v\.? ?)?2\.0",
+    "unlicense": r"this is free and unencumbered software released into the public domain",
+    "unlicense-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?unlicense( license)?",
     "bsd-short": r"licensed under the (3-clause )?bsd license",
     "mpl2": r"this source code form is subject to the terms of the mozilla public license v\. 2\.0",
     "cc-by": r"(this work is )?licensed under ((a|the) )?(cc by|creative commons attribution) 4\.0( international license)?",
@@ -67,6 +88,16 @@ SENTENCES: dict[str, str] = {
     "reserved": r"all rights reserved",
     "copyright": r"copyright( c)? \d{4}.*",
 }
+# Headers of the other GNU licences: (rule, licence, name, version); the terms and the version are
+# one sentence or two, after "this library is free software" or with it.
+_GNU = [("lgpl21", "LGPL-2.1-or-later", "lesser", "2.1"), ("lgpl2", "LGPL-2.0-or-later", "(lesser|library)", "2"),
+        ("lgpl3", "LGPL-3.0-or-later", "lesser", "3"), ("agpl3", "AGPL-3.0-or-later", "affero", "3")]
+for _rule, _, _name, _version in _GNU:
+    _terms = rf"(this \S+ is free software )?you can redistribute it and/or modify it under the terms of the gnu {_name} general public license as published by the free software foundation"
+    _either = rf"either version {re.escape(_version)} of the license or( at your option)? any later version"
+    SENTENCES[f"{_rule}-terms-either"] = f"{_terms} {_either}"
+    SENTENCES.setdefault(f"{_rule[:4]}-terms", _terms if _name == "affero" else _terms.replace(_name, "(lesser|library)"))
+    SENTENCES.setdefault(f"gpl-either{_version.replace('.', '')}", _either)
 # Ordered rules (name, licence, identifiers); longer rules stand before shorter.
 RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("apache2-header", "Apache-2.0", ("apache2-short", "apache2-compliance", "apache2-obtain", "apache2-asis", "apache2-see")),
@@ -82,6 +113,25 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("gpl3-sentence-one", "GPL-3.0-or-later", ("gpl-terms-either3",)),
     ("gpl2-sentence", "GPL-2.0-or-later", ("gpl-free", "gpl-terms-either2")),
     ("gpl2-sentence-one", "GPL-2.0-or-later", ("gpl-terms-either2",)),
+    *((f"{r}-header", lic, ("gpl-free", f"{r[:4]}-terms", f"gpl-either{v.replace('.', '')}")) for r, lic, _, v in _GNU),
+    *((f"{r}-header-one", lic, (f"{r[:4]}-terms", f"gpl-either{v.replace('.', '')}")) for r, lic, _, v in _GNU),
+    *((f"{r}-sentence", lic, ("gpl-free", f"{r}-terms-either")) for r, lic, _, _ in _GNU),
+    *((f"{r}-sentence-one", lic, (f"{r}-terms-either",)) for r, lic, _, _ in _GNU),
+    ("isc-full", "ISC", ("isc-grant", "isc-asis")),
+    ("0bsd-full", "0BSD", ("0bsd-grant", "isc-asis")),
+    ("isc-grant", "ISC", ("isc-grant",)),
+    ("0bsd-grant", "0BSD", ("0bsd-grant",)),
+    ("epl1", "EPL-1.0", ("epl1",)),
+    ("epl2", "EPL-2.0", ("epl2",)),
+    ("unlicense", "Unlicense", ("unlicense",)),
+    ("lgpl21-notice", "LGPL-2.1", ("lgpl21-short",)),
+    ("lgpl2-notice", "LGPL-2.0", ("lgpl2-short",)),
+    ("lgpl3-notice", "LGPL-3.0", ("lgpl3-short",)),
+    ("agpl3-notice", "AGPL-3.0", ("agpl3-short",)),
+    ("isc-notice", "ISC", ("isc-short",)),
+    ("epl1-notice", "EPL-1.0", ("epl1-short",)),
+    ("epl2-notice", "EPL-2.0", ("epl2-short",)),
+    ("unlicense-notice", "Unlicense", ("unlicense-short",)),
     ("mit-grant-notice", "MIT", ("mit-grant", "mit-notice")),
     ("apache2-notice", "Apache-2.0", ("apache2-short",)),
     ("mit-notice", "MIT", ("mit-short",)),
@@ -96,15 +146,23 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("all-rights", "Proprietary", ("reserved",)),
 ]
 # Stems, one of which stands in every table sentence; and licence mentions.
-STEMS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "warrant", "free software", "public domain", "liab")
-MENTION = re.compile(r"\blicen[sc]ed? under\b|\bunder the \S+ licen[sc]e\b")
+STEMS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "warrant", "free software", "public domain", "liab", "gpl")
+MENTION = re.compile(r"\blicen[sc]ed? (to \S+ )?under\b|\bunder (the|an?) (\S+ ){1,4}licen[sc]es?\b|\bspdx-license-identifier\b"
+                     r"|\b(under|subject to) the (same )?(terms|conditions|terms and conditions) of (\S+ ){0,10}licen[sc]es?\b"
+                     r"|\b(governed|covered) by (the|an?) (\S+ ){1,6}licen[sc]es?\b|\bunder the (\S+ ){0,5}[al]?gpl([v\d]\S*)?(?= |$)")
+# SPDX tags: an expression of licence identifiers on the tag's line; operators in small letters count
+# before what is plainly an identifier
+_SPDX_ID = r"[A-Za-z0-9](?:[\w.:-]*[A-Za-z0-9])?\+?"
+_SPDX = re.compile(rf"(?i:SPDX-License-Identifier):[^\S\n]*(?P<ids>(?:\([^\S\n]*)*{_SPDX_ID}(?:[^\S\n]*\))*(?:(?:[^\S\n]+(?:AND|OR|WITH|(?:and|or|with)"
+                   rf"(?=[^\S\n]+\(*(?:\S*[-\d]|(?i:mit|isc|zlib|unlicense)\b)))[^\S\n]+|/)(?:\([^\S\n]*)*{_SPDX_ID}(?:[^\S\n]*\))*)*)")
+_SPDX_NAMES = {lic.lower(): lic for _, lic, _ in RULES if lic != "Proprietary"}
 
 #: Order in which matches that share text are kept.
 _RANK = {r: k for k, r in enumerate([*(r[0] for r in RULES), "partial", "mention"])}
 _KNOWN = [(k, re.compile(v)) for k, v in SENTENCES.items()]
-_BORDER = "\x1e"  # stands for the line end where a comment or a copyright line ends
+_BORDER = "\x1e"  # stands for the line end where a comment or a copyright line ends, and for SPDX tags
 _STOP = r"[.!?;:](?=\s|$)(?!(?<=\b[vV]\.)\s+\d)"
-_END = re.compile(_STOP + r"|\n")
+_END = re.compile(_STOP + r"|\n|" + _BORDER)
 _WRAPPED_END = re.compile(_STOP + r"|\n[^\S\n]*\n|" + _BORDER)
 # comment marks at the start and the end of a line, and where a comment of several lines opens and closes
 _MARK = re.compile(r"(?:[^\S\n]*(?://+!?|/\*+!?|\*+/|\*+|--+|#+!?|;+|<!--+|\(\*+|\{-+|(?:dnl|@?rem)(?=\s|$)))+", re.I)
@@ -157,6 +215,19 @@ def uncomment(text: str) -> tuple[str, str]:
     return "\n".join(plain), "".join(bordered)
 
 
+def spdx_tags(text: str) -> list[tuple[str, int, int]]:
+    """(licence, start, end): licences of SPDX tags, each once per tag, an exception with its licence."""
+    out = []
+    for m in _SPDX.finditer(text):
+        for one in dict.fromkeys(re.split(r"\s+(?:and|or)\s+|/", re.sub(r"[()]", " ", m["ids"]).strip(), flags=re.I)):
+            name, *exception = re.split(r"\s+with\s+", one.strip(), flags=re.I)
+            if re.match(r"[AL]?GPL-.*\+$", name, re.I):
+                name = name[:-1] + "-or-later"
+            name = "UNKNOWN" if name in ("NONE", "NOASSERTION") else _SPDX_NAMES.get(name.lower(), name)
+            out.append((" WITH ".join([name, *exception]), m.start(), m.end()))
+    return out
+
+
 def match_rules(found: list[tuple[int, int, str, str | None]]) -> list[tuple[str, str, list[int]]]:
     """(rule, licence, sentences): rules matched in order of RULES over (start, end, text, id)."""
     ids = [x[3] for x in found]
@@ -191,6 +262,9 @@ def scan_text(text: str) -> list[tuple[str, str, int, int]]:
     low = text.lower()
     if not any(s in low for s in STEMS):
         return []
+    tags = spdx_tags(text) if "spdx" in low else []
+    if tags:
+        text = _SPDX.sub(lambda m: _BORDER * (m.end() - m.start()), text)
     found = []
     plain, bordered = uncomment(text)
     passes = [(plain, _END), (bordered, _WRAPPED_END), (plain, _WRAPPED_END)]
@@ -199,10 +273,13 @@ def scan_text(text: str) -> list[tuple[str, str, int, int]]:
         for rule, licence, path in match_rules(cut):
             spans = [cut[i][:2] for i in path]
             found.append((_RANK[rule], turn, spans[0][0], spans[-1][1], rule, licence, spans))
-    out, taken = [], []
+    out = [("spdx", licence, start, stop) for licence, start, stop in tags]
+    taken: list[tuple[int, int]] = []  # sorted, disjoint
     for _, _, start, stop, rule, licence, spans in sorted(found):
-        if not any(a < d and c < b for a, b in spans for c, d in taken):
-            taken += spans
+        if all((k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b)
+               for a, b in spans for k in [bisect_left(taken, (a, b))]):
+            for span in spans:
+                insort(taken, span)
             out.append((rule, licence, start, stop))
     return sorted(out, key=lambda x: (x[2], x[3], x[0]))
 

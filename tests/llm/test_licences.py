@@ -99,6 +99,41 @@ STANDARD = {
     "all-rights": ("All rights reserved.\n", "Proprietary"),
 }
 
+for rule, licence, name, version in (("lgpl21", "LGPL-2.1-or-later", "Lesser", "2.1"), ("lgpl2", "LGPL-2.0-or-later", "Library", "2"),
+                                     ("lgpl3", "LGPL-3.0-or-later", "Lesser", "3"), ("agpl3", "AGPL-3.0-or-later", "Affero", "3")):
+    gnu = GPL.replace("GNU General", f"GNU {name} General")
+    for form, first, second in (("sentence", ":", ","), ("sentence-one", ",", ","), ("header", ";", ";"), ("header-one", ",", ";")):
+        STANDARD[f"{rule}-{form}"] = (gnu.format(first, second, version), licence)
+    STANDARD[f"{rule}-notice"] = (f"Licensed under the GNU {name} General Public License, version {version}.\n", licence.removesuffix("-or-later"))
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+ASIS = """
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER.
+"""
+ZERO = ISC[:ISC.index(", provided")] + ".\n"
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License {} which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+STANDARD |= {
+    "isc-full": (ISC + ASIS, "ISC"),
+    "isc-grant": (ISC, "ISC"),
+    "0bsd-full": (ZERO + ASIS, "0BSD"),
+    "0bsd-grant": (ZERO, "0BSD"),
+    "epl1": (EPL.format("v1.0"), "EPL-1.0"),
+    "epl2": (EPL.format("v. 2.0"), "EPL-2.0"),
+    "unlicense": ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish this software.\n", "Unlicense"),
+    "isc-notice": ("Released under the ISC License.\n", "ISC"),
+    "epl1-notice": ("Licensed under the Eclipse Public License v1.0.\n", "EPL-1.0"),
+    "epl2-notice": ("Licensed under the Eclipse Public License 2.0.\n", "EPL-2.0"),
+    "unlicense-notice": ("Released under the Unlicense.\n", "Unlicense"),
+}
+
 
 def wrapped(text, width):
     return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_on_hyphens=False, break_long_words=False) for p in re.split(r"\n[^\S\n]*\n", text.strip())) + "\n"
@@ -167,3 +202,45 @@ def test_spans_are_of_the_stored_text():
     text = "int x\n// Released under the\n// MIT License.\n"
     [(rule, _, a, b)] = license_scan.scan_text(text)
     assert rule == "mit-notice" and text[a:b].split() == "// Released under the // MIT License".split()
+
+
+@pytest.mark.parametrize("text, want", [
+    ("// SPDX-License-Identifier: MIT", ["MIT"]),
+    ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", ["GPL-2.0-only WITH Linux-syscall-note"]),
+    ("# spdx-license-identifier: apache-2.0 OR MIT", ["Apache-2.0", "MIT"]),
+    ("SPDX-License-Identifier: (LGPL-2.1+ AND BSD-3-Clause) OR LicenseRef-x", ["BSD-3-Clause", "LGPL-2.1-or-later", "LicenseRef-x"]),
+    ("<!-- SPDX-License-Identifier: CC0-1.0-->", ["CC0-1.0"]),
+    ("SPDX-License-Identifier: Apache-2.0/MIT", ["Apache-2.0", "MIT"]),
+    ("SPDX-License-Identifier: MIT.", ["MIT"]),
+    ("SPDX-License-Identifier: MIT or Apache-2.0", ["Apache-2.0", "MIT"]),
+    ("SPDX-License-Identifier: MIT and this is text", ["MIT"]),
+    ("SPDX-License-Identifier: NOASSERTION", ["UNKNOWN"]),
+])
+def test_spdx_tags(text, want):
+    for x in (text, f"{text}\nint x;\n", f"int x;\n{text}\n// Some words\n"):
+        found = license_scan.scan_text(x)
+        assert sorted(m[1] for m in found) == want and {m[0] for m in found} == {"spdx"}
+        assert all(x[a:b].lower().startswith("spdx-license-identifier:") for _, _, a, b in found)
+
+
+def test_spdx_tag_beside_a_notice():
+    text = "// SPDX-License-Identifier: MIT\n// Licensed under the MIT\n// License.\n"
+    assert strong(text) == [("spdx", "MIT"), ("mit-notice", "MIT")]
+
+
+@pytest.mark.parametrize("text", [
+    "You may use it under the terms of version 2 of the GNU General\nPublic License as published by the Free Software Foundation.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.",
+    "It may be used under the terms and conditions of the Foo Bar Licence.",
+    "Released under the GPL.",
+    "Released under the LGPLv3 or later.",
+    "SPDX-License-Identifier: <id>",
+])
+def test_what_the_table_lacks_is_unknown(text):
+    assert [m[:2] for m in license_scan.scan_text(text)] == [("mention", "UNKNOWN")]
+
+
+def test_many_matches_in_one_text():
+    text = "Licensed under the MIT License.\n" * 20_000
+    assert len(license_scan.scan_text(text)) == 20_000

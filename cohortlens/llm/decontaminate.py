@@ -1,23 +1,27 @@
 """Benchmark decontamination: q-gram lemma filtering with overlapping diagonal bands.
 
-Texts are folded position by position: A-Z to a-z, white-space characters to a space; spans
-are byte positions of the UTF-8 text. A benchmark item is cut into windows of ``window``
-bytes, half overlapping, the last one at its end; a shorter item is one window. A window of w
-bytes occurs in a document when some stretch of the text is within edit distance
+Texts are folded: A-Z to a-z, runs of white-space characters to one space; spans are byte
+positions of the UTF-8 text as stored. A benchmark item has a window of ``window`` bytes at each
+of its bytes that leaves room for one; a shorter item is one window. A window of w bytes occurs
+in a document when some stretch of the text is within edit distance
 k = min(``errors`` x w, w // q - 1) of it; then it shares at least w + 1 - q (k + 1) >= 1
 q-grams with that stretch, on diagonals at most k apart (the q-gram lemma).
 
 Per slice of documents: every q-gram (12 bytes, read as two overlapping integers and mixed
-into one code; codes may only add candidates, which alignment checks) is looked up in a hashed
-bit table of the benchmark's q-grams; the hits are expanded to (window, diagonal) and counted
-in bands of twice the step, each overlapping the next by half, so any k-wide set of diagonals
-lies whole in one band; bands that reach the bound are verified by banded alignment, many at
-a time. No text is shuffled; the benchmark is handled in blocks of bounded size, each
-broadcast, and documents pass the blocks one after the other.
+into one code; codes may only add candidates, which bytes or alignment check) is looked up in a
+hashed bit table of the benchmark's q-grams; the hits are expanded to (item, place, diagonal).
+Windows whose q-grams all follow each other on one diagonal are verbatim. Else hits are taken in
+bands of twice the step, each overlapping the next by half, so any k-wide set of diagonals
+lies whole in one band; windows with enough hits in a band are verified by banded alignment, many
+at a time, in the diagonals that the band's hits take. No text is shuffled; the benchmark is
+handled in blocks of bounded size, each broadcast, and documents pass the blocks one after the
+other.
 
 Defined results: null and empty texts have no hit; null items and those under ``q`` bytes
 match nothing; equal items are all reported; repeated documents are separate rows; an empty
 benchmark or table gives an empty result; input columns do not clash (only id and text are read).
+White space at the ends of an item is not part of it. A copied passage of under ``window`` bytes
+of a longer item is no hit.
 """
 
 from __future__ import annotations
@@ -39,8 +43,18 @@ _FOLD = LOWER.copy()
 _FOLD[[9, 10, 11, 12, 13]] = 32
 
 
+def _kept(x: np.ndarray, starts=()) -> np.ndarray:
+    """Bytes that stay when runs of spaces become one; ``starts``: first bytes of documents."""
+    space = x == 32
+    keep = np.ones(len(x), dtype=bool)
+    keep[1:] = ~(space[1:] & space[:-1])
+    keep[np.asarray(starts, dtype=np.int64)] = True
+    return keep
+
+
 def fold(text: bytes) -> np.ndarray:
-    return _FOLD[np.frombuffer(text, dtype=np.uint8)]
+    x = _FOLD[np.frombuffer(text, dtype=np.uint8)]
+    return x[_kept(x)]
 
 
 def budget(w: int, errors: float) -> int:
@@ -61,54 +75,47 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Windows and q-grams of one block of the benchmark."""
+    """Items and q-grams of one block of the benchmark."""
 
     def __init__(self, items: list[tuple[object, str]], window: int, errors: float):
-        wins, owner, place = [], [], []
-        for item, text in items:
-            x = fold((text or "").encode())
-            if len(x) < Q:
-                continue
-            last = max(len(x) - window, 0)
-            for at in sorted({*range(0, last, window // 2), last}):
-                wins.append(x[at:at + window])
-                owner.append(item)
-                place.append(at)
-        self.owner, self.place, self.errors = owner, place, errors
-        self.length = np.array([len(x) for x in wins], dtype=np.int64)
-        self.edits = np.array([budget(len(x), errors) for x in wins], dtype=np.int64)
+        texts = [(item, fold((text or "").strip(" \t\n\v\f\r").encode())) for item, text in items]
+        texts = [(item, x) for item, x in texts if len(x) >= Q]
+        self.owner = [item for item, _ in texts]
+        self.size = np.array([len(x) for _, x in texts], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.text = np.concatenate([x for _, x in texts]) if texts else np.zeros(0, np.uint8)
+        self.length = np.minimum(self.size, window)
+        self.edits = np.array([budget(n, errors) for n in self.length.tolist()], dtype=np.int64)
         self.need = self.length + 1 - Q * (self.edits + 1)
-        self.width = int(self.length.max()) if wins else 0
-        self.text = np.zeros((len(wins), self.width), dtype=np.uint8)
-        for k, x in enumerate(wins):
-            self.text[k, :len(x)] = x
-        grams = [_grams(x) for x in wins]
-        code = np.concatenate(grams) if wins else np.zeros(0, np.uint64)
-        win = np.repeat(np.arange(len(wins)), [len(g) for g in grams])
-        pos = np.concatenate([np.arange(len(g)) for g in grams]) if wins else np.zeros(0, np.int64)
+        self.width = int(self.length.max()) if texts else 0
+        # diagonals are counted from here
+        self.bias = (int(self.size.max()) // STEP + 1) * STEP if texts else 0
+        grams = [_grams(x) for _, x in texts]
+        code = np.concatenate(grams) if texts else np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(texts), dtype=np.int32), [len(g) for g in grams])
+        pos = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if texts else np.zeros(0, np.int32)
         order = np.argsort(code, kind="stable")
-        self.win, self.pos = win[order], pos[order]
+        self.item, self.pos = item[order], pos[order]
         self.code, self.first = np.unique(code[order], return_index=True)
-        self.last = np.append(self.first[1:], len(code)) if wins else self.first
+        self.last = np.append(self.first[1:], len(code)) if texts else self.first
         self.slots = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.slots[_slot(self.code)] = True
 
 
-def candidates(ix: Index, x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows (document, window, band): regions that reach the q-gram bound. x: folded bytes."""
-    none = np.zeros((0, 3), np.int64)
+def shared_grams(ix: Index, x: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, item, place in the item, diagonal) of q-grams that texts share with items, in parts
+    of whole documents. x: folded bytes."""
     g = _grams(x)
     at = np.flatnonzero(ix.slots[_slot(g)]) if len(g) and len(ix.code) else np.zeros(0, np.int64)
     if not len(at):
-        return none
+        return
     k = np.searchsorted(ix.code, g[at])
     k[k == len(ix.code)] = 0
     doc = np.searchsorted(offsets, at, side="right") - 1
     good = (ix.code[k] == g[at]) & (at + Q <= offsets[doc + 1])
     at, k, doc = at[good], k[good], doc[good]
     n = ix.last[k] - ix.first[k]
-    out = []
-    cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + 1_000_000, 1_000_000)[1:], side="left") + 1
+    cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + 250_000, 250_000)[1:], side="left") + 1
     # a document's hits stay together in a part, so that its bands are counted whole
     begin = 0
     for cut in cuts:
@@ -120,47 +127,96 @@ def candidates(ix: Index, x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         begin = end
         m = n[sel]
         hit = np.repeat(ix.first[k[sel]], m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
-        w = ix.win[hit]
-        d = np.repeat(doc[sel], m)
-        diag = np.repeat(at[sel] - offsets[doc[sel]], m) - ix.pos[hit] + (1 << 16)  # >= 0
-        band = diag // STEP
-        key = np.concatenate([((d << 40) | (band << 0)), ((d << 40) | (band - 1))])
-        w2 = np.concatenate([w, w])
-        order = np.lexsort((key, w2))
-        key, w2 = key[order], w2[order]
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (w2[1:] != w2[:-1])]))
-        size = np.diff(np.append(new, len(key)))
-        keep = new[size >= ix.need[w2[new]]]
-        out.append(np.stack([key[keep] >> 40, w2[keep], (key[keep] & ((1 << 40) - 1)) - (1 << 16) // STEP], axis=1))
-    return np.concatenate(out) if out else none
-
-
-def align(ix: Index, x: np.ndarray, offsets: np.ndarray, cand: np.ndarray, step: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Banded alignment of windows against their regions: yields (rows, distance, end) of those
-    within budget. Band column c of window byte i is text byte (diagonal + c + i)."""
-    over = int(ix.edits.max()) if len(ix.edits) else 0
-    cols = 2 * STEP + 2 * over + 1
-    for a in range(0, len(cand), step):
-        doc, win, band = cand[a:a + step].T
-        lo, hi = offsets[doc], offsets[doc + 1]
-        start = lo + band * STEP - over  # text byte of column 0 at window byte 0
+        pos = ix.pos[hit].astype(np.int64)
+        diag = np.repeat(at[sel] - offsets[doc[sel]], m) - pos + ix.bias  # >= 0
+        yield np.repeat(doc[sel], m), ix.item[hit].astype(np.int64), pos, diag
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) for all values from lo to hi of each row."""
+    n = np.maximum(hi - lo + 1, 0)
+    row = np.repeat(np.arange(len(lo)), n)
+    return row, lo[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+
+
+def verbatim(ix: Index, x: np.ndarray, offsets: np.ndarray, doc, item, pos, diag) -> tuple[np.ndarray, ...]:
+    """(document, item, place, diagonal) of windows that stand in a text byte by byte."""
+    order = np.lexsort((pos, diag, item, doc))
+    doc, item, pos, diag = doc[order], item[order], pos[order], diag[order]
+    same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (diag[1:] == diag[:-1]) & (pos[1:] == pos[:-1] + 1)
+    run = np.flatnonzero(np.concatenate([[True], ~same]))
+    last = np.append(run[1:], len(pos)) - 1
+    row, place = _ranges(pos[run], pos[last] - (ix.length[item[run]] - Q))
+    doc, item, diag = doc[run][row], item[run][row], diag[run][row]
+    true = np.zeros(len(place), dtype=bool)
+    col = np.arange(ix.width)
+    for a in range(0, len(place), 16_384):
+        s = slice(a, a + 16_384)
+        n = ix.length[item[s], None]
+        own = np.minimum((ix.begin[item[s]] + place[s])[:, None] + col, len(ix.text) - 1)
+        at = np.minimum((offsets[doc[s]] + place[s] + diag[s] - ix.bias)[:, None] + col, len(x) - 1)
+        true[s] = ((ix.text[own] == x[at]) | (col >= n)).all(axis=1)
+    return doc[true], item[true], place[true], diag[true]
+
+
+def candidates(ix: Index, doc, item, pos, diag) -> tuple[np.ndarray, ...]:
+    """(document, item, place, band, least and greatest diagonal) of windows that reach the q-gram
+    bound within a band."""
+    band = diag // STEP
+    key = np.concatenate([(doc << 40) | band, (doc << 40) | np.maximum(band - 1, 0)])
+    item, pos, diag = np.tile(item, 2), np.tile(pos, 2), np.tile(diag, 2)
+    order = np.lexsort((pos, key, item))
+    key, item, pos, diag = key[order], item[order], pos[order], diag[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (item[1:] != item[:-1])])
+    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    low, high = np.minimum.reduceat(diag, first), np.maximum.reduceat(diag, first)
+    # two bands with the same hits
+    again = np.concatenate([[False], (item[first][1:] == item[first][:-1]) & (key[first][1:] >> 40 == key[first][:-1] >> 40)
+                            & (low[1:] == low[:-1]) & (high[1:] == high[:-1])])
+    last = np.arange(len(pos)) + ix.need[item] - 1  # with this hit, a window that starts by pos has enough
+    room = ix.length[item] - Q
+    some = last < len(pos)
+    last[~some] = 0
+    some &= ~again[group] & (group[last] == group) & (pos[last] - pos <= room)
+    j = np.flatnonzero(some)
+    lo = np.maximum(pos[last[j]] - room[j], 0)
+    hi = np.minimum(pos[j], ix.size[item[j]] - ix.length[item[j]])
+    if len(j):  # ends grow within a group: each place once
+        lo[1:] = np.where(group[j[1:]] == group[j[:-1]], np.maximum(lo[1:], hi[:-1] + 1), lo[1:])
+    row, place = _ranges(lo, hi)
+    j = j[row]
+    return key[j] >> 40, item[j], place, key[j] & ((1 << 40) - 1), low[group[j]], high[group[j]]
+
+
+def align(ix: Index, x: np.ndarray, offsets: np.ndarray, doc, item, place, low, high, step: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Banded alignment of windows against their diagonals: yields (rows, distance, end) of those
+    within budget. Band column c of window byte i is text byte (first diagonal + c + i)."""
+    order = np.argsort(high - low, kind="stable")
+    for a in range(0, len(order), step):
+        rows = order[a:a + step]
+        own, win = doc[rows], item[rows]
         n, edits = ix.length[win], ix.edits[win]
-        col = np.arange(cols)
+        over = int(edits.max())
+        col = np.arange(int((high[rows] - low[rows]).max()) + 2 * over + 1)
+        lo, hi = offsets[own], offsets[own + 1]
+        start = lo + place[rows] + low[rows] - ix.bias - over  # text byte of column 0 at window byte 0
+        text = ix.begin[win] + place[rows]
         far = np.int32(1 << 20)
         # D[c]: cost of the first i window bytes ending before text byte start + c + i; free start
         D = np.where((start[:, None] + col >= lo[:, None]) & (start[:, None] + col <= hi[:, None]), np.int32(0), far)
-        best, end = np.full(len(doc), far), np.zeros(len(doc), np.int64)
-        for i in range(ix.width + 1):
+        best, end = np.full(len(rows), far), np.zeros(len(rows), np.int64)
+        width = int(n.max())
+        for i in range(width + 1):
             done = n == i
             if done.any():
                 c = D[done].argmin(axis=1)
                 best[done] = D[done, c]
                 end[done] = start[done] + c + i
-            if i == ix.width:
+            if i == width:
                 break
             at = start[:, None] + col + i  # byte consumed by a match from column c
             ok = (at >= lo[:, None]) & (at < hi[:, None])
-            same = x[np.clip(at, 0, max(len(x) - 1, 0))] == ix.text[win, i][:, None]
+            same = x[np.clip(at, 0, max(len(x) - 1, 0))] == ix.text[np.minimum(text + i, len(ix.text) - 1)][:, None]
             E = np.where(ok, D + ~same, far)
             E[:, :-1] = np.minimum(E[:, :-1], D[:, 1:] + 1)  # window byte skipped
             # text byte skipped: running minimum along the band, inside the document only
@@ -169,19 +225,49 @@ def align(ix: Index, x: np.ndarray, offsets: np.ndarray, cand: np.ndarray, step:
             D = np.minimum(E, np.minimum.accumulate(E - col, axis=1) + col).astype(np.int32)
             D = np.where((to >= lo[:, None]) & (to <= hi[:, None]), D, far)
         hit = np.flatnonzero(best <= edits)
-        yield a + hit, best[hit], end[hit]
+        yield rows[hit], best[hit], end[hit]
+
+
+def matches(ix: Index, x: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, item, place of the window, distance, end byte in x), of whole documents at a time.
+    x: folded bytes."""
+    bands = (int(np.diff(offsets).max(initial=0)) + ix.bias) // STEP + 1
+    code = lambda doc, item, place, band: ((doc * len(ix.text) + ix.begin[item] + place) * bands) + band
+    for part in shared_grams(ix, x, offsets):
+        doc, item, place, diag = verbatim(ix, x, offsets, *part)
+        out = [(doc, item, place, np.zeros(len(doc), np.int64), offsets[doc] + place + diag - ix.bias + ix.length[item])]
+        known = np.concatenate([code(doc, item, place, np.maximum(diag // STEP - b, 0)) for b in (0, 1)])
+        cand = candidates(ix, *part)
+        cand = [c[~np.isin(code(*cand[:4]), known)] for c in cand]
+        for rows, dist, end in align(ix, x, offsets, *cand[:3], *cand[4:]):
+            out.append((cand[0][rows], cand[1][rows], cand[2][rows], dist, end))
+        yield tuple(map(np.concatenate, zip(*out)))
 
 
 def _hits(ix: Index, col: pa.Array):
-    """(document row, window, distance, end byte in the document) of one Arrow column."""
+    """(document row, item, place, distance, start and end byte in the document) of an Arrow column."""
     data, off = raw(col)
     for i, j in slices(off):
         x = _FOLD[data[off[i]:off[j]]]
         own = off[i:j + 1] - off[i]
-        cand = candidates(ix, x, own)
-        for rows, dist, end in align(ix, x, own, cand):
-            doc, win = cand[rows, 0], cand[rows, 1]
-            yield doc + i, win, dist, end - own[doc]
+        keep = _kept(x, own[:-1][own[:-1] < len(x)])
+        stored = np.flatnonzero(keep)
+        folded = np.concatenate([[0], np.cumsum(keep)])[own]
+        for doc, item, place, dist, end in matches(ix, x[keep], folded):
+            if len(doc):
+                begin = stored[np.maximum(end - ix.length[item], folded[doc])]
+                yield doc + i, item, place, dist, begin - own[doc], stored[end - 1] + 1 - own[doc]
+
+
+def _by_item(doc, item, place, dist, begin, end) -> Iterator[tuple[int, ...]]:
+    """(document, item, windows, fewest edits, first byte, last byte)."""
+    order = np.lexsort((place, item, doc))
+    doc, item, place, dist, begin, end = (v[order] for v in (doc, item, place, dist, begin, end))
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+    other = new | np.concatenate([[True], place[1:] != place[:-1]])
+    at = np.flatnonzero(new)
+    return zip(doc[at].tolist(), item[at].tolist(), np.add.reduceat(other.astype(np.int64), at).tolist(), np.minimum.reduceat(dist, at).tolist(),
+               np.minimum.reduceat(begin, at).tolist(), np.maximum.reduceat(end, at).tolist())
 
 
 def blocks(benchmark: DataFrame, window: int, errors: float, block_bytes: int,
@@ -213,15 +299,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 64, erro
             ix = shared.value
             for b in batches:
                 got: dict[tuple[int, object], list] = {}
-                for doc, win, dist, end in _hits(ix, text_column(b)):
-                    for d, w, e, z in zip(doc.tolist(), win.tolist(), dist.tolist(), end.tolist()):
-                        r = got.setdefault((d, ix.owner[w]), [set(), e, z, z])
-                        r[0].add(w)
-                        r[1:] = min(r[1], e), min(r[2], max(z - int(ix.length[w]), 0)), max(r[3], z)
+                for hits in _hits(ix, text_column(b)):
+                    for d, w, n, e, y, z in _by_item(*hits):
+                        r = got.setdefault((d, ix.owner[w]), [0, e, y, z])
+                        r[:] = r[0] + n, min(r[1], e), min(r[2], y), max(r[3], z)
                 rows = sorted(got.items(), key=lambda x: (x[0][0], str(x[0][1])))
                 if rows:
                     ids = b.column(0).take(pa.array([d for (d, _), _ in rows], pa.int64()))
-                    rest = [[i for (_, i), _ in rows], *([f(r) for _, r in rows] for f in (lambda r: len(r[0]), lambda r: r[1], lambda r: r[2], lambda r: r[3]))]
+                    rest = [[i for (_, i), _ in rows], *([r[c] for _, r in rows] for c in range(4))]
                     yield pa.RecordBatch.from_arrays([ids, *map(pa.array, rest)], names=schema.names)
 
         part = source.mapInArrow(scan, schema)

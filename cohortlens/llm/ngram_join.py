@@ -4,8 +4,9 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Two sets
 and m link when their Jaccard similarity is at least ``num``/``den`` (0.9 by default); then
 their overlap is at least a(n) = ceil(n num/den), for either size.
 
-1. Equal sets (128-bit digest) form classes; only the class representative (smallest id) goes
-   on, so copies are never expanded into pairs.
+1. Equal sets (128-bit digest) form classes; only the class goes on, as a node numbered by a
+   hash of its digest (hashed anew should two classes get one number), so copies are never expanded
+   into pairs, and texts without an id take part as any other.
 2. *Small sets* (n <= boundary) are keyed by each of their subsets of at least a(n) elements.
    Linked sets share the subset that is their overlap. Within a key every set is tied to the
    key's smallest set alone, which suffices: a pair that links through a subset also links,
@@ -25,7 +26,8 @@ their overlap is at least a(n) = ceil(n num/den), for either size.
      the block's inverted index and only edges that join two trees are kept: no pairs are
      written, however large a group of near copies is, and blocks scan in parallel.
 4. The boundary is the one of least estimated cost, from the histogram of small sizes.
-5. Edges between representatives, by exact overlap, and components over them.
+5. Edges between classes, by exact overlap, and components over them; at the end a component
+   is named by its smallest id.
 
 Broadcast: at most ``hot_limit`` element hashes and ``broadcast_rows`` rows of group numbers.
 
@@ -43,7 +45,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm._text import mix64, raw, slices, text_column, words
@@ -84,6 +86,10 @@ def _sets(batch: pa.RecordBatch, k: int):
             yield row, s
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
 def _least(n, num: int, den: int):
     """a(n): the overlap that a set of n elements needs with any partner."""
     return -(-n * num // den)
@@ -120,8 +126,9 @@ def hot_elements(docs: DataFrame, k: int, num: int, den: int, limit: int, share:
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, f1, f2, rare, prefix, small): set size, digest, list prefix in the global order
-    (its first ``rare`` elements are not frequent), and the whole set if it is small."""
+    """(doc_id, place, n, f1, f2, rare, prefix, small): place of the text (see ``link``), set size,
+    digest, list prefix in the global order (its first ``rare`` elements are not frequent), and the
+    whole set if it is small."""
     order = np.argsort(hot).astype(np.int32)
     shared = docs.sparkSession.sparkContext.broadcast((hot[order], order))
 
@@ -131,7 +138,7 @@ def signatures(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) ->
             n, f, rare, prefix, small = [], [], [], [], []
             for _, s in _sets(b, k):
                 n.append(len(s))
-                f.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else bytes(16))
+                f.append(_digest(s) if len(s) else bytes(16))
                 p = len(s) - _least(len(s), num, den) + 1 if len(s) else 0
                 at = np.searchsorted(known, s)
                 at[at == len(known)] = 0
@@ -147,11 +154,11 @@ def signatures(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) ->
             f = np.frombuffer(b"".join(f), dtype="<i8").reshape(-1, 2)
             ints = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(rare, pa.int32()),
-                 pa.array(prefix, ints), pa.array(small, ints)], names=["doc_id", "n", "f1", "f2", "rare", "prefix", "small"])
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(rare, pa.int32()),
+                 pa.array(prefix, ints), pa.array(small, ints)], names=["doc_id", "place", "n", "f1", "f2", "rare", "prefix", "small"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n long, f1 long, f2 long, rare int, prefix array<long>, small array<long>")
+    return docs.select("doc_id", "text", "place").mapInArrow(
+        sign, "doc_id long, place long, n long, f1 long, f2 long, rare int, prefix array<long>, small array<long>")
 
 
 def boundary(sizes: dict[int, int], num: int, den: int) -> int:
@@ -333,40 +340,67 @@ def candidate_groups(members: DataFrame, pairs: DataFrame, num: int, den: int, b
 
 
 def group_edges(docs: DataFrame, grouped: DataFrame, k: int, num: int, den: int, broadcast_rows: int) -> DataFrame:
-    """Edges (a, b) within the groups of ``candidate_groups``. The sets are made from the texts of
-    their documents: where at most ``broadcast_rows`` rows are grouped (6 numbers each), they are
-    broadcast and no text is shuffled; beyond, they are joined."""
+    """Edges (a, b) within the groups of ``candidate_groups``, with place and digest (f1) of their
+    classes. The sets are made from the texts at that place which have the digest: where at most
+    ``broadcast_rows`` rows are grouped (8 numbers each), they are broadcast and no text is
+    shuffled; beyond, they are joined."""
 
     def make(batches):
+        seen: set[int] = set()  # of repeated rows a task ships one
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                got = [s.tobytes() for _, s in _sets(part, k)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(got, pa.binary())], names=[*part.schema.names[1:], "set"])
+                rows, got = [], []
+                key = list(zip(*(part.column(c).to_pylist() for c in ("doc_id", "g", "band", "lo", "hi"))))
+                for (row, s), f1 in zip(_sets(part, k), part.column("f1").to_pylist()):
+                    one = hash(key[row])
+                    if one not in seen and len(s) and _digest(s)[:8] == f1.to_bytes(8, "little", signed=True):
+                        seen.add(one)
+                        rows.append(row)
+                        got.append(s.tobytes())
+                if rows:
+                    part = part.drop_columns(["text", "f1"]).take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=[*part.schema.names, "set"])
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.unique(table["doc_id"].to_numpy(), return_index=True)[1]))
         doc, pos, side, guest = (table[c].to_numpy() for c in ("doc_id", "pos", "side", "guest"))
         s = [np.frombuffer(v, dtype="<u8") for v in table["set"].to_pylist()]
         a, b = scan_block(doc, np.array([len(v) for v in s], np.int64), pos, side, guest, s, num, den)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     few = grouped.limit(broadcast_rows + 1).count() <= broadcast_rows
-    own = docs.join(F.broadcast(grouped) if few else grouped.hint("shuffle_hash"), "doc_id")
-    own = own.select("text", *grouped.columns).mapInArrow(make, "doc_id long, g long, band int, lo int, hi int, pos long, side int, guest boolean, set binary")
+    own = docs.select("text", "place").join(F.broadcast(grouped) if few else grouped.hint("shuffle_hash"), "place")
+    own = own.select("text", *(c for c in grouped.columns if c != "place")).mapInArrow(make, "doc_id long, g long, band int, lo int, hi int, pos long, side int, guest boolean, set binary")
     return own.groupBy("g", "band", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
+def numbered(classes: DataFrame) -> Column:
+    """Number of a class, from its digest; different for all of ``classes`` (f1, f2)."""
+    seed = 0
+    while True:
+        node = F.xxhash64("f1", "f2", F.lit(seed))
+        if classes.groupBy(node).count().filter("count > 1").isEmpty():
+            return node
+        seed += 1
+
+
 def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot_limit: int = 1 << 20, light_list: int = 32,
          block_rows: int = 2048, block_bytes: int = 1 << 24, broadcast_rows: int = 1 << 19, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, edges, roots): (doc_id, n_shingles, rep) per document row, verified edges (a, b)
-    between representatives, and (node, root) of their components."""
+    """(members, classes, edges): (doc_id, n_shingles, node) per document row, (node, first, copies)
+    per class with its smallest id and rows, and verified edges (a, b) between nodes. A row without
+    words has a null node."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # where a text is found again: its id, or without one a hash
+    docs = docs.withColumn("place", F.coalesce("doc_id", F.xxhash64("text")))
     hot = hot_elements(docs, k, num, den, hot_limit)
     sig = materialize(signatures(docs, hot, k, num, den), "signatures")
-    classes = (sig.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_rows")))
+    classes = (sig.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.min("place").alias("place"), F.count(F.lit(1)).alias("copies")))
     classes = materialize(classes, "classes")
-    base = materialize(sig.filter("n > 0").select("doc_id", "n", "rare", "prefix", "small")
-                       .join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "representatives")
+    node = numbered(classes)
+    own = ["f1", "f2", "place"]
+    base = (sig.filter("n > 0").select(*own, "n", "rare", "prefix", "small").join(classes.select(*own), own, "left_semi").dropDuplicates(own))
+    base = materialize(base.select(node.alias("doc_id"), "n", "rare", "prefix", "small"), "representatives")
     sizes = {r["n"]: r["count"] for r in base.filter(F.col("n") <= _SMALL).groupBy("n").count().collect()}  # at most _SMALL rows
     b = boundary(sizes, num, den)
     small = small_pairs(base, b, num, den)
@@ -383,21 +417,31 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot_limit:
     members = (hot_post.join(counted.filter(F.col("_c") > light_list).select("e"), "e", "left_semi").select("e", "doc_id", "n", "pos")
                .unionByName(scanned.filter("e is not null").select("e", F.col("a").alias("doc_id"), "n", "pos")))
     members = materialize(members, "long-lists")
-    grouped = materialize(candidate_groups(members, pairs, num, den, block_rows, block_bytes), "groups")
+    grouped = candidate_groups(members, pairs, num, den, block_rows, block_bytes)
+    grouped = materialize(grouped.join(classes.select(node.alias("doc_id"), "place", "f1"), "doc_id"), "groups")
     edges = group_edges(docs, grouped, k, num, den, broadcast_rows)
     edges = materialize(edges.distinct(), "links")
-    roots = components(edges)
-    rows = sig.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
-    rows = rows.join(classes.filter("_rows > 1").select("f1", "f2", "rep"), ["f1", "f2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("rep")), edges, roots
+    rows = sig.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node"))
+    return rows, classes.select(node.alias("node"), "first", "copies"), edges
+
+
+def named(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, first): the least ``first`` of a node's component, for nodes of several copies or in a
+    component of several nodes."""
+    grown = classes.join(components(edges), "node", "left").withColumn("g", F.coalesce("root", "node"))
+    least = grown.groupBy("g").agg(F.min("first").alias("least"), F.sum("copies").alias("_c")).filter("_c > 1")
+    return grown.join(least.drop("_c"), "g").select("node", F.col("least").alias("first"))
 
 
 def join_components(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per document row."""
-    members, _, roots = link(docs, **kw)
-    x = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return x.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    members, classes, edges = link(docs, **kw)
+    # texts of one id hang together
+    texts = members.filter("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_b"))
+    texts = materialize(texts.filter("a <> _b").select("doc_id", "a"), "several-texts")
+    ties = members.join(texts, "doc_id").select("a", F.col("node").alias("b"))
+    names = materialize(named(classes, edges.unionByName(ties.filter("b is not null"))), "names")
+    return members.join(names, "node", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:

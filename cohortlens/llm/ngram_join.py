@@ -126,7 +126,7 @@ def hot_elements(docs: DataFrame, k: int, num: int, den: int, limit: int, share:
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, place, n, f1, f2, rare, prefix, small): place of the text (see ``link``), set size,
+    """(doc_id, place, _t1, _t2, n, f1, f2, rare, prefix, small): place and digest of the text (see ``link``), set size,
     digest, list prefix in the global order (its first ``rare`` elements are not frequent), and the
     whole set if it is small."""
     order = np.argsort(hot).astype(np.int32)
@@ -154,11 +154,11 @@ def signatures(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) ->
             f = np.frombuffer(b"".join(f), dtype="<i8").reshape(-1, 2)
             ints = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(rare, pa.int32()),
-                 pa.array(prefix, ints), pa.array(small, ints)], names=["doc_id", "place", "n", "f1", "f2", "rare", "prefix", "small"])
+                [b.column(0), *b.columns[2:], pa.array(n, pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(rare, pa.int32()),
+                 pa.array(prefix, ints), pa.array(small, ints)], names=["doc_id", "place", "_t1", "_t2", "n", "f1", "f2", "rare", "prefix", "small"])
 
-    return docs.select("doc_id", "text", "place").mapInArrow(
-        sign, "doc_id long, place long, n long, f1 long, f2 long, rare int, prefix array<long>, small array<long>")
+    return docs.select("doc_id", "text", "place", "_t1", "_t2").mapInArrow(
+        sign, "doc_id long, place long, _t1 long, _t2 long, n long, f1 long, f2 long, rare int, prefix array<long>, small array<long>")
 
 
 def boundary(sizes: dict[int, int], num: int, den: int) -> int:
@@ -387,12 +387,13 @@ def numbered(classes: DataFrame) -> Column:
 
 def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot_limit: int = 1 << 20, light_list: int = 32,
          block_rows: int = 2048, block_bytes: int = 1 << 24, broadcast_rows: int = 1 << 19, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, edges): (doc_id, n_shingles, node) per document row, (node, first, copies)
+    """(members, classes, edges): (doc_id, n_shingles, node, _t1, _t2) per document row with its text's digest, (node, first, copies)
     per class with its smallest id and rows, and verified edges (a, b) between nodes. A row without
     words has a null node."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # where a text is found again: its id, or without one a hash
     docs = docs.withColumn("place", F.coalesce("doc_id", F.xxhash64("text")))
+    docs = docs.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(1), "text")})
     hot = hot_elements(docs, k, num, den, hot_limit)
     sig = materialize(signatures(docs, hot, k, num, den), "signatures")
     classes = (sig.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.min("place").alias("place"), F.count(F.lit(1)).alias("copies")))
@@ -421,7 +422,7 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot_limit:
     grouped = materialize(grouped.join(classes.select(node.alias("doc_id"), "place", "f1"), "doc_id"), "groups")
     edges = group_edges(docs, grouped, k, num, den, broadcast_rows)
     edges = materialize(edges.distinct(), "links")
-    rows = sig.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node"))
+    rows = sig.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node"), "_t1", "_t2")
     return rows, classes.select(node.alias("node"), "first", "copies"), edges
 
 
@@ -450,3 +451,31 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     groups = join_components(docs, id_col=id_col, **kw)
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(materialize(gone, "copies"), id_col, "left_anti")
+
+
+def _key(doc_id: Column, text: Column) -> list[Column]:
+    """(_id, _t1, _t2): id and 128-bit digest of a row's text."""
+    return [doc_id.cast("long").alias("_id"), F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2")]
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+    """One row of each group of near-duplicate rows, all columns kept: the one of smallest id (rows
+    without an id come last), then text digest; of rows equal in both, one. Rows group by their
+    texts alone, also where they share an id; rows without words stay."""
+    members, classes, edges = link(docs, id_col=id_col, text=text, **kw)
+    best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), "_t1", "_t2")
+    rows = members.filter("node is not null").groupBy("node", "doc_id", "_t1", "_t2").agg(F.count(F.lit(1)).alias("_n"))
+    rows = materialize(rows.select("node", best.alias("row"), "_n"), "rows")
+    classes = classes.drop("first").join(rows.groupBy("node").agg(F.min("row").alias("first")), "node")
+    names = named(classes, edges)
+    found = materialize(rows.join(names, "node").select("row.*", (F.col("row") != F.col("first")).alias("gone"), "_n"), "copies")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *_key(F.col(id_col), F.col(text)))
+    match = lambda k: (keyed["_id"].eqNullSafe(k["_id"])) & (keyed["_t1"] == k["_t1"]) & (keyed["_t2"] == k["_t2"])
+    out = found.filter("gone or _n > 1").select("_id", "_t1", "_t2")
+    kept = keyed.join(out, match(out), "left_anti").select("_row.*")
+    again = found.filter("not gone and _n > 1").select("_id", "_t1", "_t2")
+    if again.isEmpty():
+        return kept
+    order = F.xxhash64(*(F.col("_row")[c] for c, t in docs.dtypes if "map<" not in t and t != "variant"))
+    one = keyed.join(again, match(again), "left_semi").groupBy("_id", "_t1", "_t2").agg(F.min_by("_row", order).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))

@@ -46,9 +46,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """One row of each group of near-duplicates: the one with the smallest id; of equal rows one."""
     _small_batches(spark)
-    return ngram_join.keep_first(docs, k=SHINGLE_WORDS, num=SIMILARITY_PERCENT, den=100)
+    return ngram_join.keep_one(docs, k=SHINGLE_WORDS, num=SIMILARITY_PERCENT, den=100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_joins import DOCS, brute_components, brute_join, near_copies
 
 from cohortlens.llm import ngram_join
@@ -63,3 +64,33 @@ def test_rows_without_an_id_match_brute_force(spark, opts):
     rng.shuffle(rows)
     got = ngram_join.join_components(spark.createDataFrame(rows, DOCS), **opts).collect()
     assert sorted(map(tuple, got), key=str) == brute_rows(rows)
+
+
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    a, b = long_text(rng), long_text(rng)
+    clean = long_text(rng)
+    rows = [(3, a, 1), (3, a, 1), (3, a, 1), (None, a, 2), (None, b, 3), (None, b, 3), (None, edited(b, 2), 4),
+            (5, edited(a, 59), 5), (5, clean, 6), (8, None, 7), (8, None, 7), (9, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    for docs in (df, df.withColumn("_id", F.lit(1)).withColumn("_t1", F.lit(2))):
+        out = P.drop_near_duplicates(spark, docs, None)
+        assert out.columns == docs.columns
+        got = sorted((r.doc_id or 0, r.row) for r in out.collect())
+        assert got in ([(0, x), (3, 1), (5, 6), (8, 7), (8, 7), (9, 8)] for x in (3, 4))
+
+
+def test_one_row_of_each_group_matches_brute_force(spark):
+    rng = random.Random(10)
+    texts = [t for n, length in ((10, 120), (8, 60), (6, 12)) for t in near_copies(rng, n, length, most=6)]
+    rows = [(None if rng.random() < 0.3 else rng.randrange(15), t) for t in texts]
+    rows += rng.sample(rows, 10)
+    got = [tuple(r) for r in ngram_join.keep_one(spark.createDataFrame(rows, DOCS)).collect()]
+    comp = {i: c for i, _, c in brute_join([(i, t) for i, (_, t) in enumerate(rows)])}
+    groups = {c: [rows[i] for i in comp if comp[i] == c] for c in comp.values()}
+    assert len(got) == len(groups)
+    for members in groups.values():
+        [one] = [r for r in got if r in members]
+        assert one[0] == min((d for d, _ in members if d is not None), default=None)

@@ -7,7 +7,7 @@ the last return the columns of ``documents``; the last returns one row per packe
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import decontaminate, language_id, line_dedup, ngram_join, packing
@@ -27,22 +27,37 @@ def _small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns of these names under private ones, and the columns that give all
+    of ``docs`` back."""
+    taken, private = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower() in names:
+            private[c] = "_" + c
+            while private[c].lower() in taken:
+                private[c] = "_" + private[c]
+            taken.add(private[c].lower())
+    return docs.withColumnsRenamed(private), [F.col(f"`{private.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows of ``docs``; keeps rows with a recognised language. A null
     text has none."""
     _small_batches(spark)
-    found = language_id.identify(docs.drop("lang_pred", "score"))
+    own, columns = _aside(docs, "lang_pred", "score")
+    found = language_id.identify(own)
     keep = (F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.filter(keep).select(*docs.columns)
+    return found.filter(keep).select(*columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand in ten or more documents; ``n_chars`` follows."""
     _small_batches(spark)
-    out = line_dedup.dedup_lines(docs)
+    own, columns = _aside(docs, "n_lines", "n_dropped")
+    out = line_dedup.dedup_lines(own)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,12 +10,12 @@ centroid's list and, near a boundary, replicated to further centroids up to ``re
 distance is at most (1 + ``closure``) times the nearest, unless a chosen centroid stands so near
 to that centroid (SPREAD times the vector's distance) that its list covers the same ground.
 
-Search. A query finds its nearest centroids in an in-memory graph (each centroid linked to its
-nearest ones, best-first walk from a few hubs) and takes the lists within the distance ratio
+Search. A query finds its nearest centroids in an in-memory graph (each centroid linked both ways
+with its nearest ones, parts left apart linked too, best-first walk from a few hubs) and takes the lists within the distance ratio
 of the nearest; the ratio is fitted on the sample so that lists holding ``target`` of the true
 neighbours of sample queries are taken, at least ``least_lists``. Lists are scanned in groups of
-bounded size: a list with many vectors is split by hash, its queries go to each part. Each group
-returns a top k per query; one ranking joins them.
+bounded size: a list with many vectors is split by hash, and so are many queries of a list; each
+block of queries goes to each part. Each group returns a top k per query; one ranking joins them.
 
 Exactly equal vectors are one entry: of each vector value the k + 1 smallest ids are kept,
 all that a top k with ties to smaller ids can show; the ranking limit is applied before the
@@ -50,7 +50,7 @@ SPREAD = 0.5
 @dataclass(frozen=True)
 class Index:
     centroids: np.ndarray  # (lists, dim + 1)
-    graph: np.ndarray  # (lists, degree): nearest centroids of each
+    graph: list[np.ndarray]  # centroids linked to each
     hubs: np.ndarray
     norm: float
     ratio: float
@@ -147,21 +147,50 @@ def replicas_of(c: np.ndarray, x: np.ndarray, closure: float, most: int) -> tupl
     return np.concatenate(rows), np.concatenate(lists)
 
 
+def _parts(links: np.ndarray) -> np.ndarray:
+    """Least row that each row of a symmetric link matrix hangs together with."""
+    part = np.arange(len(links))
+    while True:
+        low = np.minimum(part, np.where(links, part, len(part)).min(axis=1))
+        if (low == part).all():
+            return part
+        part = low
+
+
+def centroid_graph(d: np.ndarray, degree: int = 24) -> tuple[list[np.ndarray], np.ndarray]:
+    """(links, parts): each centroid linked both ways with its nearest ones, and each part of the
+    graph that these links leave apart with its nearest centroid outside, until all hang together."""
+    links = np.zeros(d.shape, bool)
+    near = np.argsort(np.where(np.eye(len(d), dtype=bool), -1.0, d), axis=1, kind="stable")[:, 1:degree + 1]
+    np.put_along_axis(links, near, True, axis=1)
+    links |= links.T
+    first = part = _parts(links)
+    while part.any():
+        for p in np.unique(part):
+            rows, others = np.flatnonzero(part == p), np.flatnonzero(part != p)
+            i, j = np.unravel_index(d[np.ix_(rows, others)].argmin(), (len(rows), len(others)))
+            links[rows[i], others[j]] = links[others[j], rows[i]] = True
+        part = _parts(links)
+    return [np.flatnonzero(x) for x in links], first
+
+
 def fit(sample: np.ndarray, norm: float, cell: int, k: int, target: float, closure: float, replicas: int, least_lists: int) -> Index:
     """Centroids, graph and distance ratio from the sample vectors."""
     x = lift(sample, norm)
     c = np.array([x[rows].mean(axis=0) for rows in balanced_cells(x, cell)])
     d = _distances(c, c)
-    degree = min(24, len(c) - 1) or 1
-    graph = np.argsort(d, axis=1, kind="stable")[:, 1:degree + 1] if len(c) > 1 else np.zeros((1, 1), np.int64)
-    # links both ways keep the graph connected; hubs spread over the order of cells
-    hubs = np.unique(np.linspace(0, len(c) - 1, min(len(c), max(8, int(len(c)**0.5)))).astype(np.int64))
+    graph, parts = centroid_graph(d)
+    # hubs spread over the order of cells, and one in each part that hung together by near links alone
+    hubs = np.linspace(0, len(c) - 1, min(len(c), max(8, int(len(c)**0.5)))).astype(np.int64)
+    hubs = np.unique(np.append(hubs, np.unique(parts, return_index=True)[1]))
     rows, lists = replicas_of(c, x, closure, replicas)
     holds = np.zeros((len(x), len(c)), bool)
     holds[rows, lists] = True
     ask = np.arange(0, len(x), max(1, len(x) // 400))
     q = np.hstack([sample[ask], np.zeros((len(ask), 1))])
-    order = np.argsort(-(sample[ask] @ sample.T), axis=1, kind="stable")[:, 1:k + 1]
+    score = sample[ask] @ sample.T
+    score[np.arange(len(ask)), ask] = -np.inf  # a query is no neighbour of itself
+    order = np.argsort(-score, axis=1, kind="stable")[:, :min(k, len(sample) - 1)]
     dq = _distances(q, c)
     rank = dq / dq.min(axis=1, keepdims=True)
     # per true neighbour, the smallest ratio at which one of its lists is read
@@ -267,10 +296,16 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     size = lists.groupBy("list").agg(F.count(F.lit(1)).alias("_c"))  # at most one row per centroid
     size = size.select("list", F.ceil(F.col("_c") / group_rows).cast("int").alias("_parts"))
     x = lists.join(F.broadcast(size), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
-    q = route(rows.filter(is_query & (F.size("v") == dim)), index).join(F.broadcast(size), "list")
+    q = materialize(route(rows.filter(is_query & (F.size("v") == dim)), index), "routed-queries")
+    asked = q.groupBy("list").agg(F.count(F.lit(1)).alias("_q"))  # at most one row per centroid
+    asked = asked.select("list", F.ceil(F.col("_q") / group_rows).cast("int").alias("_blocks"))
+    x = x.join(F.broadcast(asked), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    q = q.join(F.broadcast(size), "list").join(F.broadcast(asked), "list")
+    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    found = (q.select("list", "part", "id", "v").groupBy("list", "part")
-             .cogroup(x.select("list", "part", "id", "v").groupBy("list", "part"))
+    group = ["list", "part", "block"]
+    found = (q.select(*group, "id", "v").groupBy(*group)
+             .cogroup(x.select(*group, "id", "v").groupBy(*group))
              .applyInArrow(_scan(k), "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

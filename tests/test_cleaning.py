@@ -125,7 +125,7 @@ def test_reconcile_counts(spark):
 
 
 def test_dedup_is_idempotent(spark):
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     from cohortlens.sources import fixture
 
     once = cleaning.dedup_exact(cleaning.drop_staging(fixture.raw_events(spark, SF_SMALL)))

@@ -54,7 +54,7 @@ def test_sessions_sequence_ordered(spark):
 
 
 def test_funnel_monotone_on_fixture(spark):
-    from conftest import SF_MID
+    from helpers import SF_MID
     from cohortlens.plans import Pipeline
 
     sf = Pipeline.from_testdata(spark, SF_MID).session_funnel

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cohortlens.plans import Pipeline
 from cohortlens.operators import quality
 from cohortlens.sources import fixture
-from conftest import SF_MID
+from helpers import SF_MID
 
 GOLDEN = {
     1800: dict(rows=9023, users=135, sessions=8370, report=8856,

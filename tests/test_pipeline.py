@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import cleaning, funnel
 from cohortlens.plans import Pipeline
 from cohortlens.session import ensure_checkpoint_dir
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from helpers import ev, lookup_df, raw_df
 
 

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 from cohortlens.operators import cleaning, funnel
 from cohortlens.plans import Pipeline
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 def plan(df) -> str:

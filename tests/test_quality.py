@@ -62,7 +62,7 @@ def test_duplicate_histogram_and_cross_exposed(spark):
 
 
 def test_simultaneous_pairs_sliced_equals_plain(spark):
-    from conftest import SF_MID
+    from helpers import SF_MID
     from cohortlens.sources import fixture
 
     raw = fixture.raw_events(spark, SF_MID)

@@ -92,7 +92,7 @@ def test_ties_across_borders_with_changing_zones(spark, slicing, local):
 
 
 def test_sliced_equals_plain_on_fixture(spark):
-    from conftest import SF_MID
+    from helpers import SF_MID
     from cohortlens.operators import cleaning
     from cohortlens.sources import fixture
 
@@ -121,7 +121,7 @@ def test_hot_users_bounded(spark):
 @pytest.mark.parametrize("slicing", ["time", "rank"])
 def test_clean_chain_with_a_hot_user(spark, slicing):
     """A third of all events belong to one user: that user is split, the result is unchanged."""
-    from conftest import SF_MID
+    from helpers import SF_MID
     from cohortlens.operators import cleaning
     from cohortlens.sources import fixture
 

@@ -1,0 +1,152 @@
+"""URL filter: parts of URLs, rules, shrinkage and posterior bound against plain Python."""
+
+import random
+
+import pytest
+from closed_forms import beta_share
+from pyspark.sql import functions as F
+
+from cohortlens.llm import queries as Q
+from cohortlens.llm import url_filter as U
+
+PAGES, LABELS = "page_id long, url string, html string", "id long, bad boolean"
+
+
+def parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host, path = rest[:cut], rest[cut:]
+    path = path[:min([path.index(c) for c in "?#" if c in path], default=len(path))]
+    return "".join(c.lower() if c.isascii() else c for c in host), path
+
+
+def best_rule(host, path, rules):
+    fits = []
+    for action, rule in rules:
+        h, _, p = rule.partition("/")
+        p = "/" + p if "/" in rule else ""
+        if (host == h or host.endswith("." + h)) and path.startswith(p):
+            fits.append((len(rule), len(h), action == "block", rule, action))
+    return max(fits)[3:] if fits else (None, None)
+
+
+def domain(host, suffixes=U.SUFFIXES):
+    bare = host.rsplit("@", 1)[-1]
+    head, colon, port = bare.rpartition(":")
+    if colon and (not port or port.isdigit()):
+        bare = head
+    labels = bare.split(".")
+    if all(c in "0123456789." for c in bare):
+        return bare, bare
+    k = 2 if ".".join(labels[-2:]) in suffixes else 1
+    return ".".join(labels[-k - 1:]), ".".join(labels[-k:])
+
+
+def weight(rows):
+    top = sum((k - n * m)**2 - n * m * (1 - m) for n, k, m in rows)
+    low = sum(n * (n - 1) * m * (1 - m) for n, k, m in rows)
+    rho = top / low if low else U.MOST_RHO
+    return 1 / min(max(rho, U.LEAST_RHO), U.MOST_RHO) - 1
+
+
+def brute(pages, labels, rules, max_bad, confidence):
+    bad = {}
+    for i, b in labels:
+        if i is not None and b is not None:
+            bad[i] = bad.get(i, False) or b
+    hosts = {}
+    for i, url in pages:
+        n, k = hosts.get(parts(url)[0], (0, 0))
+        hosts[parts(url)[0]] = (n + (i in bad), k + bad.get(i, False))
+    over = (sum(k for _, k in hosts.values()) + 1) / (sum(n for n, _ in hosts.values()) + 2)
+
+    def summed(key):
+        out = {}
+        for h, (n, k) in hosts.items():
+            a, b = out.get(key(h), (0, 0))
+            out[key(h)] = (a + n, b + k)
+        return out
+
+    suffixes = summed(lambda h: domain(h)[1])
+    w = weight([(n, k, over) for n, k in suffixes.values()])
+    suffix_rate = {s: (w * over + k) / (w + n) for s, (n, k) in suffixes.items()}
+    domains = summed(domain)
+    w = weight([(n, k, suffix_rate[s]) for (_, s), (n, k) in domains.items()])
+    domain_rate = {d: (w * suffix_rate[s] + k) / (w + n) for (d, s), (n, k) in domains.items()}
+    w = weight([(n, k, domain_rate[domain(h)[0]]) for h, (n, k) in hosts.items()])
+    out = []
+    for i, url in pages:
+        host, path = parts(url)
+        n, k = hosts[host]
+        m = domain_rate[domain(host)[0]]
+        p = 1 - beta_share(max_bad, w * m + k, w * (1 - m) + n - k)
+        rule, action = best_rule(host, path, rules)
+        out.append((i, host, path, rule, action or ("block" if p >= confidence else "allow"), round(p, 6)))
+    return sorted(out, key=str)
+
+
+def judged(spark, pages, labels, rules, max_bad=0.3, confidence=0.9, **kw):
+    df = spark.createDataFrame([(i, u, "") for i, u in pages], PAGES).withColumns({"host": F.lit("clash"), "pages": F.lit(1), "verdict": F.lit(2)})
+    out = U.judge(df, spark.createDataFrame(labels, LABELS), rules, max_bad, confidence, **kw)
+    return sorted(map(tuple, out.withColumn("p_bad", F.round("p_bad", 6)).collect()), key=str)
+
+
+ODD = [None, "", "no scheme", "http://", "HTTP://Ex.ORG", "http://a.net?x=/y", "http://a.net#/", "x://y://z/p", "http://ÄÖ.Example.COM:80/De/x?y",
+       "ftp://user@Shop.co.uk:8080/en/", "http://10.0.0.1/x", "http://net/", "http://net", "http://xnet/", "http://a.example.net/en/1",
+       "http://example.net/enx", "http://b.example.com/de/", "http://b.example.com/fr/", "http://q.org/fr/\nline", "http://q.org/fr", "http://co.uk/"]
+
+
+def test_urls_rules_and_odd_hosts(spark):
+    pages = list(enumerate(ODD)) + [(3, ODD[5]), (None, ODD[5]), (None, None)]
+    labels = [(5, True), (5, False), (None, True), (6, None), (14, False), (999, True)]
+    assert judged(spark, pages, labels, Q.URL_RULES) == brute(pages, labels, Q.URL_RULES, 0.3, 0.9)
+
+
+@pytest.mark.parametrize("limit", [50_000, 6])
+def test_reputation_matches_plain_python(spark, limit):
+    """Hot hosts broadcast, others joined, or all broadcast: the same verdicts."""
+    rng = random.Random(8)
+    rate = {f"{s}.{d}.{t}": r for t in ("com", "org") for d, r in (("good", 0.05), ("mixed", 0.4), ("bad", 0.9)) for s in ("a", "b", "c")}
+    pages, labels = [], []
+    for i in range(900):
+        host = "a.good.com" if i % 3 == 0 else rng.choice(list(rate))
+        pages.append((i, f"https://{host}/p/{i}"))
+        if rng.random() < 0.5:
+            labels.append((i, rng.random() < rate[host]))
+    got = judged(spark, pages, labels, [], broadcast_hosts=limit)
+    assert got == brute(pages, labels, [], 0.3, 0.9)
+    verdict = {r[1]: r[4] for r in got}
+    assert all(v == ("block" if ".bad." in h else v) for h, v in verdict.items())
+    assert all(verdict[h] == "allow" for h in rate if ".good." in h)
+
+
+def test_few_labels_stay_near_the_domain(spark):
+    """One bad page does not block a host of a good domain; a host of a bad domain is blocked unseen."""
+    pages = [(i, f"http://h{i % 40}.good.com/") for i in range(800)] + [(1000 + i, f"http://h{i % 40}.bad.org/") for i in range(800)]
+    labels = [(i, i == 0) for i in range(800) if i % 40 < 38] + [(1000 + i, True) for i in range(800) if i % 40 < 38]
+    verdict = {r[1]: r[4] for r in judged(spark, pages, labels, [])}
+    assert verdict["h0.good.com"] == verdict["h39.good.com"] == "allow"
+    assert verdict["h0.bad.org"] == verdict["h39.bad.org"] == "block"
+
+
+def test_no_labels_and_empty_tables(spark):
+    pages = [(1, "http://a.com/"), (2, None)]
+    assert {r[4] for r in judged(spark, pages, [], [])} == {"allow"}
+    assert judged(spark, [], [(1, True)], []) == []
+    assert judged(spark, [], [], Q.URL_RULES) == []
+
+
+def test_longest_rule_wins_and_bad_rules_are_refused(spark):
+    rules = [("block", "a.com/x"), ("allow", "a.com/x/y"), ("block", "b.a.com"), ("allow", "b.a.com"), ("allow", "com/abcd")]
+    pages = [(1, "http://a.com/x/y"), (2, "http://a.com/x"), (3, "http://c.b.a.com/abcd"), (4, "http://b.a.com")]
+    assert judged(spark, pages, [], rules) == brute(pages, [], rules, 0.3, 0.9)
+    for bad in ([("maybe", "a.com")], [("block", "/x")], [("block", "a.com")] * (U.MAX_RULES + 1)):
+        with pytest.raises(ValueError):
+            U.rule_table(bad)
+
+
+def test_native_plan(spark):
+    df = Q.url_filter_query(spark, "/root/testdata/sf0.001")
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and "Arrow" not in str(df._jdf.queryExecution())

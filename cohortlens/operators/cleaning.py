@@ -25,6 +25,14 @@ CLEAN_COLUMNS = [
 # kept beside the public columns: ordering downstream, and the user key whose partitioning
 # the session groupings reuse
 INTERNAL_COLUMNS = ["event_id", "event_ts", "session_no", "_uk"]
+#: Part of a split user's timeline in UTC order (0 for other users): long sessions are put together
+#: from their parts, and stored tables are laid out by it.
+PIECE = "_piece"
+
+
+def in_pieces(clean: DataFrame) -> bool:
+    """May some user's events be in several parts? Not where the sequence found no user to split."""
+    return PIECE in clean.columns and clean.schema[PIECE].metadata != TL.WHOLE
 
 
 def drop_staging(df: DataFrame, col: str = "release_version",
@@ -99,18 +107,37 @@ def build_base(raw: DataFrame, materialize: bool = True) -> DataFrame:
 
 
 def profile_base(raw: DataFrame) -> DataFrame:
-    """CL1 + CL4: the base for answers that exact duplicates cannot change (distinct users or
-    values, first events). No dedupe shuffle and no write, so scans prune to what is asked."""
+    """CL1 + CL4 as event rows, for answers that exact duplicates cannot change. Where an answer needs
+    only users and a few values, ``profile.kept_values`` shuffles those instead of events."""
     return drop_cross_exposed(drop_staging(raw))
 
 
+def _checked(raw: DataFrame, lookup: DataFrame, gap_seconds: int, gap_basis: str, **slice_opts) -> DataFrame:
+    """CL1–CL6 with the flags of CL4 (``cohort_user_mixed``) and CL7 (``ip_country_mixed``), and PIECE."""
+    if gap_basis not in ("utc", "local"):
+        raise ValueError("gap_basis must be 'utc' or 'local'")
+    kept = drop_staging(raw)
+    prof = kept.select("user_id", F.col("event_datetime").alias("event_ts"))
+    checks = dict(single_valued=("ip_country",), user_single_valued=("cohort",))
+    opts = dict(user="user_id", tiebreak=("event_id",), gap_seconds=gap_seconds, profile=prof, **slice_opts)
+
+    def prepare(x: DataFrame) -> DataFrame:
+        return localize(dedup_exact(x), lookup)
+
+    if gap_basis == "utc":
+        x = TL.sequence(kept, ts="event_ts", prepare=prepare, **opts, **checks)
+        return x.withColumn(PIECE, F.col(TL.SLICE))
+    x = TL.sequence(kept, ts="event_ts", prepare=prepare, gap_col="event_datetime", **opts)
+    x = x.withColumn(PIECE, F.col(TL.SLICE))  # the second pass slices by local time
+    opts["profile"] = prof.withColumnRenamed("event_ts", "event_datetime")
+    return TL.sequence(x.drop("session_no", TL.HOT, TL.SLICE), ts="event_datetime",
+                       gap_values="date_diff_seconds", **opts, **checks)
+
+
 def build_clean_events(raw: DataFrame, lookup: DataFrame, *,
                        gap_seconds: int = P.SESSION_GAP_SECONDS, sep: str = "#",
-                       rows_per_slice: int = P.ROWS_PER_SLICE,
-                       max_hot_users: int = P.MAX_HOT_USERS,
-                       internal: bool = True, gap_basis: str = "utc",
-                       slicing: str = "rank") -> DataFrame:
-    """CL8: CL1–CL7 in order, skew-safe.
+                       internal: bool = True, gap_basis: str = "utc", **slice_opts) -> DataFrame:
+    """CL8: CL1–CL7 in order, skew-safe (``slice_opts``: rows_per_slice, max_hot_users, slicing).
 
     Event rows are exchanged once, on the user key; the dedupe grouping, the sequence windows,
     cross-exposure (CL4) and the multi-country rule (CL7) all work within that partitioning.
@@ -122,27 +149,10 @@ def build_clean_events(raw: DataFrame, lookup: DataFrame, *,
     wall-clock times (wrong or negative across zones and DST) of events in UTC order, and the
     running session count follows local time.
     """
-    if gap_basis not in ("utc", "local"):
-        raise ValueError("gap_basis must be 'utc' or 'local'")
-    kept = drop_staging(raw)
-    prof = kept.select("user_id", F.col("event_datetime").alias("event_ts"))
-    checks = dict(single_valued=("ip_country",), user_single_valued=("cohort",))
-    opts = dict(user="user_id", tiebreak=("event_id",), gap_seconds=gap_seconds, rows_per_slice=rows_per_slice,
-                max_hot_users=max_hot_users, slicing=slicing, profile=prof)
-
-    def prepare(x: DataFrame) -> DataFrame:
-        return localize(dedup_exact(x), lookup)
-
-    if gap_basis == "utc":
-        x = TL.sequence(kept, ts="event_ts", prepare=prepare, **opts, **checks)
-    else:
-        x = TL.sequence(kept, ts="event_ts", prepare=prepare, gap_col="event_datetime", **opts)
-        opts["profile"] = prof.withColumnRenamed("event_ts", "event_datetime")
-        x = TL.sequence(x.drop("session_no", TL.HOT, TL.SLICE), ts="event_datetime",
-                        gap_values="date_diff_seconds", **opts, **checks)
+    x = _checked(raw, lookup, gap_seconds, gap_basis, **slice_opts)
     x = x.filter(~F.col("cohort_user_mixed") & ~F.col("ip_country_mixed"))
     cols = [session_id(sep=sep).alias("session_id")] + CLEAN_COLUMNS[1:]
-    return x.select(*cols, *(INTERNAL_COLUMNS if internal else []))
+    return x.select(*cols, *([*INTERNAL_COLUMNS, PIECE] if internal else []))
 
 
 def session_trace(base: DataFrame, lookup: DataFrame, *,
@@ -154,6 +164,22 @@ def session_trace(base: DataFrame, lookup: DataFrame, *,
     x = localize(base, lookup).withColumn("event", event_label())
     x = TL.sequence(x, user="user_id", ts="event_ts", tiebreak=("event_id",),
                     gap_seconds=gap_seconds, carry=("event", "event_datetime"), **slice_opts)
+    return _trace(x)
+
+
+def trace_raw(raw: DataFrame, lookup: DataFrame, *,
+              gap_seconds: int = P.SESSION_GAP_SECONDS, **slice_opts) -> DataFrame:
+    """DQ10 from raw events: CL1, CL3 and CL4 within the sequence's one exchange on the user key, as in
+    ``build_clean_events``; no table of cleaned events is written first."""
+    kept = drop_staging(raw)
+    x = TL.sequence(kept, user="user_id", ts="event_ts", tiebreak=("event_id",), gap_seconds=gap_seconds,
+                    carry=("event", "event_datetime"), user_single_valued=("cohort",),
+                    profile=kept.select("user_id", F.col("event_datetime").alias("event_ts")),
+                    prepare=lambda e: localize(dedup_exact(e), lookup).withColumn("event", event_label()), **slice_opts)
+    return _trace(x.filter(~F.col("cohort_user_mixed")))
+
+
+def _trace(x: DataFrame) -> DataFrame:
     cols = ["user_id", "event_date", "event", "event_datetime",
             F.col("prev_event_datetime").alias("last_event_time"),
             F.col("prev_event").alias("last_event"), "date_diff_seconds", "session_no"]
@@ -173,3 +199,22 @@ def reconcile(stages: Mapping[str, DataFrame], user: str = "user_id") -> DataFra
             F.lit(name).alias("table_name"), "total_users", "rows_")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def reconcile_chain(raw: DataFrame, lookup: DataFrame, *, gap_seconds: int = P.SESSION_GAP_SECONDS,
+                    gap_basis: str = "utc", names: Sequence[str] = ("Base Clean", "Base Clean 2", "Base Original"),
+                    **slice_opts) -> DataFrame:
+    """CL9 of the whole chain: users and rows after CL4, after CL7, and of the raw events. The first two
+    are counts over one pass of the sequence, per user on its own partitioning and then in total."""
+    x = _checked(raw, lookup, gap_seconds, gap_basis, **slice_opts)
+    base = ~F.col("cohort_user_mixed")
+    users = x.groupBy(TL.UKEY, "user_id").agg(F.count_if(base).alias("_0"), F.count_if(base & ~F.col("ip_country_mixed")).alias("_1"))
+    whole = raw.groupBy("user_id").agg(F.count(F.lit(1)).alias("_2"))
+    known = F.col("user_id").isNotNull()
+
+    def totals(of: DataFrame, stages: dict[str, str]) -> DataFrame:
+        sums = of.agg(*[F.struct(F.lit(n).alias("table_name"), F.count_if(known & (F.col(c) > 0)).alias("total_users"),
+                                 F.coalesce(F.sum(c), F.lit(0)).alias("rows_")).alias(c) for c, n in stages.items()])
+        return sums.select(F.inline(F.array(*stages)))
+
+    return totals(users, {"_0": names[0], "_1": names[1]}).unionByName(totals(whole, {"_2": names[2]}))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortlens import params as P
 from cohortlens.functions.columns import epoch_seconds, event_label
@@ -26,6 +27,23 @@ def null_counts(df: DataFrame, cols: Sequence[str] = NULL_CHECK_COLUMNS) -> Data
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_null") for c in cols])
 
 
+def stored_profile(spark: SparkSession, path: str, schema: StructType, dates: str = "event_date",
+                   cols: Sequence[str] = NULL_CHECK_COLUMNS) -> DataFrame:
+    """DQ1 and DQ2 of a stored Parquet table, from its file footers: first and last date, row count and
+    null count per column (one row). The reader answers minimum, maximum and counts from the
+    footers' statistics, so no row is read. Footers hold no bounds for strings; ``dates`` is a date or
+    number. The result belongs to a session of its own, in which aggregates are pushed down."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    got = own.read.schema(schema).parquet(path).agg(
+        F.min(dates).alias("first_event_date"), F.max(dates).alias("last_event_date"), F.count(F.lit(1)).alias("rows_"),
+        *[F.count(c).alias(f"_{c}") for c in cols])
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in got.columns}  # no file, no count
+    return got.select("first_event_date", "last_event_date", n["rows_"].alias("rows_"),
+                      *[(n["rows_"] - n[f"_{c}"]).alias(f"{c}_null") for c in cols])
+
+
 def users_by(df: DataFrame, dims: Sequence[str], user: str = "user_id",
              name: str = "users") -> DataFrame:
     """DQ3: distinct users per combination of ``dims`` (exact distinct count), in their order."""
@@ -92,10 +110,28 @@ def simultaneous_pairs(df: DataFrame, user: str = "user_id", ts: str = "event_da
     return out.orderBy(F.desc("frequency"), "event_name", "last_event")
 
 
-def duplicate_histogram(df: DataFrame, key: Sequence[str] = P.RAW_KEY) -> DataFrame:
-    """DQ8: groups of identical key tuples with more than one row, counted per multiplicity."""
-    g = df.groupBy(*key).agg(F.count(F.lit(1)).alias("dups_flg")).filter(F.col("dups_flg") > 1)
-    return g.groupBy("dups_flg").agg(F.count(F.lit(1)).alias("groups"))
+def row_digest(key: Sequence[str], seed: int) -> Column:
+    """64-bit digest of the columns; which of them are null counts too."""
+    cols = [F.col(c) for c in key]
+    return F.xxhash64(F.lit(seed), *[c.isNull() for c in cols], *cols)
+
+
+def duplicate_histogram(df: DataFrame, key: Sequence[str] = P.RAW_KEY, exact: bool = False) -> DataFrame:
+    """DQ8: groups of identical key tuples with more than one row, counted per multiplicity.
+
+    Rows are grouped by a 128-bit digest of the key, so 16 bytes a row are shuffled in place of a
+    dozen columns. A third digest checks every group: two tuples of one digest would end the
+    query with an error, never in a wrong count; ``exact`` groups by the columns themselves.
+    """
+    n = F.count(F.lit(1)).alias("dups_flg")
+    if exact:
+        g = df.groupBy(*key).agg(n)
+    else:
+        x = df.select(*[row_digest(key, k).alias(f"_{k}") for k in range(3)])
+        g = x.groupBy("_0", "_1").agg(n, F.min("_2").alias("_lo"), F.max("_2").alias("_hi"))
+        fail = F.raise_error(F.lit("two rows share a digest: use exact=True")).cast("long")
+        g = g.select(F.when(F.col("_lo") == F.col("_hi"), F.col("dups_flg")).otherwise(fail).alias("dups_flg"))
+    return g.filter(F.col("dups_flg") > 1).groupBy("dups_flg").agg(F.count(F.lit(1)).alias("groups"))
 
 
 def staging_profile(df: DataFrame, col: str = "release_version",

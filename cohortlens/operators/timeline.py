@@ -34,6 +34,7 @@ from cohortlens.sources import sinks
 SLICE = "_slice"
 UKEY = "_uk"  # struct(user): a non-null key under which null users still form one group
 HOT = "_hot"
+WHOLE = {"whole": True}  # metadata of a slice column that is 0 throughout: no user is split
 
 
 def _ukey(user: str) -> Column:
@@ -150,7 +151,7 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
     hot = sinks.materialize(hot_users(prof_src, ts, rows_per_slice, max_hot_users), "hot_users")
     ready = (lambda x: prepare(x.repartition(UKEY))) if prepare else (lambda x: x)
     if hot.isEmpty():
-        return _sequence_plain(ready(df).withColumns(whole), **kw)
+        return _sequence_plain(ready(df).withColumns(whole).withMetadata(SLICE, WHOLE), **kw)
     keys, on = F.broadcast(hot.select("_hot_uk")), F.col(UKEY) == F.col("_hot_uk")
     plain = ready(df.join(keys, on, "left_anti")).withColumns(whole)
     rows = df.join(keys, on, "left_semi")

@@ -14,9 +14,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens import params as P
-from cohortlens.operators import cleaning, funnel, significance
+from cohortlens.operators import cleaning, funnel, profile, significance
 from cohortlens.sources import fixture, sinks
 
+#: One run of one test on one day is one batch of results.
+RESULT_BATCH = ("run_date", "test_name")
+
 
 @dataclass
 class Pipeline:
@@ -44,9 +47,15 @@ class Pipeline:
         return cleaning.build_base(self.raw, self.materialize)
 
     @cached_property
-    def profile_base(self) -> DataFrame:
-        """CL1 + CL4, for answers that exact duplicates cannot change."""
-        return cleaning.profile_base(self.raw)
+    def user_facets(self) -> DataFrame:
+        """The distinct facts per user that DQ3, DQ5, DQ12 and V1–V3 ask for, made in one pass."""
+        return self._keep(profile.user_facets(self.raw), "user_facets")
+
+    @cached_property
+    def report_bitmaps(self) -> DataFrame:
+        """The report with users as bitmaps, for exact roll-ups (``funnel.roll_up``)."""
+        sf = self._keep(self.session_funnel, "session_funnel")
+        return self._keep(funnel.report_bitmaps(sf, self.experiment), "report_bitmaps")
 
     @cached_property
     def clean_events(self) -> DataFrame:
@@ -65,15 +74,12 @@ class Pipeline:
 
     @cached_property
     def funnel_report(self) -> DataFrame:
-        return funnel.build_funnel_report(self.session_funnel, self.experiment,
-                                          unique_sessions=self._unique_sessions)
+        return self._report(self.session_funnel)
 
     @cached_property
     def significance_results(self) -> DataFrame:
         # two consumers (z and t tests): persist the session table once
-        sf = self._keep(self.session_funnel, "session_funnel")
-        return significance.significance(sf, test_name=self.test_name,
-                                         alpha=self.alpha, run_date=self.run_date)
+        return self._results(self._keep(self.session_funnel, "session_funnel"))
 
     @property
     def _unique_sessions(self) -> bool:
@@ -84,29 +90,62 @@ class Pipeline:
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return sinks.materialize(df, name) if self.materialize else df
 
-    def run(self, out_dir: str) -> dict[str, str]:
+    def _layout(self, spark: SparkSession, buckets: int | None) -> sinks.Layout:
+        """Clean events as stored: a session's events lie in one bucket, so the session groupings need
+        no exchange; where users are split, its events of one timeline part do, so that neither a
+        split user nor an endless session is one bucket, and only its parts' sums are exchanged."""
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        piece = (cleaning.PIECE,) if cleaning.in_pieces(self.clean_events) else ()
+        return sinks.Layout(("user_id", "session_id", *piece), n, ("user_id", "session_id", "event_ts"))
+
+    def run(self, out_dir: str, buckets: int | None = None, on_repeat: str = "append") -> dict[str, str]:
         """Persist every table under ``out_dir`` (a shared location on a cluster).
 
         Each stage reads the table written before it, so a lost executor only recomputes
         the current stage. The clean table keeps event_id / UTC time / session number beside
-        the public columns for deterministic ordering downstream.
+        the public columns for deterministic ordering downstream; it is stored in ``buckets``
+        (default: the shuffle partitions) by user and session, which the sessions and funnel
+        stages read without shuffling events. ``on_repeat='append'`` adds a batch of results on
+        every run, ``'replace'`` keeps one batch per run date and test.
         """
+        if on_repeat not in ("append", "replace"):
+            raise ValueError("on_repeat must be 'append' or 'replace'")
         out = out_dir.rstrip("/")
         paths = {n: f"{out}/{n}" for n in
                  ("clean_events", "sessions", "session_funnel", "funnel_report",
                   "significance_results")}
         spark = self.raw.sparkSession
         with sinks.intermediates(spark):
-            sinks.overwrite(self.clean_events, paths["clean_events"])
-            clean = spark.read.parquet(paths["clean_events"])
+            clean = sinks.overwrite_bucketed(self.clean_events, paths["clean_events"], self._layout(spark, buckets))
             sinks.overwrite(funnel.build_sessions(clean), paths["sessions"])
             sinks.overwrite(funnel.build_session_funnel(clean), paths["session_funnel"])
             sf = spark.read.parquet(paths["session_funnel"])
-            sinks.overwrite(funnel.build_funnel_report(sf, self.experiment,
-                                                       unique_sessions=self._unique_sessions),
-                            paths["funnel_report"],
-                            partition_by=["session_start_date"])
-            res = significance.significance(sf, test_name=self.test_name, alpha=self.alpha,
-                                            run_date=self.run_date)
-            sinks.append(res, paths["significance_results"], partition_by=["run_date"])
+            sinks.overwrite(self._report(sf), paths["funnel_report"], partition_by=["session_start_date"])
+            if on_repeat == "append":
+                sinks.append(self._results(sf), paths["significance_results"], partition_by=["run_date"])
+            else:
+                sinks.replace_batch(self._results(sf), paths["significance_results"], RESULT_BATCH)
         return paths
+
+    def run_tables(self, database: str = "default", buckets: int | None = None) -> dict[str, str]:
+        """The chain as catalog tables of ``database``, each replaced under its name without a moment
+        in which it is missing (``sinks.replace_table``); results as in ``run(on_repeat='replace')``,
+        in a table partitioned by batch. Returns the names."""
+        names = {n: f"{database}.{n}" for n in
+                 ("clean_events", "sessions", "session_funnel", "funnel_report", "significance_results")}
+        spark = self.raw.sparkSession
+        with sinks.intermediates(spark):
+            sinks.replace_table(self.clean_events, names["clean_events"], layout=self._layout(spark, buckets))
+            clean = spark.table(names["clean_events"])
+            sinks.replace_table(funnel.build_sessions(clean), names["sessions"])
+            sinks.replace_table(funnel.build_session_funnel(clean), names["session_funnel"])
+            sf = spark.table(names["session_funnel"])
+            sinks.replace_table(self._report(sf), names["funnel_report"], partition_by=["session_start_date"])
+            sinks.replace_batch_table(self._results(sf), names["significance_results"], RESULT_BATCH)
+        return names
+
+    def _report(self, sf: DataFrame) -> DataFrame:
+        return funnel.build_funnel_report(sf, self.experiment, unique_sessions=self._unique_sessions)
+
+    def _results(self, sf: DataFrame) -> DataFrame:
+        return significance.significance(sf, test_name=self.test_name, alpha=self.alpha, run_date=self.run_date)

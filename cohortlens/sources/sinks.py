@@ -1,16 +1,22 @@
-"""Table sinks: create-or-replace, append, and lineage-cutting materialization."""
+"""Table sinks: create-or-replace by path or by name, append, repeat-safe batches, bucketed layouts,
+and lineage-cutting materialization."""
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql.types import StructType
 
 from cohortlens.session import ensure_checkpoint_dir
 
 
 _kept: dict[str, list[str]] = {}  # intermediate tables by application
+_named: dict[str, list[str]] = {}  # names registered for bucketed reads, by application
 recorder = None  # called with (name, DataFrame) before an intermediate table is written
 
 
@@ -24,14 +30,19 @@ def overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None,
     """``create or replace table … as select``: the whole result is written beside the old table
     and takes its place by renames when it is complete; a failed run leaves the old table."""
     path = path.rstrip("/")
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
     w = df.write.format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(fresh)
-    fs, target = _fs(df.sparkSession, path)
-    new = _fs(df.sparkSession, fresh)[1]
-    before = _fs(df.sparkSession, old)[1]
+    _swap(df.sparkSession, fresh, path)
+
+
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the folder ``fresh`` in the place of ``path``, which may exist."""
+    fs, target = _fs(spark, path)
+    new = _fs(spark, fresh)[1]
+    before = _fs(spark, f"{path}.old-{uuid.uuid4().hex}")[1]
     had = fs.exists(target)
     if had and not fs.rename(target, before):
         raise OSError(f"cannot move {path} aside")
@@ -52,6 +63,108 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.save(path)
 
 
+def replace_batch(df: DataFrame, path: str, batch: Sequence[str], fmt: str = "parquet") -> None:
+    """Repeat-safe append: rows of ``df`` take the place of those that an earlier run loaded with the
+    same values of the ``batch`` columns; other batches stay.
+
+    The batch columns are partition folders and only the folders that ``df`` has rows for are
+    replaced, by the job's commit: a run that fails before leaves the earlier batch, and repeating
+    it, once or often, leaves one. A result without rows replaces nothing.
+    """
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+    w.partitionBy(*batch).save(path)
+
+
+def replace_batch_table(df: DataFrame, name: str, batch: Sequence[str], fmt: str = "parquet") -> None:
+    """``replace_batch`` on a catalog table partitioned by the ``batch`` columns, made when missing."""
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(name):
+        df.limit(0).write.format(fmt).partitionBy(*batch).saveAsTable(name)
+    order = spark.table(name).columns  # partition columns last
+    df.select(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Stored layout of a table: rows dealt by the hash of ``by`` to ``buckets`` files, sorted."""
+
+    by: tuple[str, ...]
+    buckets: int
+    sort: tuple[str, ...] = ()
+
+    def writer(self, df: DataFrame, fmt: str = "parquet") -> DataFrameWriter:
+        """Rows are dealt as the buckets are before the write, so each bucket is one task's file."""
+        w = df.repartition(self.buckets, *self.by).write.format(fmt).bucketBy(self.buckets, *self.by)
+        return w.sortBy(*self.sort) if self.sort else w
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def overwrite_bucketed(df: DataFrame, path: str, layout: Layout) -> DataFrame:
+    """``overwrite`` in a bucketed layout; returns the table as stored, so that groupings and windows
+    whose keys include ``layout.by`` need no exchange. Its registered name lives until the
+    surrounding ``intermediates`` block ends; the files stay."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    name, fresh = f"cohortlens_{uuid.uuid4().hex}", f"{path}.new-{uuid.uuid4().hex}"
+    try:
+        layout.writer(df).option("path", fresh).saveAsTable(name)
+    finally:
+        _drop(spark, name)
+    _swap(spark, fresh, path)
+    return read_bucketed(spark, path, df.schema, layout)
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: StructType, layout: Layout) -> DataFrame:
+    """The files of ``overwrite_bucketed`` with their layout known to the planner."""
+    name = f"cohortlens_{uuid.uuid4().hex}"
+    by = ", ".join(f"`{c}`" for c in layout.by)
+    sort = f" SORTED BY ({', '.join(f'`{c}`' for c in layout.sort)})" if layout.sort else ""
+    spark.sql(f"CREATE TABLE {name} ({schema.toDDL()}) USING parquet "
+              f"CLUSTERED BY ({by}){sort} INTO {layout.buckets} BUCKETS LOCATION '{path}'")
+    _named.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
+
+
+def replace_table(df: DataFrame, name: str, *, layout: Layout | None = None,
+                  partition_by: Sequence[str] = (), fmt: str = "parquet", keep: int = 1) -> None:
+    """``create or replace table name as select`` in the session catalog, never without a table.
+
+    Every load is a table of its own, ``<name>__v<time>``; ``name`` is a view on the newest, moved by
+    one catalog operation when the load is complete. A reader sees the old or the new rows, a
+    failed load leaves the old, and a query that began on the old version finishes on it: the
+    last ``keep`` versions before the current one stay, older ones are dropped.
+    """
+    spark = df.sparkSession
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        raise ValueError(f"{name} is a table; replace_table keeps its versions behind a view of that name")
+    version = f"{name}__v{time.time_ns():020d}"
+    w = layout.writer(df, fmt) if layout else df.write.format(fmt)
+    try:
+        (w.partitionBy(*partition_by) if partition_by else w).saveAsTable(version)
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    except BaseException:
+        _drop(spark, version)
+        raise
+    for old in versions(spark, name)[:-1 - keep]:
+        _drop(spark, old)
+
+
+def versions(spark: SparkSession, name: str) -> list[str]:
+    """Stored versions of a table of ``replace_table``, the oldest first."""
+    *db, table = name.split(".")
+    rows = spark.sql(f"SHOW TABLES{' IN ' + db[0] if db else ''} LIKE '{table}__v*'").collect()
+    return sorted(".".join([*db, r.tableName]) for r in rows)
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a table of ``replace_table`` with all its versions."""
+    spark.sql(f"DROP VIEW IF EXISTS {name}")
+    for v in versions(spark, name):
+        _drop(spark, v)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet under the shared ``spark.checkpoint.dir`` and read it back.
 
@@ -75,10 +188,14 @@ def intermediates(spark: SparkSession):
     """Delete the intermediate tables made inside the block when it ends. Results built from them
     must be written or collected inside."""
     made = _kept.setdefault(spark.sparkContext.applicationId, [])
-    start = len(made)
+    named = _named.setdefault(spark.sparkContext.applicationId, [])
+    start, first = len(made), len(named)
     try:
         yield
     finally:
+        for name in named[first:]:
+            _drop(spark, name)
+        del named[first:]
         for path in made[start:]:
             fs, p = _fs(spark, path)
             fs.delete(p, True)

@@ -1,0 +1,114 @@
+"""User profiles equal the operators on event rows; none of their plans shuffles event rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as E
+from cohortlens.operators import cleaning, funnel, profile, quality, validity
+from cohortlens.plans import Pipeline
+from helpers import SF_MID, SF_SMALL, ev, lookup_df, raw_df
+from test_storage import same, under_exchanges
+
+ODD = [ev(1, 0, user="a"), ev(2, 9, user="a", cohort="Variation", version="9-staging"), ev(3, 5, user="b", cohort=None, country=None),
+       ev(4, 6, user="b", cohort="Variation"), ev(5, 0, user=None, cohort="Control"), ev(6, 1, user=None, cohort="Variation"),
+       ev(7, 2, user="c", version=None), ev(8, 3, user="d", cohort=None, login="x"), ev(9, 4, user="e", language=None, version="8"),
+       ev(10, 5, user="e", cohort="Variation"), ev(1, 0, user="a"), ev(11, 7, user="f", name="First", version="7-staging"), ev(12, 8, user="f")]
+
+
+@pytest.fixture(scope="module", params=["odd", "fixture"])
+def raw(request, spark):
+    return raw_df(spark, ODD) if request.param == "odd" else E._raw(spark, SF_SMALL)
+
+
+def test_facets_answer_like_event_rows(spark, raw):
+    users = profile.user_facets(raw)
+    base = cleaning.profile_base(raw)
+    for dim in ("ip_country", "login_status", "app_language", "release_version"):
+        assert same(validity.cohort_balance(profile.facet(users, dim), dim), validity.cohort_balance(base, dim))
+        assert same(validity.cohort_balance(profile.kept_values(raw, dim), dim), validity.cohort_balance(base, dim))
+    for col in ("platform", "login_status"):
+        assert same(validity.distinct_values(profile.facet(users, col), col), validity.distinct_values(base, col))
+    assert same(validity.cohort_size(profile.facet(users, "platform")), validity.cohort_size(base))
+    assert same(validity.cohort_size(profile.kept_values(raw)), validity.cohort_size(base))
+    assert same(profile.landing_events(raw), quality.landing_events(base))
+    every = profile.facet(users, "release_version", kept=False)
+    assert same(quality.users_by(every, ["release_version", "cohort"]), quality.users_by(raw, ["release_version", "cohort"]))
+    assert same(quality.cross_exposed(every), quality.cross_exposed(raw))
+    assert users.filter("facet = 'platform'").agg(F.sum("events")).first()[0] == raw.count()
+
+
+@pytest.mark.parametrize("name", [
+    "dq_users_by_version_cohort", "dq_cross_exposed_users", "dq_landing_event", "dq_lookup_coverage", "validity_cohort_size",
+    "validity_balance_country", "validity_balance_version", "validity_distinct_platform", "validity_distinct_login"])
+def test_no_event_rows_are_shuffled(spark, name):
+    """Between an exchange and the scan stands a (partial) aggregate."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where nothing is small
+    try:
+        found = under_exchanges(E.queries()[name](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert found and all(any("Aggregate" in op for op in ops) or ops[-1] == "ShuffleExchangeExec" or "SortMergeJoinExec" in ops[-1]
+                         for ops in found), found
+    assert "SortMergeJoin" not in str(found) or name == "dq_lookup_coverage"
+
+
+def test_trace_and_reconciliation_from_raw_events(spark, raw):
+    lookup = lookup_df(spark)
+    assert same(cleaning.trace_raw(raw, lookup), cleaning.session_trace(cleaning.build_base(raw), lookup))
+    want = cleaning.reconcile({"Base Clean": cleaning.build_base(raw), "Base Clean 2": cleaning.build_clean_events(raw, lookup),
+                               "Base Original": raw})
+    for opts in ({}, dict(rows_per_slice=5, max_hot_users=10**9)):
+        assert same(cleaning.reconcile_chain(raw, lookup, **opts).select(want.columns), want)
+
+
+def test_trace_writes_no_events(spark, monkeypatch):
+    from cohortlens.sources import sinks
+
+    seen = []
+    monkeypatch.setattr(sinks, "recorder", lambda what, df: seen.append(what))
+    for name in ("dq_session_trace", "clean_reconciliation"):
+        E.queries()[name](spark, SF_SMALL)
+    assert set(seen) == {"user_profile", "hot_users"}
+
+
+def test_reconciliation_of_nothing(spark):
+    raw = raw_df(spark, [])
+    assert [tuple(r) for r in cleaning.reconcile_chain(raw, lookup_df(spark)).collect()] == [
+        ("Base Clean", 0, 0), ("Base Clean 2", 0, 0), ("Base Original", 0, 0)]
+
+
+def test_roll_up_counts_distinct_users(spark):
+    p = Pipeline.from_testdata(spark, SF_MID, run_date="2024-02-01", gap_seconds=43_200)
+    x = funnel._reached_steps(p.session_funnel, funnel.P.REPORT_STEPS).select("*", "_s.step_id")
+    for dims in (["step_id"], ["step_id", "cohort"], ["step_id", "session_start_date"], ["step_id", "ip_country", "timezone"]):
+        want = x.groupBy(*dims).agg(F.count_distinct("user_id").alias("users"), F.sum("_s._ev").alias("event_count"),
+                                    F.count(F.lit(1)).alias("sessions"), F.sum("session_duration_seconds").alias("total_session_duration"))
+        assert same(funnel.roll_up(p.report_bitmaps, dims), want)
+    numbers = [r._no for r in funnel.numbered_users(p.session_funnel).collect()]
+    assert sorted(numbers) == list(range(len(numbers)))
+
+
+def test_roll_up_of_bitmaps_loaded_apart(spark):
+    """Bitmaps of two days made with one numbering add up to the distinct users of both."""
+    p = Pipeline.from_testdata(spark, SF_SMALL, run_date="2024-02-01")
+    bits = p.report_bitmaps
+    a, b = (bits.filter(f"coalesce(day(session_start_date), 0) % 2 = {k}") for k in (0, 1))
+    assert same(funnel.roll_up(a.unionByName(b), ["step_id"]), funnel.roll_up(bits, ["step_id"]))
+
+
+def test_digest_groups_and_collisions(spark):
+    rows = ODD * 2 + ODD[:3] + [ev(99, 0, user=None, action="x"), ev(98, 0, user="x", action=None)]
+    raw = raw_df(spark, rows)
+    assert same(quality.duplicate_histogram(raw), quality.duplicate_histogram(raw, exact=True))
+    # which column is null counts
+    two = spark.createDataFrame([("a", None), (None, "a")], "x string, y string")
+    assert quality.duplicate_histogram(two, ["x", "y"]).isEmpty()
+
+
+def test_a_digest_collision_is_an_error(spark, monkeypatch):
+    plain = quality.row_digest
+    monkeypatch.setattr(quality, "row_digest", lambda key, seed: F.lit(1).cast("long") if seed < 2 else plain(key, seed))
+    two = spark.createDataFrame([("a",), ("b",)], "x string")
+    with pytest.raises(Exception, match="share a digest"):
+        quality.duplicate_histogram(two, ["x"]).collect()

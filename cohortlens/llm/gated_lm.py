@@ -183,28 +183,44 @@ def _step(m: Model, x, h):
     return n + z * (h - n), z, r, n, gn
 
 
-def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x):
+    """Rows of ``x`` to probabilities, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_share(x, at):
+    """Log probability of place ``at`` of each row under the row's softmax; uses up ``x``."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
 
 
 def _runs(cls: np.ndarray, n: int):
     """(class, rows) for each class under n that occurs."""
-    order = np.argsort(cls, kind="stable")
+    small = cls.astype(np.uint16) if n < 2**15 else cls  # 16 bits sort by radix
+    order = np.argsort(small, kind="stable")
     at = np.searchsorted(cls[order], np.arange(n + 1))
     for c in range(n):
         if at[c] < at[c + 1]:
             yield c, order[at[c]:at[c + 1]]
 
 
-def log_probs(m: Model, states: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | state), times P(token | class, state) for head tokens."""
+def log_probs(m: Model, states: np.ndarray, y: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Natural log of P(class | state), times P(token | class, state) for head tokens; ``step`` rows
+    of class scores at a time, which stay in the processor's cache."""
     cls = m.split(y)
-    out = _log_softmax(states @ m.c + m.cb)[np.arange(len(y)), cls].astype(np.float64)
+    out = np.empty(len(y))
+    for i in range(0, len(y), step):
+        z = states[i:i + step] @ m.c
+        z += m.cb
+        out[i:i + step] = _log_share(z, cls[i:i + step])
     for c, rows in _runs(cls, m.head_classes):
         own = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-        inner = _log_softmax(states[rows] @ m.w[own].T + m.wb[own])
-        out[rows] += inner[np.arange(len(rows)), y[rows] - c * CLASS_WORDS]
+        out[rows] += _log_share(states[rows] @ m.w[own].T + m.wb[own], y[rows] - c * CLASS_WORDS)
     return out
 
 
@@ -213,9 +229,10 @@ def _backward(m: Model, X, Y, start, h0):
     T, B = Y.shape
     H = m.hidden
     hs, keep = np.empty((T + 1, B, H), np.float32), []
+    begins = start.any(axis=1)
     hs[0] = h0
     for t in range(T):
-        h_in = np.where(start[t][:, None], np.float32(0), hs[t])
+        h_in = np.where(start[t][:, None], np.float32(0), hs[t]) if begins[t] else hs[t]
         hs[t + 1], z, r, n, gn = _step(m, X[t], h_in)
         keep.append((h_in, z, r, n, gn))
     s, y = hs[1:].reshape(T * B, H), Y.ravel()
@@ -224,16 +241,19 @@ def _backward(m: Model, X, Y, start, h0):
     G = Model.__new__(Model)
     for name, view in m.views.items():
         setattr(G, name, g[view].reshape(getattr(m, name).shape))
-    p = np.exp(_log_softmax(s @ m.c + m.cb))
+    p = s @ m.c
+    p += m.cb
+    _softmax(p)
     p[np.arange(len(y)), cls] -= 1
     G.c[...] = s.T @ p
     G.cb[...] = p.sum(axis=0)
     ds = p @ m.c.T
     for c, rows in _runs(cls, m.head_classes):
         own = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-        q = np.exp(_log_softmax(s[rows] @ m.w[own].T + m.wb[own]))
+        mine = s[rows]
+        q = _softmax(mine @ m.w[own].T + m.wb[own])
         q[np.arange(len(rows)), y[rows] - c * CLASS_WORDS] -= 1
-        G.w[own] = q.T @ s[rows]
+        G.w[own] = q.T @ mine
         G.wb[own] = q.sum(axis=0)
         ds[rows] += q @ m.w[own]
     ds = ds.reshape(T, B, H)
@@ -249,9 +269,10 @@ def _backward(m: Model, X, Y, start, h0):
         dG = np.concatenate([dz, dr, dn * r], axis=1)
         G.u += h_in.T @ dG
         dh = dh * z + dG @ m.u.T
-        dh[start[t]] = 0
+        if begins[t]:
+            dh[start[t]] = 0
     ids = X.ravel()
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16) if len(m.x) < 2**16 else ids, kind="stable")
     new = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
     G.x[ids[order][new]] = np.add.reduceat(dX.reshape(T * B, -1)[order], new, axis=0)
     return g / np.float32(T * B), hs[T]

@@ -180,7 +180,21 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
         recorder(name, df)
     df.write.parquet(path)
     _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more: all that was built on them is
+    itself written or collected."""
+    for df in tables:
+        path, spark = df._stored_at, df.sparkSession
+        kept = _kept.get(spark.sparkContext.applicationId, [])
+        if path in kept:
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+            kept.remove(path)
 
 
 @contextmanager

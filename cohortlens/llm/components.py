@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.sources.sinks import materialize
+from cohortlens.sources.sinks import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours hang on the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(before)
         after = _state(e)
         if after == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm._text import mix64, raw, slices, text_column, words
 from cohortlens.llm.components import components
-from cohortlens.sources.sinks import materialize
+from cohortlens.sources.sinks import materialize, release
 
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                                 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -402,6 +402,8 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot_limit:
     own = ["f1", "f2", "place"]
     base = (sig.filter("n > 0").select(*own, "n", "rare", "prefix", "small").join(classes.select(*own), own, "left_semi").dropDuplicates(own))
     base = materialize(base.select(node.alias("doc_id"), "n", "rare", "prefix", "small"), "representatives")
+    wide, sig = sig, materialize(sig.select("doc_id", "_t1", "_t2", "n", "f1", "f2"), "digests")
+    release(wide)
     sizes = {r["n"]: r["count"] for r in base.filter(F.col("n") <= _SMALL).groupBy("n").count().collect()}  # at most _SMALL rows
     b = boundary(sizes, num, den)
     small = small_pairs(base, b, num, den)
@@ -418,8 +420,10 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot_limit:
     members = (hot_post.join(counted.filter(F.col("_c") > light_list).select("e"), "e", "left_semi").select("e", "doc_id", "n", "pos")
                .unionByName(scanned.filter("e is not null").select("e", F.col("a").alias("doc_id"), "n", "pos")))
     members = materialize(members, "long-lists")
+    release(base, scanned, counted)
     grouped = candidate_groups(members, pairs, num, den, block_rows, block_bytes)
     grouped = materialize(grouped.join(classes.select(node.alias("doc_id"), "place", "f1"), "doc_id"), "groups")
+    release(members, pairs)
     edges = group_edges(docs, grouped, k, num, den, broadcast_rows)
     edges = materialize(edges.distinct(), "links")
     rows = sig.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node"), "_t1", "_t2")
@@ -458,10 +462,16 @@ def _key(doc_id: Column, text: Column) -> list[Column]:
     return [doc_id.cast("long").alias("_id"), F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2")]
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+def _known_small(keys: DataFrame, limit: int) -> DataFrame:
+    """``keys`` to be broadcast where they are at most ``limit`` rows, counted."""
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", broadcast_rows: int = 1 << 18, **kw) -> DataFrame:
     """One row of each group of near-duplicate rows, all columns kept: the one of smallest id (rows
     without an id come last), then text digest; of rows equal in both, one. Rows group by their
-    texts alone, also where they share an id; rows without words stay."""
+    texts alone, also where they share an id; rows without words stay. Up to ``broadcast_rows`` keys
+    (32 bytes each) of rows that go are broadcast and no text is shuffled; beyond, texts are once."""
     members, classes, edges = link(docs, id_col=id_col, text=text, **kw)
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), "_t1", "_t2")
     rows = members.filter("node is not null").groupBy("node", "doc_id", "_t1", "_t2").agg(F.count(F.lit(1)).alias("_n"))
@@ -471,11 +481,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw)
     found = materialize(rows.join(names, "node").select("row.*", (F.col("row") != F.col("first")).alias("gone"), "_n"), "copies")
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), *_key(F.col(id_col), F.col(text)))
     match = lambda k: (keyed["_id"].eqNullSafe(k["_id"])) & (keyed["_t1"] == k["_t1"]) & (keyed["_t2"] == k["_t2"])
-    out = found.filter("gone or _n > 1").select("_id", "_t1", "_t2")
+    release(rows)
+    out = _known_small(found.filter("gone or _n > 1").select("_id", "_t1", "_t2"), broadcast_rows)
     kept = keyed.join(out, match(out), "left_anti").select("_row.*")
     again = found.filter("not gone and _n > 1").select("_id", "_t1", "_t2")
     if again.isEmpty():
         return kept
     order = F.xxhash64(*(F.col("_row")[c] for c, t in docs.dtypes if "map<" not in t and t != "variant"))
+    again = _known_small(again, broadcast_rows)
     one = keyed.join(again, match(again), "left_semi").groupBy("_id", "_t1", "_t2").agg(F.min_by("_row", order).alias("_row"))
     return kept.unionByName(one.select("_row.*"))

@@ -7,14 +7,16 @@ count as blanks. A sentence is normalised: lower case, runs of anything but lett
 '+', '/' and '-' become one space, outer marks go. A fixed table maps normalised sentences to sentence identifiers. Ordered licence
 rules, each a sequence of identifiers, are matched against the document's identifier
 sequence; identifiers of one match are consecutive, apart from up to ``MAX_GAP`` unknown
-sentences. Earlier rules win, each sentence serves one match. A known sentence left over that
-names no licence by itself is reported as rule ``partial``; a sentence that mentions a licence
+sentences. Earlier rules win, each sentence serves one match. A known sentence left over is reported as rule
+``partial`` with the licence that its rules agree on, else ``UNKNOWN`` (a copyright line is not); "all
+rights reserved" after a copyright line, where a licence's notice follows, is part of that notice. A sentence that mentions a licence
 but is not in the table is reported as licence ``UNKNOWN``. SPDX tags give a row (rule ``spdx``)
 per licence of their expression, as the tag names it.
 
 Scope: notices, headers and tags of Apache-2.0, MIT, ISC, 0BSD, BSD, GPL, LGPL, AGPL, MPL-2.0, EPL,
 Unlicense, CC BY 4.0 and its kin, CC0 in the wording of the table, and SPDX tags of any licence;
-other licences are ``UNKNOWN`` where a sentence says that something stands under a licence. Full
+"or later" is a licence of its own, an unspecified BSD licence is ``BSD-unspecified``, a bare dedication
+``LicenseRef-Public-Domain``; other licences are ``UNKNOWN`` where a sentence says that something stands under a licence. Full
 licence texts (such as the whole GPL) are not recognised as such.
 
 Only texts holding one of a few stems are cut; each table sentence holds one, so no match is
@@ -36,23 +38,26 @@ from pyspark.sql import types as T
 from cohortlens.llm._text import text_column
 
 MAX_GAP = 1
+NEAR = 1000
 
+# How a sentence names the licence that something stands under; what stands under it may come first.
+UNDER = r"((\S+ ){0,6}(is|are) )?((dual )?(released|licensed|distributed|published|provided|(made )?available) )?under ((the|a|an) )?(terms of (the )?)?"
 # Sentences of well-known licence notices, normalised, as patterns by identifier.
 SENTENCES: dict[str, str] = {
-    "apache2-short": r"(licensed|the asf licenses this file to you) under the apache license,? (version |v)?2\.0( the license)?",
+    "apache2-short": r"(the asf licenses this file to you under the |" + UNDER + r")apache( software)? license,? (version |v)?2(\.0)?( the license)?",
     "apache2-compliance": r"you may not use this file except in compliance with the license",
     "apache2-obtain-asis": r"you may obtain a copy of the license at https? \S+ unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache2-obtain": r"you may obtain a copy of the license at( http.*)?",
     "apache2-asis": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache2-see": r"see the license for the specific language governing permissions and limitations under the license",
-    "mit-short": r"(released|licensed|distributed) under the (terms of the )?mit license",
+    "mit-short": UNDER + r"(mit|expat) license",
     "mit-title": r"(the )?mit license( mit)?",
     "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction .*",
     "mit-notice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "asis-software": r"the software is provided as is without warranty of any kind express or implied .*",
     "no-liability": r"in no event shall the authors or copyright holders be liable for any claim damages or other liability .*",
-    "gpl3-short": r"(this work is )?licensed under the gnu general public license version 3( or later)?",
-    "gpl2-short": r"(this work is )?licensed under the gnu general public license version 2( or later)?",
+    "gpl3-short": UNDER + r"gnu general public license,? (version |v)3(\.0)?",
+    "gpl2-short": UNDER + r"gnu general public license,? (version |v)2(\.0)?",
     "gpl-free": r"this \S+ is free software",
     "gpl-terms2": r"you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-terms2-one": r"this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation",
@@ -65,29 +70,36 @@ SENTENCES: dict[str, str] = {
     "bsd-source": r"(\d\.? )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": r"(\d\.? )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": r"(\d\.? )?neither the name of .* nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "lgpl2-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?gnu (lesser|library) general public license,? (version |v)2(\.0)?( or later)?",
-    "lgpl21-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?gnu lesser general public license,? (version |v)2\.1( or later)?",
-    "lgpl3-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?gnu lesser general public license,? (version |v)3(\.0)?( or later)?",
-    "agpl3-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?gnu affero general public license,? (version |v)3(\.0)?( or later)?",
+    "lgpl2-short": UNDER + r"gnu (lesser|library) general public license,? (version |v)2(\.0)?",
+    "lgpl21-short": UNDER + r"gnu lesser general public license,? (version |v)2\.1",
+    "lgpl3-short": UNDER + r"gnu lesser general public license,? (version |v)3(\.0)?",
+    "agpl3-short": UNDER + r"gnu affero general public license,? (version |v)3(\.0)?",
     "isc-grant": r"permission to use copy modify and(/or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "0bsd-grant": r"permission to use copy modify and(/or)? distribute this software for any purpose with or without fee is hereby granted",
     "isc-asis": r"the software is provided as is and .* disclaims? all warranties with regard to this software .*",
-    "isc-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?isc license",
+    "isc-short": UNDER + r"isc license",
     "epl1": r"(all rights reserved )?this program and the accompanying materials are made available under the terms of the eclipse public license (version |v\.? ?)?1\.0.*",
     "epl2": r"(all rights reserved )?this program and the accompanying materials are made available under the terms of the eclipse public license (version |v\.? ?)?2\.0.*",
-    "epl1-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?eclipse public license (version |v\.? ?)?1\.0",
-    "epl2-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?eclipse public license (version |v\.? ?)?2\.0",
+    "epl1-short": UNDER + r"eclipse public license (version |v\.? ?)?1\.0",
+    "epl2-short": UNDER + r"eclipse public license (version |v\.? ?)?2\.0",
     "unlicense": r"this is free and unencumbered software released into the public domain",
-    "unlicense-short": r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?unlicense( license)?",
-    "bsd-short": r"licensed under the (3-clause )?bsd license",
+    "unlicense-short": UNDER + r"unlicense( license)?",
+    "bsd-short": UNDER + r"(3-clause bsd|bsd 3-clause|bsd-3-clause|(new|modified|revised) bsd)( new or revised)? license",
+    "bsd2-short": UNDER + r"(2-clause bsd|bsd 2-clause|bsd-2-clause|(simplified|freebsd) bsd)( simplified)? license",
+    "bsd-any": UNDER + r"bsd license",
     "mpl2": r"this source code form is subject to the terms of the mozilla public license v\. 2\.0",
-    "cc-by": r"(this work is )?licensed under ((a|the) )?(cc by|creative commons attribution) 4\.0( international license)?",
-    "cc-by-nc": r"(this work is )?licensed under ((a|the) )?(cc by-nc|creative commons attribution-noncommercial) 4\.0( international license)?",
-    "cc-by-sa": r"(this work is )?licensed under ((a|the) )?(cc by-sa|creative commons attribution-sharealike) 4\.0( international license)?",
-    "cc0": r"(this work is )?(dedicated to|released into) the public domain( under cc0.*)?",
+    "cc-by": UNDER + r"(cc[ -]by|creative commons attribution)[ -]4\.0( international)?( (public )?license)?",
+    "cc-by-nc": UNDER + r"(cc[ -]by-nc|creative commons attribution-noncommercial)[ -]4\.0( international)?( (public )?license)?",
+    "cc-by-sa": UNDER + r"(cc[ -]by-sa|creative commons attribution-sharealike)[ -]4\.0( international)?( (public )?license)?",
+    "cc0": r"((\S+ ){0,6}(is|are) )?(hereby )?(dedicated to|released into|released to|placed in) the public domain under( the)? (cc0|creative commons (cc0|zero)).*",
+    "public-domain": r"((\S+ ){0,6}(is|are) )?(hereby )?(dedicated to|released into|released to|placed in|in) the public domain",
     "reserved": r"all rights reserved",
     "copyright": r"copyright( c)? \d{4}.*",
 }
+# GNU licences "or later" are licences of their own.
+for _short in ("gpl3", "gpl2", "lgpl3", "lgpl21", "lgpl2", "agpl3"):
+    SENTENCES[f"{_short}-later"] = SENTENCES[f"{_short}-short"] + r"( of the license)?( or( at your option)?( any)? later( version)?| or newer|\+)"
+    SENTENCES[f"{_short}-short"] += r"( of the license)?( only)?"
 # Headers of the other GNU licences: (rule, licence, name, version); the terms and the version are
 # one sentence or two, after "this library is free software" or with it.
 _GNU = [("lgpl21", "LGPL-2.1-or-later", "lesser", "2.1"), ("lgpl2", "LGPL-2.0-or-later", "(lesser|library)", "2"),
@@ -138,11 +150,20 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("gpl3-notice", "GPL-3.0", ("gpl3-short",)),
     ("gpl2-notice", "GPL-2.0", ("gpl2-short",)),
     ("bsd-notice", "BSD-3-Clause", ("bsd-short",)),
+    ("bsd2-notice", "BSD-2-Clause", ("bsd2-short",)),
+    ("bsd-unspecified", "BSD-unspecified", ("bsd-any",)),
+    ("gpl3-later", "GPL-3.0-or-later", ("gpl3-later",)),
+    ("gpl2-later", "GPL-2.0-or-later", ("gpl2-later",)),
+    ("lgpl3-later", "LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("lgpl21-later", "LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("lgpl2-later", "LGPL-2.0-or-later", ("lgpl2-later",)),
+    ("agpl3-later", "AGPL-3.0-or-later", ("agpl3-later",)),
     ("mpl2-notice", "MPL-2.0", ("mpl2",)),
     ("cc-by-nc", "CC-BY-NC-4.0", ("cc-by-nc",)),
     ("cc-by-sa", "CC-BY-SA-4.0", ("cc-by-sa",)),
     ("cc-by", "CC-BY-4.0", ("cc-by",)),
     ("cc0", "CC0-1.0", ("cc0",)),
+    ("public-domain", "LicenseRef-Public-Domain", ("public-domain",)),
     ("all-rights", "Proprietary", ("reserved",)),
 ]
 # Stems, one of which stands in every table sentence; and licence mentions.
@@ -155,7 +176,10 @@ MENTION = re.compile(r"\blicen[sc]ed? (to \S+ )?under\b|\bunder (the|an?) (\S+ )
 _SPDX_ID = r"[A-Za-z0-9](?:[\w.:-]*[A-Za-z0-9])?\+?"
 _SPDX = re.compile(rf"(?i:SPDX-License-Identifier):[^\S\n]*(?P<ids>(?:\([^\S\n]*)*{_SPDX_ID}(?:[^\S\n]*\))*(?:(?:[^\S\n]+(?:AND|OR|WITH|(?:and|or|with)"
                    rf"(?=[^\S\n]+\(*(?:\S*[-\d]|(?i:mit|isc|zlib|unlicense)\b)))[^\S\n]+|/)(?:\([^\S\n]*)*{_SPDX_ID}(?:[^\S\n]*\))*)*)")
-_SPDX_NAMES = {lic.lower(): lic for _, lic, _ in RULES if lic != "Proprietary"}
+_SPDX_NAMES = {lic.lower(): lic for _, lic, _ in RULES if lic not in ("Proprietary", "BSD-unspecified", "LicenseRef-Public-Domain")}
+#: Licence that a sentence of a rule points to, where all rules that hold it agree.
+_HINT = {k: next(iter(names)) for k in SENTENCES for names in [{lic for _, lic, want in RULES if k in want}] if len(names) == 1}
+_HINT["mit-title"] = "MIT"
 
 #: Order in which matches that share text are kept.
 _RANK = {r: k for k, r in enumerate([*(r[0] for r in RULES), "partial", "mention"])}
@@ -228,6 +252,15 @@ def spdx_tags(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _heads_notice(text: str, start: int, end: int, notices: list[int]) -> bool:
+    """What stands at start..end follows a copyright line, and one of ``notices`` follows it, with at
+    most ``MAX_GAP`` sentences and ``NEAR`` characters between."""
+    before = text[max(0, start - NEAR):start].rstrip().rsplit("\n", 1)[-1]
+    k = bisect_left(notices, end)
+    near = k < len(notices) and notices[k] - end <= NEAR
+    return near and bool(_COPYRIGHT.match(before)) and sum(1 for _ in sentences(text[end:notices[k]], _WRAPPED_END)) <= MAX_GAP
+
+
 def match_rules(found: list[tuple[int, int, str, str | None]]) -> list[tuple[str, str, list[int]]]:
     """(rule, licence, sentences): rules matched in order of RULES over (start, end, text, id)."""
     ids = [x[3] for x in found]
@@ -248,8 +281,8 @@ def match_rules(found: list[tuple[int, int, str, str | None]]) -> list[tuple[str
                 used.update(path)
                 out.append((rule, licence, path))
     for i, (_, _, n, k) in enumerate(found):
-        if k and i not in used:
-            out.append(("partial", k, [i]))
+        if k and i not in used and k != "copyright":
+            out.append(("partial", _HINT.get(k, "UNKNOWN"), [i]))
         elif not k and MENTION.search(n):
             out.append(("mention", "UNKNOWN", [i]))
     return sorted(out, key=lambda r: (r[2][0], r[0]))
@@ -281,6 +314,8 @@ def scan_text(text: str) -> list[tuple[str, str, int, int]]:
             for span in spans:
                 insort(taken, span)
             out.append((rule, licence, start, stop))
+    notices = sorted(x[2] for x in out if x[0] not in ("partial", "mention", "all-rights"))
+    out = [x for x in out if x[0] != "all-rights" or not _heads_notice(plain, x[2], x[3], notices)]
     return sorted(out, key=lambda x: (x[2], x[3], x[0]))
 
 

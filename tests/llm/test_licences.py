@@ -89,7 +89,16 @@ STANDARD = {
     "mpl2-notice": (MPL, "MPL-2.0"),
     "apache2-notice": ("Licensed under the Apache License, Version 2.0.\n", "Apache-2.0"),
     "mit-notice": ("Released under the terms of the MIT License.\n", "MIT"),
-    "gpl3-notice": ("Licensed under the GNU General Public License version 3 or later.\n", "GPL-3.0"),
+    "gpl3-notice": ("Licensed under the GNU General Public License version 3.\n", "GPL-3.0"),
+    "gpl3-later": ("Licensed under the GNU General Public License version 3 or later.\n", "GPL-3.0-or-later"),
+    "gpl2-later": ("This tool is licensed under the GNU General Public License, version 2 or any later version.\n", "GPL-2.0-or-later"),
+    "lgpl3-later": ("Released under the GNU Lesser General Public License v3 or later.\n", "LGPL-3.0-or-later"),
+    "lgpl21-later": ("Distributed under the terms of the GNU Lesser General Public License version 2.1 or newer.\n", "LGPL-2.1-or-later"),
+    "lgpl2-later": ("Licensed under the GNU Library General Public License version 2 or later.\n", "LGPL-2.0-or-later"),
+    "agpl3-later": ("Licensed under the GNU Affero General Public License version 3 or (at your option) any later version.\n", "AGPL-3.0-or-later"),
+    "bsd2-notice": ("This library is licensed under the BSD 2-Clause License.\n", "BSD-2-Clause"),
+    "bsd-unspecified": ("Distributed under the BSD license.\n", "BSD-unspecified"),
+    "public-domain": ("The data are released into the public domain.\n", "LicenseRef-Public-Domain"),
     "gpl2-notice": ("Licensed under the GNU General Public License version 2.\n", "GPL-2.0"),
     "bsd-notice": ("Licensed under the 3-Clause BSD License.\n", "BSD-3-Clause"),
     "cc-by": ("This work is licensed under the Creative Commons Attribution 4.0 International License.\n", "CC-BY-4.0"),
@@ -192,7 +201,7 @@ def test_wrapped_bullet_is_one_sentence():
 def test_weak_matches_of_paragraphs_stay():
     assert license_scan.scan_text("It is licensed\nunder Foo terms.") == [("mention", "UNKNOWN", 0, 30)]
     text = "// you may not use this file except\n// in compliance with the License.\n"
-    assert [m[:2] for m in license_scan.scan_text(text)] == [("partial", "apache2-compliance")]
+    assert [m[:2] for m in license_scan.scan_text(text)] == [("partial", "Apache-2.0")]
     # of a line's and a paragraph's equal matches one stays, and none beside a rule
     assert [m[:2] for m in license_scan.scan_text("Licensed under Foo terms\nand more.")] == [("mention", "UNKNOWN")]
     assert license_scan.scan_text("Licensed under the\nMIT License.") == [("mit-notice", "MIT", 0, 30)]
@@ -244,3 +253,29 @@ def test_what_the_table_lacks_is_unknown(text):
 def test_many_matches_in_one_text():
     text = "Licensed under the MIT License.\n" * 20_000
     assert len(license_scan.scan_text(text)) == 20_000
+
+
+@pytest.mark.parametrize("text, licences", [
+    ("The code is under the MIT license.", ["MIT"]),
+    ("This software is licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+    ("This article is licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+    ("Licensed under the GNU General Public License version 3 or later.", ["GPL-3.0-or-later"]),
+    ("Licensed under the GNU General Public License version 2 only.", ["GPL-2.0"]),
+    ("Released into the public domain.", ["LicenseRef-Public-Domain"]),
+    ("Dedicated to the public domain under CC0 1.0.", ["CC0-1.0"]),
+    ("All code here is available under the BSD license.", ["BSD-unspecified"]),
+    ("MIT License", ["MIT"]),
+    ("Copyright (c) 2011, Foo\nAll rights reserved.\n\n" + BSD3, ["BSD-3-Clause"]),
+    ("Copyright 2011 Foo. All rights reserved.", ["Proprietary"]),
+    ("It is not licensed under the MIT License.", ["UNKNOWN"]),
+    ("Copyright 2011 Foo.", []),
+])
+def test_common_wordings(text, licences):
+    assert [m[1] for m in license_scan.scan_text(text)] == licences
+
+
+def test_licence_column_names_licences():
+    """Whatever single table sentence a text holds, the licence column is a licence or UNKNOWN."""
+    names = {lic for _, lic, _ in license_scan.RULES} | {"UNKNOWN"}
+    for k in license_scan.SENTENCES:
+        assert {lic for _, lic, _ in license_scan.match_rules([(0, 1, "", k)])} <= names

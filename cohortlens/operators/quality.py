@@ -39,7 +39,8 @@ def stored_profile(spark: SparkSession, path: str, schema: StructType, dates: st
     got = own.read.schema(schema).parquet(path).agg(
         F.min(dates).alias("first_event_date"), F.max(dates).alias("last_event_date"), F.count(F.lit(1)).alias("rows_"),
         *[F.count(c).alias(f"_{c}") for c in cols])
-    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in got.columns}  # no file, no count
+    # where no file has rows the reader gives nulls, in a column said to have none
+    n = {c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(0)) for c in got.columns if c not in ("first_event_date", "last_event_date")}
     return got.select("first_event_date", "last_event_date", n["rows_"].alias("rows_"),
                       *[(n["rows_"] - n[f"_{c}"]).alias(f"{c}_null") for c in cols])
 

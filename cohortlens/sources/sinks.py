@@ -25,6 +25,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that it holds; a missing one is no error."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None,
               fmt: str = "parquet") -> None:
     """``create or replace table … as select``: the whole result is written beside the old table

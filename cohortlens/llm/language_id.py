@@ -3,7 +3,7 @@
 Learning counts, over all labelled training documents, how often each n-gram bucket stands
 in each language. Each task adds its counts up in one (language, bucket) matrix of fixed
 size and hands over its non-zero cells, so the shuffle is small and no language's documents
-meet in one task. The smoothed log-probability matrix (languages x ``buckets``) is
+meet in one task. The driver gets one packed row of counts per language. The smoothed log-probability matrix (languages x ``buckets``) is
 broadcast; a document's score sums matrix rows over its n-grams, done for a slice of
 documents at once with numpy gathers and ``add.reduceat``.
 
@@ -93,19 +93,24 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
 
     known = docs.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.limit(max_labels * (buckets + 1) + 1).toArrow()
-    names = got["lang"].to_pylist()
-    labels = tuple(sorted(set(names)))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        """A language's counts as one binary value; a group has at most ``buckets`` + 1 rows."""
+        at, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
+        cells = np.zeros(buckets + 1, "<i8")  # bucket -1 comes last
+        cells[at] = n
+        return pa.table({"lang": rows["lang"][:1], "cells": pa.array([cells.tobytes()], pa.binary())})
+
+    got = counts.groupBy("lang").applyInArrow(pack, "lang string, cells binary").limit(max_labels + 1).toArrow().sort_by("lang")
+    labels = tuple(got["lang"].to_pylist())
     if len(labels) > max_labels:
         raise ValueError(f"more than max_labels={max_labels} languages")
-    place = {k: i for i, k in enumerate(labels)}
-    row = np.array([place[k] for k in names], dtype=np.int64)
-    at, n = got["bucket"].to_numpy(), got["n"].to_numpy().astype(np.float64)
-    table, seen = np.zeros((len(labels), buckets)), np.ones(len(labels))
-    table[row[at >= 0], at[at >= 0]] = n[at >= 0]
-    seen[row[at < 0]] = n[at < 0]
-    log_prob = np.log((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * buckets))
-    return Model(labels, log_prob.astype(np.float32), np.log(seen / max(seen.sum(), 1)), orders)
+    log_prob, seen = np.zeros((len(labels), buckets), np.float32), np.zeros(len(labels))
+    for i, x in enumerate(got["cells"]):
+        n = np.frombuffer(x.as_buffer(), "<i8").astype(np.float64)
+        seen[i] = n[-1]
+        log_prob[i] = np.log((n[:-1] + 0.5) / (n[:-1].sum() + 0.5 * buckets))
+    return Model(labels, log_prob, np.log(seen / max(seen.sum(), 1)), orders)
 
 
 def posterior(model: Model, texts: list[str]) -> np.ndarray:

@@ -8,8 +8,9 @@ smaller gap. Pieces are taken longest first.
 
 Tokenizing runs where the documents are read: words between white space are tokenized once
 per worker and kept in a bounded table, as no token crosses white space. Only piece lengths
-are shuffled: pieces are dealt by hash into groups of about ``group_rows`` (a long document's
-pieces spread over the groups), each packed on its own, so the work grows linearly.
+are shuffled: pieces are dealt by hash and row number into groups of about ``group_rows`` (a long
+document's pieces and equal rows spread over the groups), each packed on its own, so the work
+grows linearly.
 
 Defined results: a null or empty text is the end id alone; an empty table gives no pieces;
 rows that share a ``doc_id`` are separate documents; equal documents take separate places;
@@ -181,7 +182,8 @@ def place(cut: DataFrame, size: int = SIZE, group_rows: int = 100_000) -> DataFr
         b, off = sum_of_squares(pdf["length"].to_numpy(), size)
         return pdf.assign(sequence_id=b + (int(key[0]) << 32), offset=off).drop(columns="_group")
 
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    # the row number of the written table spreads equal rows too
+    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     return cut.withColumn("_group", group).groupBy("_group").applyInPandas(pack, schema)
 
 

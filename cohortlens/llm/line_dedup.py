@@ -3,11 +3,12 @@
 A line's key is the line without white space at both ends and with A-Z lower-cased; its hash
 is 128 bits (two longs). Documents are dealt into batches. Each batch is reduced to (hash,
 number of documents) inside the scan tasks, so a line that stands in a third of all documents
-costs one row per task. A batch then meets the *runs*: sorted Parquet tables of (hash, number
-of documents). Keys that a run already holds as frequent are settled; the batch is
-merge-anti-joined against them and only the rest is written as a new level-0 run. When a
-level has ``fanout`` runs, they are merged into one sorted run of the next level. At the end
-one merge over the remaining runs gives the keys found in at least ``min_docs`` documents.
+costs one row per task. A batch then meets the *runs*: tables of (hash, number of documents),
+dealt by hash into the same buckets, each one sorted file. Keys that a run already holds as
+frequent are settled; the batch, shuffled once by hash, is merge-anti-joined with every run and
+the rest is written as a new level-0 run. When a level has ``fanout`` runs, they are merged, file
+by file, into one sorted run of the next level: runs are never shuffled or sorted again. At the
+end a merge of the remaining runs gives the keys found in at least ``min_docs`` documents.
 
 Dropping: while the frequent keys number at most ``broadcast_keys`` (16 bytes each), they are
 broadcast and each document is filtered where it is read, without a shuffle. Beyond that bound
@@ -24,6 +25,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 
 from cohortlens.llm._text import SPACES, raw, slices, text_column, with_columns
 from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.sources.sinks import delete, materialize
 
 KEY = ["h1", "h2"]
 _PAIR = np.dtype([("h1", "<i8"), ("h2", "<i8")])
@@ -81,37 +84,58 @@ def batch_counts(docs: DataFrame, n_batches: int, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled runs: Parquet tables of (h1, h2, n_docs) sorted by hash within files."""
+    """The levelled runs: tables of (h1, h2, n_docs) in buckets by hash, one sorted file a bucket.
+
+    All runs have the same buckets, as many as a shuffle has partitions, so a bucket of one run
+    meets the same bucket of another, and a batch grouped by hash meets them all, by merge join
+    without moving or sorting the runs again.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.spark, self.min_docs, self.fanout = spark, min_docs, max(2, fanout)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortlens-tables/line-runs-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
-        self._made = 0
+        self._names: list[str] = []
 
     def _write(self, counts: DataFrame) -> str:
-        path, self._made = f"{self.root}/run-{self._made}", self._made + 1
-        counts.sortWithinPartitions(*KEY).write.parquet(path)
-        return path
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long").parquet(*paths)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"))
+        """Name of a new run. Rows arrive dealt by hash, so each bucket is one task's file."""
+        name = f"cohortlens_run_{uuid.uuid4().hex}"
+        self._names.append(name)
+        w = counts.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet")
+        with _sorted_scans(self.spark):
+            w.option("path", f"{self.root}/{name}").saveAsTable(name)
+        return name
+
+    def _merged(self, a: str, b: str) -> DataFrame:
+        """Two sorted runs merged into one, bucket by bucket."""
+        left = self.spark.table(a).withColumnRenamed("n_docs", "_a")
+        right = self.spark.table(b).withColumnRenamed("n_docs", "_b").hint("merge")
+        n = F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))
+        return left.join(right, KEY, "full").select(*KEY, n.alias("n_docs"))
+
+    def _compact(self, runs: list[str]) -> str:
+        """One run of several, two and two."""
+        while len(runs) > 1:
+            runs = runs[2:] + [self._write(self._merged(*runs[:2]))]
+        return runs[0]
+
+    def unsettled(self, counts: DataFrame) -> DataFrame:
+        """The batch by key, merge-anti-joined against the keys that a run holds as frequent."""
+        new = counts.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"))
+        for run in (r for level in self.levels for r in level):
+            settled = self.spark.table(run).filter(F.col("n_docs") >= self.min_docs).select(*KEY)
+            new = new.join(settled.hint("merge"), KEY, "left_anti")
+        return new
 
     def add(self, counts: DataFrame) -> None:
-        """Merge-anti-join a batch against the settled keys of the runs and add its own run."""
-        new = counts.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"))
-        if runs := [p for level in self.levels for p in level]:
-            settled = self._read(runs).filter(F.col("n_docs") >= self.min_docs).select(*KEY)
-            new = new.join(settled, KEY, "left_anti")
+        """Anti-join a batch with the runs, add its own run, and compact full levels."""
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(self._write(new))
+        self.levels[0].append(self._write(self.unsettled(counts)))
         k = 0
         while len(self.levels[k]) >= self.fanout:
-            merged = self._write(self._merged(self.levels[k]))
+            merged = self._compact(self.levels[k])
             self.levels[k] = []
             if len(self.levels) == k + 1:
                 self.levels.append([])
@@ -119,9 +143,27 @@ class LineRuns:
             k += 1
 
     def frequent(self) -> DataFrame:
-        """Keys found in at least ``min_docs`` documents over all batches added."""
-        runs = [p for level in self.levels for p in level]
-        return self._merged(runs).filter(F.col("n_docs") >= self.min_docs).select(*KEY)
+        """Keys found in at least ``min_docs`` documents over all batches added (at least one)."""
+        last = self._compact([r for level in self.levels for r in level])
+        return self.spark.table(last).filter(F.col("n_docs") >= self.min_docs).select(*KEY)
+
+    def close(self) -> None:
+        """Forget the runs and delete their files; nothing built on them may still be unwritten."""
+        for name in self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, self.root)
+
+
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """While a run is planned and written: scans of one-file buckets keep the order of the file."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4,
@@ -135,9 +177,9 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_ba
     table = spark.read.schema("h1 long, h2 long, n_docs long, batch int").parquet(path)
     for k in range(n_batches):
         runs.add(table.filter(F.col("batch") == k).select(*KEY, "n_docs"))
-    out = f"{runs.root}/frequent"
-    runs.frequent().write.parquet(out)
-    return spark.read.schema("h1 long, h2 long").parquet(out)
+    found = materialize(runs.frequent(), "frequent-lines")
+    runs.close()
+    return found
 
 
 def _filtered(batch: pa.RecordBatch, drop_of, min_chars: int) -> pa.RecordBatch:

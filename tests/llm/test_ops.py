@@ -88,6 +88,10 @@ def test_lines_odd_inputs(spark):
     assert [r.text for r in few] == ["c", "c"]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_runs_settle_and_compact(spark):
     runs = line_dedup.LineRuns(spark, min_docs=3, fanout=2)
     for n in (3, 1, 1, 1):
@@ -95,7 +99,37 @@ def test_runs_settle_and_compact(spark):
     assert [len(x) for x in runs.levels] == [0, 0, 1]
     assert {r.h1 for r in runs.frequent().collect()} == {1, 2}
     # the settled key was not counted again
-    assert {r.h1: r.n_docs for r in runs._merged(runs.levels[2]).collect()} == {1: 3, 2: 4}
+    assert {r.h1: r.n_docs for r in spark.table(runs.levels[2][0]).collect()} == {1: 3, 2: 4}
+    runs.close()
+
+
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_runs_count_like_a_dictionary(spark, fanout):
+    rng = np.random.default_rng(8)
+    runs, total = line_dedup.LineRuns(spark, min_docs=40, fanout=fanout), Counter()
+    for _ in range(5):
+        keys = rng.integers(0, 60, 400).tolist()
+        total.update(keys)
+        runs.add(spark.createDataFrame([(k, -k, 1) for k in keys], "h1 long, h2 long, n_docs long"))
+    assert sum(map(len, runs.levels)) < 5
+    assert sorted(r.h1 for r in runs.frequent().collect()) == sorted(k for k, n in total.items() if n >= 40)
+    runs.close()
+
+
+def test_runs_are_merged_where_they_lie(spark):
+    """A batch is shuffled once and merge-joined with runs that are neither shuffled nor sorted."""
+    runs = line_dedup.LineRuns(spark, min_docs=3, fanout=3)
+    batch = spark.createDataFrame([(k % 50, k % 7, 1) for k in range(500)], "h1 long, h2 long, n_docs long")
+    for _ in range(2):
+        runs.add(batch)
+    with line_dedup._sorted_scans(spark):
+        anti = plan_of(runs.unsettled(batch))
+        merge = plan_of(runs._merged(*runs.levels[0]))
+    assert anti.count("SortMergeJoin") == 2 and anti.count("LeftAnti") == 2 and "Broadcast" not in anti
+    assert anti.count("Exchange") == 1 and anti.count("Sort [") == 1
+    assert merge.count("SortMergeJoin") == 1 and "Exchange" not in merge and "Sort [" not in merge
+    runs.close()
+    assert not any(t.name.startswith("cohortlens_run_") for t in spark.catalog.listTables())
 
 
 # --- language ID -------------------------------------------------------------------------------
@@ -325,7 +359,7 @@ def test_query_matches_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "pages", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = Q.queries()[name](spark, SF)
     rel = con.sql(Q.oracle_sql()[name])
@@ -339,3 +373,10 @@ def test_line_digest(spark):
     r = Q.line_dedup_query(spark, SF).filter("n_dropped = 0").first()
     text = Q.read(spark, SF, "documents").filter(F.col("doc_id") == r.doc_id).first().text
     assert r.kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_equal_pieces_spread_over_groups(spark):
+    """A third of all rows may be one empty text without an id."""
+    df = spark.range(0, 4000, 1, 4).selectExpr("cast(null as long) doc_id", "0 piece", "0L start", "1L length", "7L ids_crc32")
+    out = packing.place(df, group_rows=500).selectExpr("sequence_id >> 32 g").groupBy("g").count().collect()
+    assert len(out) == 8 and max(r["count"] for r in out) < 1000

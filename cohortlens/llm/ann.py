@@ -8,7 +8,8 @@ halved again and again by a two-means direction at the median, so all cells hold
 sample vectors, however dense a region is. Every vector of the table is assigned to its nearest
 centroid's list and, near a boundary, replicated to further centroids up to ``replicas`` whose
 distance is at most (1 + ``closure``) times the nearest, unless a chosen centroid stands so near
-to that centroid (SPREAD times the vector's distance) that its list covers the same ground.
+to that centroid (SPREAD times the vector's distance) that its list covers the same ground. How
+far replication goes below these bounds is fitted on the sample by the vectors a query then reads.
 
 Search. A query finds its nearest centroids in an in-memory graph (each centroid linked both ways
 with its nearest ones, parts left apart linked too, best-first walk from a few hubs) and takes the lists within the distance ratio
@@ -55,6 +56,8 @@ class Index:
     norm: float
     ratio: float
     least_lists: int
+    closure: float  # as fitted
+    replicas: int
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -174,8 +177,16 @@ def centroid_graph(d: np.ndarray, degree: int = 24) -> tuple[list[np.ndarray], n
     return [np.flatnonzero(x) for x in links], first
 
 
+def _ratio(ranks: np.ndarray, holds: np.ndarray, true: np.ndarray, target: float) -> float:
+    """Smallest distance ratio at which ``target`` of the true neighbours stand in a list that is read."""
+    need = np.sort(np.array([np.where(holds[t], r, np.inf).min(axis=1) for t, r in zip(true, ranks)]).ravel())
+    return float(need[min(len(need) - 1, int(target * len(need)))]) * (1 + 1e-9) if len(need) else 1.0
+
+
 def fit(sample: np.ndarray, norm: float, cell: int, k: int, target: float, closure: float, replicas: int, least_lists: int) -> Index:
-    """Centroids, graph and distance ratio from the sample vectors."""
+    """Centroids, graph, closure and distance ratio from the sample vectors. ``closure`` and
+    ``replicas`` are upper bounds: of them and their halves, the pair that reads fewest vectors
+    per sample query at ``target`` is taken."""
     x = lift(sample, norm)
     c = np.array([x[rows].mean(axis=0) for rows in balanced_cells(x, cell)])
     d = _distances(c, c)
@@ -183,20 +194,23 @@ def fit(sample: np.ndarray, norm: float, cell: int, k: int, target: float, closu
     # hubs spread over the order of cells, and one in each part that hung together by near links alone
     hubs = np.linspace(0, len(c) - 1, min(len(c), max(8, int(len(c)**0.5)))).astype(np.int64)
     hubs = np.unique(np.append(hubs, np.unique(parts, return_index=True)[1]))
-    rows, lists = replicas_of(c, x, closure, replicas)
-    holds = np.zeros((len(x), len(c)), bool)
-    holds[rows, lists] = True
     ask = np.arange(0, len(x), max(1, len(x) // 400))
     q = np.hstack([sample[ask], np.zeros((len(ask), 1))])
     score = sample[ask] @ sample.T
     score[np.arange(len(ask)), ask] = -np.inf  # a query is no neighbour of itself
-    order = np.argsort(-score, axis=1, kind="stable")[:, :min(k, len(sample) - 1)]
+    true = np.argsort(-score, axis=1, kind="stable")[:, :min(k, len(sample) - 1)]
     dq = _distances(q, c)
-    rank = dq / dq.min(axis=1, keepdims=True)
-    # per true neighbour, the smallest ratio at which one of its lists is read
-    need = np.sort(np.array([np.where(holds[order[i]], rank[i], np.inf).min(axis=1) for i in range(len(ask))]).ravel())
-    ratio = float(need[min(len(need) - 1, int(target * len(need)))]) if len(need) else 1.0
-    return Index(c, graph, hubs, norm, ratio * (1 + 1e-9), least_lists)
+    ranks = dq / dq.min(axis=1, keepdims=True)
+    choices = {(closure / 2**i, max(min(replicas, 2), replicas >> i)) for i in range(4)}
+    plans = []
+    for near, most in sorted(choices):
+        rows, lists = replicas_of(c, x, near, most)
+        holds = np.zeros((len(x), len(c)), bool)
+        holds[rows, lists] = True
+        ratio = _ratio(ranks, holds, true, target)
+        plans.append((float(((ranks <= ratio) * holds.sum(axis=0)).sum()), ratio, near, most))
+    _, ratio, near, most = min(plans)
+    return Index(c, graph, hubs, norm, ratio, least_lists, near, most)
 
 
 def usable(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -207,9 +221,23 @@ def usable(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
     return x.filter(F.coalesce(good, F.lit(False)) & F.exists("v", lambda a: a != 0))
 
 
+def _smallest_hashes(vectors: DataFrame, sample: int) -> pa.Table:
+    """v of the ``sample`` rows of smallest id hash. A threshold on the hash goes before the sort, so
+    that the last task meets about twice the sample and not the first rows of every partition."""
+    total, share = vectors.count(), 2 * sample + 1000
+    while True:
+        few = vectors
+        if share < total:
+            few = vectors.filter(F.xxhash64("id") < -2**63 + (share * 2**64) // total)
+        top = few.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+        if top.num_rows >= sample or share >= total:
+            return top
+        share *= 4
+
+
 def build(vectors: DataFrame, k: int, sample: int, cell: int, target: float, closure: float, replicas: int, least_lists: int) -> Index | None:
     """Fit the index on the ``sample`` rows of smallest id hash. vectors: (id, v)."""
-    top = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+    top = _smallest_hashes(vectors, sample)
     if not top.num_rows:
         return None
     lengths = [len(v) for v in top["v"].to_pylist()]
@@ -219,7 +247,7 @@ def build(vectors: DataFrame, k: int, sample: int, cell: int, target: float, clo
     return fit(x, float(np.sqrt(most)), cell, k, target, closure, replicas, least_lists)
 
 
-def post(vectors: DataFrame, index: Index, closure: float, replicas: int) -> DataFrame:
+def post(vectors: DataFrame, index: Index) -> DataFrame:
     """(list, id, v): the posting lists."""
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 
@@ -227,7 +255,7 @@ def post(vectors: DataFrame, index: Index, closure: float, replicas: int) -> Dat
         ix = shared.value
         for b in batches:
             if b.num_rows:
-                rows, lists = replicas_of(ix.centroids, lift(_matrix(b.column(1)), ix.norm), closure, replicas)
+                rows, lists = replicas_of(ix.centroids, lift(_matrix(b.column(1)), ix.norm), ix.closure, ix.replicas)
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], names=["list", "id", "v"])
 
@@ -292,7 +320,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     if index is None:
         return spark.createDataFrame([], result)
     dim = index.centroids.shape[1] - 1
-    lists = materialize(post(distinct.filter(F.size("v") == dim), index, closure, replicas), "posting-lists")
+    lists = materialize(post(distinct.filter(F.size("v") == dim), index), "posting-lists")
     size = lists.groupBy("list").agg(F.count(F.lit(1)).alias("_c"))  # at most one row per centroid
     size = size.select("list", F.ceil(F.col("_c") / group_rows).cast("int").alias("_parts"))
     x = lists.join(F.broadcast(size), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))

@@ -45,7 +45,7 @@ def test_a_query_is_not_its_own_neighbour():
     score = x @ x.T
     np.fill_diagonal(score, -np.inf)
     best = score.argmax(1)
-    rows, lists = ann.replicas_of(ix.centroids, ann.lift(x, ix.norm), 0.15, 8)
+    rows, lists = ann.replicas_of(ix.centroids, ann.lift(x, ix.norm), ix.closure, ix.replicas)
     q = np.hstack([x, np.zeros((len(x), 1))])
     d = ann._distances(q, ix.centroids)
     need = [(d[i, lists[rows == best[i]]].min() / d[i].min()) for i in range(len(x))]
@@ -72,3 +72,45 @@ def test_many_queries_of_a_list_are_split(spark, monkeypatch):
 
     monkeypatch.setattr(ann, "_scan", bounded)
     assert result(40) == want
+
+
+def read_and_recall(x, ix, k=20):
+    """(share of the table that a query reads, recall at k by query) over every tenth vector."""
+    rows, lists = ann.replicas_of(ix.centroids, ann.lift(x, ix.norm), ix.closure, ix.replicas)
+    in_list = [rows[lists == c] for c in range(len(ix.centroids))]
+    read, recall = [], []
+    for i in range(0, len(x), 10):
+        got = np.concatenate([in_list[c] for c in ann.lists_of(ix, np.append(x[i], 0.0))])
+        read.append(len(got) / len(x))
+        score = x @ x[i]
+        score[i] = -np.inf
+        recall.append(np.isin(np.argsort(-score, kind="stable")[:k], got).mean())
+    return float(np.mean(read)), np.array(recall)
+
+
+def test_clustered_vectors_are_pruned():
+    """Large and small clusters: few vectors are read, the small clusters are found too."""
+    x = skewed(np.random.default_rng(6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ix = ann.fit(x, 1.0, 64, 20, 0.98, 0.15, 8, 4)
+    read, recall = read_and_recall(x, ix)
+    print(f"read {read:.3f} of the table, recall {recall.mean():.3f}, smallest clusters {recall[-50:].mean():.3f}")
+    assert read < 0.25 and recall.mean() >= 0.95 and recall[-50:].mean() >= 0.9
+
+
+def test_vectors_without_clusters_are_read_at_most_like_a_scan():
+    x = np.random.default_rng(7).standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    wide = ann.fit(x, 1.0, 64, 20, 0.98, 0.15, 8, 4)
+    read, recall = read_and_recall(x, wide)
+    print(f"read {read:.3f} of the table, recall {recall.mean():.3f}, replicas {wide.replicas}, closure {wide.closure}")
+    assert read < 1.3 and recall.mean() >= 0.95
+
+
+def test_sample_is_of_the_smallest_hashes(spark):
+    df = spark.range(5000).selectExpr("id", "array(cast(id as double)) v")
+    want = [r.v for r in df.orderBy(F.xxhash64("id"), "id").limit(40).select("v").collect()]
+    assert ann._smallest_hashes(df, 40)["v"].to_pylist() == want
+    same = spark.range(3000).selectExpr("7L id", "array(1d) v")
+    assert ann._smallest_hashes(same, 40).num_rows == 40
+    assert ann._smallest_hashes(df, 9000).num_rows == 5000

@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from test_joins import DOCS, garbled, least_edits
 
@@ -73,3 +76,39 @@ def test_rewrapped_copy_is_found_with_its_stored_span(spark):
     [r] = decontaminate.contaminations(spark.createDataFrame([(1, text)], DOCS), bench).collect()
     stored = text.encode()[r.start:r.end].decode()
     assert r.edits == 0 and stored.split() == item.split()
+
+
+def test_repetitive_texts_match_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(1, "x" * 150), (2, "ab " * 40), (3, "x" * 90 + "ab " * 20), (3, "y" * 12 + "-" * 70), (4, "x" * 150)]
+    docs = [(1, "x" * 300), (2, "ab " * 60 + "x" * 63), (3, "-" * 200 + "y"), (4, "ab" * 100), (5, garbled(rng, "x" * 140, 3))]
+    want = brute_starts(docs, items[:3] + items[4:])
+    want |= {(d, 3): (v[0] + want.get((d, 3), (0, 9))[0], min(v[1], want.get((d, 3), (0, 9))[1]))
+             for (d, _), v in brute_starts(docs, items[3:4]).items()}  # two items of one id are one
+    bench = pd.DataFrame(items, columns=["item_id", "text"])
+    col = pa.array([t for _, t in docs], pa.large_string())
+    for part, piece in ((250_000, 1024), (300, 1024), (50, 5)):
+        monkeypatch.setattr(decontaminate, "PART", part)
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        ix = decontaminate.Index(items, 64, 0.05)
+        got = {}
+        for doc, item, edits, _, _, n in decontaminate._by_item(ix, decontaminate._hits(ix, col)):
+            for d, i, e, c in zip(doc.tolist(), item.tolist(), edits.tolist(), n.tolist()):
+                key = docs[d][0], ix.owner[i]
+                assert key not in got
+                got[key] = (c, e)
+        assert got == want
+    monkeypatch.undo()
+    df = spark.createDataFrame(docs, DOCS)
+    rows = decontaminate.contaminations(df, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.windows, r.edits) for r in rows} == want and len(rows) == len(want)
+
+
+def test_long_repetitive_text_takes_bounded_parts():
+    ix = decontaminate.Index([(1, "a" * 2_000), (2, "b" + "a" * 500)], 64, 0.05)
+    x = decontaminate.fold(b"a" * 20_000)
+    parts = [len(p[0]) for p in decontaminate.shared_grams(ix, x, np.array([0, len(x)]))]
+    assert max(parts) <= 2 * decontaminate.PART and sum(parts) < 200 * len(x)
+    col = pa.array(["a" * 20_000], pa.large_string())
+    [(doc, item, edits, begin, end, n)] = decontaminate._by_item(ix, decontaminate._hits(ix, col))
+    assert item.tolist() == [0, 1] and edits.tolist() == [0, 0] and n.tolist()[0] == 1_937 and begin[0] == 0 and end[0] == 20_000

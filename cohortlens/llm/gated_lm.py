@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm._text import LOWER, mix64, raw, slices, text_column, words
+from cohortlens.llm._top import greatest
 from cohortlens.sources.sinks import materialize
 
 END = np.uint64(0x5E0FD0C5E0FD0C5E)
@@ -103,7 +104,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 def frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of the most frequent words, sorted by hash; at most ``limit``."""
-    top = counts.orderBy(F.desc("c"), "w").limit(limit).select("w", "c").toArrow()
+    top = greatest(counts.select("w", "c"), "c", "w", limit).toArrow()
     w, c = top["w"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(w)
     return w[order], c[order]
@@ -113,7 +114,7 @@ def vocabulary(counts: DataFrame, head: int) -> Vocabulary:
     """From (w, kind, c) with one row per token seen in training."""
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     end = int(END.view(np.int64))
-    top = counts.filter(F.col("w") != end).orderBy(F.desc("c"), "w").limit(head - 1).select("w", "kind", "c").toArrow()
+    top = greatest(counts.filter(F.col("w") != end), "c", "w", head - 1).select("w", "kind", "c").toArrow()
     ends = counts.filter(F.col("w") == end).agg(F.sum("c")).first()[0] or 0
     w, c = np.append(top["w"].to_numpy().view(np.uint64), END), np.append(top["c"].to_numpy(), ends)
     order = np.lexsort((w, -c))

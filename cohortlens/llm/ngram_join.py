@@ -49,6 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm._text import mix64, raw, slices, text_column, words
+from cohortlens.llm._top import greatest
 from cohortlens.llm.components import components
 from cohortlens.sources.sinks import materialize, release
 
@@ -121,7 +122,9 @@ def hot_elements(docs: DataFrame, k: int, num: int, den: int, limit: int, share:
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n)], names=["e", "n"])
 
     counts = docs.select("text").mapInArrow(count, "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= 2 * least).orderBy(F.desc("n"), "e").limit(limit).toArrow()
+    counts = materialize(counts.filter(F.col("n") >= 2 * least), "hot-elements")
+    top = greatest(counts, "n", "e", limit).toArrow()
+    release(counts)
     return top["e"].to_numpy()[::-1].view(np.uint64)
 
 

@@ -9,8 +9,8 @@ load test, a shared device id) may hold a large share of all rows, so ``sequence
    case) only step 2 is planned.
 2. ordinary users: one exchange on the user key; lag, gaps, the running session count and the
    per-session / per-user value checks are windows over the user in one pass.
-3. hot users: their rows are cut into slices of about ``rows_per_slice`` rows, equi-depth by
-   range partitioning on (user, time, tiebreak) (default) or equal-width in time; every
+3. hot users: their rows are cut into slices of about ``rows_per_slice`` rows, equi-depth in
+   (user, time, tiebreak) order (default) or equal-width in time; every
    window runs per (user, slice). A per-slice summary, computed on the same partitioning, is
    windowed per user to stitch the slices: the previous event across a border, session
    number offsets, and the value range of sessions that straddle borders. The summary is
@@ -82,15 +82,22 @@ def rank_slices(df: DataFrame, ts: str, tiebreak: Sequence[str], hot: DataFrame,
                 rows_per_slice: int = P.ROWS_PER_SLICE) -> DataFrame:
     """Equi-depth slices: rows of hot users with ``_slice``.
 
-    The rows are range-partitioned on (user, time, *tiebreak) into about
-    ``rows_per_slice``-row partitions; the partition number is the slice, increasing along
-    each user's timeline. Bursts and same-instant tie groups are split too. The rows are
-    written once with their slice, so every consumer sees the same assignment.
+    The rows are range-partitioned and sorted on (user, time, *tiebreak) and cut at every
+    ``rows_per_slice``-th row, so a slice's number increases along each user's timeline. A task
+    cuts many slices where they are small: there are as many tasks as a shuffle has, more above
+    ``ROWS_PER_SLICE`` rows a task, never more than slices. Bursts and same-instant tie groups
+    are split too; rows equal in all of the key stay together. The rows are written once with
+    their slice, so every consumer sees the same assignment.
     """
     n_hot = hot.agg(F.sum("_n")).first()[0] or 0
-    parts = max(1, -(-n_hot // rows_per_slice))
-    x = (df.repartitionByRange(parts, F.col(UKEY), F.col(ts), *[F.col(c) for c in tiebreak])
-         .withColumns({HOT: F.lit(True), SLICE: F.spark_partition_id().cast("long")}))
+    slices = -(-n_hot // rows_per_slice)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_hot // P.ROWS_PER_SLICE))
+    key = [F.col(UKEY), F.col(ts), *[F.col(c) for c in tiebreak]]
+    x = df.repartitionByRange(max(1, min(slices, tasks)), *key).sortWithinPartitions(*key)
+    # row numbers in that order (the task in the upper bits); the window finds its rows as sorted
+    x = x.withColumn(SLICE, F.monotonically_increasing_id())
+    first = F.min(SLICE).over(Window.partitionBy(*key))
+    x = x.withColumns({HOT: F.lit(True), SLICE: first - first % F.lit(rows_per_slice)})
     return sinks.materialize(x, "hot_rows")
 
 

@@ -164,3 +164,27 @@ def test_hot_threshold_keeps_the_bound(spark):
     # rows_per_slice 5 alone would make all 11 users hot; total / 3 = 333 keeps only "big"
     hot = TL.hot_users(df, "event_ts", rows_per_slice=5, max_hot_users=3).collect()
     assert [r._hot_uk.u for r in hot] == ["big"] and hot[0]._n == 900
+
+
+def test_small_slices_need_no_task_each(spark):
+    """1,500 rows cut at every 3rd row: as many tasks as a shuffle has write them, slices keep to their
+    size, run along each user's timeline and hold rows of one key together."""
+    rows = [(i // 2 if i < 40 else i, "ab"[i % 7 == 0], T0 + dt.timedelta(seconds=50 * (i // 4)), "P", "Control") for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn(TL.UKEY, TL._ukey("user_id"))
+    hot = TL.hot_users(df, "event_ts", rows_per_slice=3, max_hot_users=10**9)
+    cut = TL.rank_slices(df, "event_ts", ("event_id",), hot, rows_per_slice=3)
+    assert len(cut.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = sorted((r.user_id, r.event_ts, r.event_id, r[TL.SLICE]) for r in cut.collect())
+    assert [g[:3] for g in got] == sorted((r[1], r[2], r[0]) for r in rows)
+    sizes = {}
+    for (u, t, e, k), (u2, t2, e2, k2) in zip(got, got[1:]):
+        assert u != u2 or k <= k2
+        assert (u, t, e) != (u2, t2, e2) or k == k2
+    for g in got:
+        sizes[g[0], g[3]] = sizes.get((g[0], g[3]), 0) + 1
+    assert max(sizes.values()) <= 4 and len(sizes) >= 500  # 3 rows and a second one of the last key
+
+
+def test_sequence_in_many_small_slices(spark):
+    rows = [(i, "abc"[i % 3], T0 + dt.timedelta(seconds=(i * i) % 997 // 3 * 40), "PE"[i % 11 == 0], "Control") for i in range(600)]
+    assert sequenced(spark, rows, rows_per_slice=1) == brute(rows)

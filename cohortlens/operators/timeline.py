@@ -5,8 +5,9 @@ load test, a shared device id) may hold a large share of all rows, so ``sequence
 
 1. profiles rows per user (partial aggregation, one row per user) and keeps the users above
    max(rows_per_slice, total / max_hot_users) rows as "hot". That table has fewer than
-   ``max_hot_users`` rows by construction, so it may be broadcast. If it is empty (the usual
-   case) only step 2 is planned.
+   ``max_hot_users`` rows by construction, so it may be broadcast (with a larger bound than the
+   default one, the planner decides by its size). If it is empty (the usual case) only step 2 is
+   planned.
 2. ordinary users: one exchange on the user key; lag, gaps, the running session count and the
    per-session / per-user value checks are windows over the user in one pass.
 3. hot users: their rows are cut into slices of about ``rows_per_slice`` rows, equi-depth in
@@ -46,7 +47,7 @@ def hot_users(df: DataFrame, ts: str, rows_per_slice: int = P.ROWS_PER_SLICE,
     """Users to split, with slice origin ``_t0`` and width ``_w`` (µs). ``df`` has ``_uk``.
 
     A user is hot above max(rows_per_slice, total / max_hot_users) rows, so the result has
-    fewer than ``max_hot_users`` rows: a proven bound for the broadcast that uses it.
+    fewer than ``max_hot_users`` rows: a proven bound for a broadcast (``_joinable``).
     """
     us = epoch_micros(ts)
     prof = df.groupBy(UKEY).agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_t0"),
@@ -61,6 +62,12 @@ def hot_users(df: DataFrame, ts: str, rows_per_slice: int = P.ROWS_PER_SLICE,
         (F.floor((F.col("_t1") - F.col("_t0")) / n_slices) + F.lit(1)).alias("_w"))
 
 
+def _joinable(hot: DataFrame, max_hot_users: int) -> DataFrame:
+    """``hot`` as a join's side: broadcast under the default bound. A larger bound is no bound for the
+    driver's memory, so the planner then goes by the table's size."""
+    return F.broadcast(hot) if max_hot_users <= P.MAX_HOT_USERS else hot
+
+
 def add_slices(df: DataFrame, user: str = "user_id", ts: str = "event_ts",
                rows_per_slice: int = P.ROWS_PER_SLICE, max_hot_users: int = P.MAX_HOT_USERS,
                hot: DataFrame | None = None) -> DataFrame:
@@ -69,8 +76,8 @@ def add_slices(df: DataFrame, user: str = "user_id", ts: str = "event_ts",
         df = df.withColumn(UKEY, _ukey(user))
     if hot is None:
         hot = hot_users(df, ts, rows_per_slice, max_hot_users)
-    j = df.join(F.broadcast(hot.select("_hot_uk", "_t0", "_w")), F.col(UKEY) == F.col("_hot_uk"),
-                "left")
+    j = df.join(_joinable(hot.select("_hot_uk", "_t0", "_w"), max_hot_users),
+                F.col(UKEY) == F.col("_hot_uk"), "left")
     us = epoch_micros(ts)
     return j.withColumns({
         HOT: F.col("_hot_uk").isNotNull(),
@@ -159,14 +166,14 @@ def sequence(df: DataFrame, *, user: str = "user_id", ts: str = "event_ts",
     ready = (lambda x: prepare(x.repartition(UKEY))) if prepare else (lambda x: x)
     if hot.isEmpty():
         return _sequence_plain(ready(df).withColumns(whole).withMetadata(SLICE, WHOLE), **kw)
-    keys, on = F.broadcast(hot.select("_hot_uk")), F.col(UKEY) == F.col("_hot_uk")
+    keys, on = _joinable(hot.select("_hot_uk"), max_hot_users), F.col(UKEY) == F.col("_hot_uk")
     plain = ready(df.join(keys, on, "left_anti")).withColumns(whole)
     rows = df.join(keys, on, "left_semi")
     rows = prepare(rows) if prepare else rows
     if slicing == "rank":
         rows = rank_slices(rows, ts, tiebreak, hot, rows_per_slice)
     else:
-        rows = add_slices(rows, user, ts, hot=hot)
+        rows = add_slices(rows, user, ts, max_hot_users=max_hot_users, hot=hot)
     return _sequence_plain(plain, **kw).unionByName(_sequence_sliced(rows, **kw))
 
 

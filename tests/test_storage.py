@@ -61,6 +61,25 @@ def test_run_stages_read_the_layout_without_exchange(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("cohortlens_")]
 
 
+def test_sessions_of_users_all_split_into_small_slices(spark, monkeypatch):
+    """Slices of two rows: the tasks that cut them are a shuffle's, not one per slice, a list of split users
+    without a proven bound is not forced into a broadcast, and the sessions are the plain ones."""
+    rows = [ev(k, 900 * (k * k % 701), user=f"u{k % 3}", name=f"E{k % 7}") for k in range(300)]
+    plain = Pipeline(raw_df(spark, rows), lookup_df(spark))
+    split = Pipeline(raw_df(spark, rows), lookup_df(spark), slice_opts=dict(rows_per_slice=2, max_hot_users=10**9))
+    parts = []
+    monkeypatch.setattr(sinks, "recorder", lambda name, df: name == "hot_rows" and parts.append((kinds(df), df.rdd.getNumPartitions())))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = split.sessions
+        assert same(got, plain.sessions) and got.count() > 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(parts) == 1 and parts[0][1] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "BroadcastExchangeExec" not in parts[0][0]
+
+
 def test_split_user_and_endless_session_in_the_layout(spark, monkeypatch):
     """A user of one endless session: no bucket holds the session, no exchange carries its events, and
     its string is put together from the parts."""

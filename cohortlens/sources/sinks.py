@@ -16,7 +16,6 @@ from cohortlens.session import ensure_checkpoint_dir
 
 
 _kept: dict[str, list[str]] = {}  # intermediate tables by application
-_named: dict[str, list[str]] = {}  # names registered for bucketed reads, by application
 recorder = None  # called with (name, DataFrame) before an intermediate table is written
 
 
@@ -110,8 +109,7 @@ def _drop(spark: SparkSession, name: str) -> None:
 
 def overwrite_bucketed(df: DataFrame, path: str, layout: Layout) -> DataFrame:
     """``overwrite`` in a bucketed layout; returns the table as stored, so that groupings and windows
-    whose keys include ``layout.by`` need no exchange. Its registered name lives until the
-    surrounding ``intermediates`` block ends; the files stay."""
+    whose keys include ``layout.by`` need no exchange."""
     spark, path = df.sparkSession, path.rstrip("/")
     name, fresh = f"cohortlens_{uuid.uuid4().hex}", f"{path}.new-{uuid.uuid4().hex}"
     try:
@@ -123,14 +121,17 @@ def overwrite_bucketed(df: DataFrame, path: str, layout: Layout) -> DataFrame:
 
 
 def read_bucketed(spark: SparkSession, path: str, schema: StructType, layout: Layout) -> DataFrame:
-    """The files of ``overwrite_bucketed`` with their layout known to the planner."""
+    """The files of ``overwrite_bucketed`` with their layout known to the planner. The name that tells
+    it is dropped once the table is resolved; the files stay."""
     name = f"cohortlens_{uuid.uuid4().hex}"
     by = ", ".join(f"`{c}`" for c in layout.by)
     sort = f" SORTED BY ({', '.join(f'`{c}`' for c in layout.sort)})" if layout.sort else ""
     spark.sql(f"CREATE TABLE {name} ({schema.toDDL()}) USING parquet "
               f"CLUSTERED BY ({by}){sort} INTO {layout.buckets} BUCKETS LOCATION '{path}'")
-    _named.setdefault(spark.sparkContext.applicationId, []).append(name)
-    return spark.table(name)
+    try:
+        return spark.table(name)
+    finally:
+        _drop(spark, name)
 
 
 def replace_table(df: DataFrame, name: str, *, layout: Layout | None = None,
@@ -208,14 +209,10 @@ def intermediates(spark: SparkSession):
     """Delete the intermediate tables made inside the block when it ends. Results built from them
     must be written or collected inside."""
     made = _kept.setdefault(spark.sparkContext.applicationId, [])
-    named = _named.setdefault(spark.sparkContext.applicationId, [])
-    start, first = len(made), len(named)
+    start = len(made)
     try:
         yield
     finally:
-        for name in named[first:]:
-            _drop(spark, name)
-        del named[first:]
         for path in made[start:]:
             fs, p = _fs(spark, path)
             fs.delete(p, True)

@@ -18,8 +18,10 @@ their overlap is at least a(n) = ceil(n num/den), for either size.
    - A list of up to ``light_list`` sets yields its pairs that pass the size and position
      filters. Over all lists, a pair is counted as often as it shares a list; the count, and all
      that may follow the posted elements, bounds its overlap. Pairs within the bound are candidates.
-   - A longer list makes candidates of all its members, without writing pairs.
-   - Candidates that hang together (components of candidate pairs and long lists) form a group, so
+   - Members of a longer list are compared by sketches: parities of the set's elements by their low
+     bits, of which two sets differ in no more places than they have elements apart. Who may link is
+     tied in trees, list by list, so no pairs are written; sharing a frequent element alone ties nobody.
+   - Candidates that hang together (components of candidate pairs and ties) form a group, so
      each whole set is shipped twice: groups are cut into size bands, and a set meets those of its
      band and of the band below. A large band is split into blocks of bounded rows and bytes, each
      block and pair of blocks a task's group of its own, in which overlaps are counted through
@@ -100,6 +102,26 @@ def _linked(inter, n, m, num: int, den: int):
     return den * inter >= num * (n + m - inter)
 
 
+def _apart(n, m, num: int, den: int):
+    """Elements that stand in only one of two linked sets of n and m elements, at most."""
+    return n + m + 2 * (-(n + m) * num // (num + den))
+
+
+def sketch(s: np.ndarray, num: int, den: int) -> bytes:
+    """Parity of the number of elements by their low bits. The bits are a power of two, six times
+    the elements that a linked set of this size has apart or more; so those of unlinked sets tell them
+    apart, and a longer sketch folds (xor of its halves) to a shorter one."""
+    bits = 128
+    while bits < 6 * _apart(len(s), len(s), num, den):
+        bits *= 2
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def _sketch_bytes(n, num: int, den: int):
+    """Bytes of a sketch, at most."""
+    return 16 + 3 * n * (den - num) / (den + num)
+
+
 def hot_elements(docs: DataFrame, k: int, num: int, den: int, limit: int, share: int = 16, least: int = 16) -> np.ndarray:
     """Frequent elements, the rarest first (at most ``limit``). Counted: the smallest hashes of
     every set, as many as a list prefix takes, and, with weight ``share``, the other elements of
@@ -129,16 +151,16 @@ def hot_elements(docs: DataFrame, k: int, num: int, den: int, limit: int, share:
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, place, _t1, _t2, n, f1, f2, rare, prefix, small): place and digest of the text (see ``link``), set size,
-    digest, list prefix in the global order (its first ``rare`` elements are not frequent), and the
-    whole set if it is small."""
+    """(doc_id, place, _t1, _t2, n, f1, f2, rare, prefix, small, sketch): place and digest of the text (see ``link``), set size,
+    digest, list prefix in the global order (its first ``rare`` elements are not frequent), the
+    whole set if it is small, and its sketch."""
     order = np.argsort(hot).astype(np.int32)
     shared = docs.sparkSession.sparkContext.broadcast((hot[order], order))
 
     def sign(batches):
         known, rank = shared.value
         for b in batches:
-            n, f, rare, prefix, small = [], [], [], [], []
+            n, f, rare, prefix, small, marks = [], [], [], [], [], []
             for _, s in _sets(b, k):
                 n.append(len(s))
                 f.append(_digest(s) if len(s) else bytes(16))
@@ -154,14 +176,16 @@ def signatures(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) ->
                 rare.append(min(len(plain), p))
                 prefix.append(head.view(np.int64))
                 small.append(s.view(np.int64) if len(s) <= _SMALL else None)
+                marks.append(sketch(s, num, den) if len(s) else None)
             f = np.frombuffer(b"".join(f), dtype="<i8").reshape(-1, 2)
             ints = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *b.columns[2:], pa.array(n, pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(rare, pa.int32()),
-                 pa.array(prefix, ints), pa.array(small, ints)], names=["doc_id", "place", "_t1", "_t2", "n", "f1", "f2", "rare", "prefix", "small"])
+                 pa.array(prefix, ints), pa.array(small, ints), pa.array(marks, pa.binary())],
+                names=["doc_id", "place", "_t1", "_t2", "n", "f1", "f2", "rare", "prefix", "small", "sketch"])
 
     return docs.select("doc_id", "text", "place", "_t1", "_t2").mapInArrow(
-        sign, "doc_id long, place long, _t1 long, _t2 long, n long, f1 long, f2 long, rare int, prefix array<long>, small array<long>")
+        sign, "doc_id long, place long, _t1 long, _t2 long, n long, f1 long, f2 long, rare int, prefix array<long>, small array<long>, sketch binary")
 
 
 def boundary(sizes: dict[int, int], num: int, den: int) -> int:
@@ -315,31 +339,90 @@ def scan_block(doc, n, pos, side, guest, sets, num: int, den: int) -> tuple[np.n
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def candidate_groups(members: DataFrame, pairs: DataFrame, num: int, den: int, block_rows: int, block_bytes: int) -> DataFrame:
-    """(doc_id, g, band, lo, hi, pos, side, guest): candidate sets by group, size band and block
-    pair. members: (e, doc_id, n, pos) of long lists; pairs: (a, b, n, m) with sizes."""
-    low = members.groupBy("e").agg(F.min("doc_id").alias("a"))
-    ties = members.join(low, "e").select("a", F.col("doc_id").alias("b"))
-    roots = components(ties.unionByName(pairs.select("a", "b")))
-    far = F.lit(1 << 30)
-    ends = [pairs.select(F.col(c).alias("doc_id"), F.col(n).alias("n"), far.alias("pos")) for c, n in (("a", "n"), ("b", "m"))]
-    x = members.select("doc_id", "n", "pos").union(ends[0]).union(ends[1])
-    x = x.groupBy("doc_id").agg(F.min("pos").alias("pos"), F.max("n").alias("n"))
-    x = x.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+def dealt(x: DataFrame, g: str, whole: Column, size: Column, num: int, den: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """``x`` (doc_id, n, ``g``, ...) by group, size band and block pair: columns band, lo, hi, side and
+    guest (of the next size band). Groups that are ``whole`` have one band. size: bytes of a row."""
     # linked sets differ in size by at most den/num: band j compares its own sets with each other
     # and with those of band j + 1
     band = F.col("n") if num == den else F.floor(F.log(F.col("n") + F.lit(0.5)) / F.lit(float(np.log(den / num))))
-    band = band.cast("int")
-    x = x.select("doc_id", "n", "pos", F.coalesce("root", "doc_id").alias("g"), band.alias("_own"))
-    x = x.withColumn("band", F.explode(F.array(F.col("_own"), F.col("_own") - 1)))
+    own = F.when(whole, 0).otherwise(band.cast("int"))
+    x = x.withColumn("_own", own).withColumn("band", F.explode(F.when(whole, F.array(own)).otherwise(F.array(own, own - 1))))
     x = x.withColumn("guest", F.col("band") != F.col("_own"))
-    size = x.groupBy("g", "band").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_s"), F.count_if(~F.col("guest")).alias("_mine"))
-    size = size.filter((F.col("_mine") > 0) & (F.col("_c") > 1))
-    blocks = F.greatest(F.ceil(F.col("_c") / block_rows), F.ceil(F.col("_s") * 8 / block_bytes), F.lit(1)).cast("int")
-    x = x.join(size.select("g", "band", blocks.alias("_nb")), ["g", "band"])
+    sizes = x.groupBy(g, "band").agg(F.count(F.lit(1)).alias("_c"), F.sum(size).alias("_s"), F.count_if(~F.col("guest")).alias("_mine"))
+    sizes = sizes.filter((F.col("_mine") > 0) & (F.col("_c") > 1))
+    blocks = F.greatest(F.ceil(F.col("_c") / block_rows), F.ceil(F.col("_s") / block_bytes), F.lit(1)).cast("int")
+    x = x.join(sizes.select(g, "band", blocks.alias("_nb")), [g, "band"])
     x = x.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("_nb")).cast("int"))
     x = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return x.select("doc_id", "g", "band", F.least("side", "_o").alias("lo"), F.greatest("side", "_o").alias("hi"), "pos", "side", "guest")
+    return x.withColumns({"lo": F.least("side", "_o"), "hi": F.greatest("side", "_o")}).drop("_own", "_nb", "_o")
+
+
+def scan_sketches(n, pos, side, guest, marks, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that may link and join trees, among the members of one list, by sizes, places of
+    the shared element and sketches; rows of unequal sides only, should there be two sides, and
+    guests not with each other. Rows stand in order of n."""
+    m = len(n)
+    bits = np.array([len(x) for x in marks], np.int64) * 8
+    end = np.searchsorted(n, n * den // num, side="right")  # beyond, sets are too large
+    across = len(np.unique(side)) > 1
+    tree, a, b = np.arange(m), [], []
+    for width in np.unique(bits).tolist():
+        first, last = np.searchsorted(bits, [width, width + 1]).tolist()
+        stop = int(end[last - 1])
+        folded = [np.bitwise_xor.reduce(np.frombuffer(b"".join(marks[x:y]), np.uint64).reshape(y - x, -1, width // 64), axis=1)
+                  for x, y in ((max(first, x), min(stop, y)) for x, y in (np.searchsorted(bits, [w, w + 1]).tolist() for w in np.unique(bits[first:stop]).tolist()))]
+        folded = np.concatenate(folded)
+        for i in range(first, last):
+            to = slice(i + 1, int(end[i]))
+            open_ = tree[to] != tree[i]
+            if across:
+                open_ &= side[to] != side[i]
+            if guest[i]:
+                open_ &= ~guest[to]
+            j = i + 1 + np.flatnonzero(open_)
+            if len(j):
+                j = j[_linked(np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]), n[i], n[j], num, den)]
+            if len(j):
+                j = j[np.bitwise_count(folded[j - first] ^ folded[i - first]).sum(axis=1, dtype=np.int64) <= _apart(n[i], n[j], num, den)]
+            if len(j):
+                met, one = np.unique(tree[j], return_index=True)
+                tree[np.isin(tree, met)] = tree[i]
+                a += [i] * len(one)
+                b += j[one].tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def list_ties(members: DataFrame, base: DataFrame, num: int, den: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """Candidate pairs (a, b, n, m, p, q), with places of the shared element, that tie the members of each long
+    list who may link. members: (e, doc_id, n, pos); base: (doc_id, sketch, ...). A list beyond the
+    rows or bytes of a block is cut into size bands and those into blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "ascending"), ("doc_id", "ascending")])
+        doc, n, pos, side, guest = (table[c].to_numpy() for c in ("doc_id", "n", "pos", "side", "guest"))
+        i, j = scan_sketches(n, pos, side, guest.astype(bool), table["sketch"].to_pylist(), num, den)
+        flip = doc[i] > doc[j]
+        i, j = np.where(flip, j, i), np.where(flip, i, j)
+        return pa.table({"a": doc[i], "b": doc[j], "n": n[i], "m": n[j], "p": pos[i], "q": pos[j]})
+
+    size = _sketch_bytes(F.col("n"), num, den)
+    whole = members.groupBy("e").agg(((F.count(F.lit(1)) <= block_rows) & (F.sum(size) <= block_bytes)).alias("_whole"))
+    x = members.select("e", "doc_id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos")).join(whole, "e")
+    x = dealt(x, "e", F.col("_whole"), size, num, den, block_rows, block_bytes).drop("_whole")
+    x = x.join(base.select("doc_id", "sketch"), "doc_id")
+    return x.groupBy("e", "band", "lo", "hi").applyInArrow(run, "a long, b long, n long, m long, p long, q long")
+
+
+def candidate_groups(pairs: DataFrame, num: int, den: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """(doc_id, g, band, lo, hi, pos, side, guest): candidate sets by group, size band and block
+    pair. pairs: (a, b, n, m, p, q) with sizes and places in long lists."""
+    roots = components(pairs.select("a", "b"))
+    ends = [pairs.select(F.col(c).alias("doc_id"), F.col(n).alias("n"), F.col(p).alias("pos")) for c, n, p in (("a", "n", "p"), ("b", "m", "q"))]
+    x = ends[0].union(ends[1]).groupBy("doc_id").agg(F.min("pos").alias("pos"), F.max("n").alias("n"))
+    x = x.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    x = x.select("doc_id", "n", "pos", F.coalesce("root", "doc_id").alias("g"))
+    x = dealt(x, "g", F.lit(False), F.col("n") * 8, num, den, block_rows, block_bytes)
+    return x.select("doc_id", "g", "band", "lo", "hi", "pos", "side", "guest")
 
 
 def group_edges(docs: DataFrame, grouped: DataFrame, k: int, num: int, den: int, broadcast_rows: int) -> DataFrame:
@@ -403,8 +486,8 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot_limit:
     classes = materialize(classes, "classes")
     node = numbered(classes)
     own = ["f1", "f2", "place"]
-    base = (sig.filter("n > 0").select(*own, "n", "rare", "prefix", "small").join(classes.select(*own), own, "left_semi").dropDuplicates(own))
-    base = materialize(base.select(node.alias("doc_id"), "n", "rare", "prefix", "small"), "representatives")
+    base = (sig.filter("n > 0").select(*own, "n", "rare", "prefix", "small", "sketch").join(classes.select(*own), own, "left_semi").dropDuplicates(own))
+    base = materialize(base.select(node.alias("doc_id"), "n", "rare", "prefix", "small", "sketch"), "representatives")
     wide, sig = sig, materialize(sig.select("doc_id", "_t1", "_t2", "n", "f1", "f2"), "digests")
     release(wide)
     sizes = {r["n"]: r["count"] for r in base.filter(F.col("n") <= _SMALL).groupBy("n").count().collect()}  # at most _SMALL rows
@@ -419,14 +502,16 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot_limit:
         hot_post.join(counted.filter(F.col("_c") <= light_list).select("e"), "e", "left_semi").select("doc_id", "n", "pos", "e"))
     scanned = materialize(light_lists(plain, num, den, light_list), "lists")
     listed = bounded_pairs(scanned.filter("e is null").select("a", "b", "n", "m"), num, den)
-    pairs = materialize(listed.unionByName(small.distinct()), "pairs")
     members = (hot_post.join(counted.filter(F.col("_c") > light_list).select("e"), "e", "left_semi").select("e", "doc_id", "n", "pos")
                .unionByName(scanned.filter("e is not null").select("e", F.col("a").alias("doc_id"), "n", "pos")))
     members = materialize(members, "long-lists")
-    release(base, scanned, counted)
-    grouped = candidate_groups(members, pairs, num, den, block_rows, block_bytes)
+    far = F.lit(1 << 30).cast("long")
+    pairs = listed.unionByName(small.distinct()).withColumns({"p": far, "q": far})
+    pairs = materialize(pairs.unionByName(list_ties(members, base, num, den, 8 * block_rows, block_bytes)), "pairs")
+    release(base, scanned, counted, members)
+    grouped = candidate_groups(pairs, num, den, block_rows, block_bytes)
     grouped = materialize(grouped.join(classes.select(node.alias("doc_id"), "place", "f1"), "doc_id"), "groups")
-    release(members, pairs)
+    release(pairs)
     edges = group_edges(docs, grouped, k, num, den, broadcast_rows)
     edges = materialize(edges.distinct(), "links")
     rows = sig.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node"), "_t1", "_t2")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_joins import DOCS, brute_components, brute_join, near_copies
@@ -94,3 +95,53 @@ def test_one_row_of_each_group_matches_brute_force(spark):
     for members in groups.values():
         [one] = [r for r in got if r in members]
         assert one[0] == min((d for d, _ in members if d is not None), default=None)
+
+
+def test_frequent_elements_alone_do_not_gather_sets(spark, monkeypatch):
+    """Before, all sets of a long list were a group, and whole sets were shipped for every pair of its blocks."""
+    from cohortlens.sources import sinks
+
+    rng = random.Random(11)
+    passages = [" ".join(f"p{i}x{j}" for j in range(12)) for i in range(24)]
+    texts = [" ".join(rng.sample(passages, 8)) for _ in range(60)]
+    near = [edited(texts[k], 20) for k in (0, 1, 2)] + [edited(edited(texts[0], 1), 90)]
+    rows = list(enumerate(texts + near))
+    grouped = {}
+    monkeypatch.setattr(sinks, "recorder", lambda name, df: grouped.update({name: df.count()}) if name in ("long-lists", "groups") else None)
+    opts = dict(light_list=4, block_rows=1)  # blocks of 8 members of a list
+    got = ngram_join.join_components(spark.createDataFrame(rows, DOCS), **opts).collect()
+    assert {tuple(r) for r in got} == brute_join(rows)
+    assert grouped["long-lists"] >= 60 and grouped["groups"] <= 100
+
+
+def test_sketches_differ_in_no_more_places_than_sets():
+    rng = np.random.Generator(np.random.PCG64(3))
+    for num, den in ((90, 100), (50, 100), (100, 100)):
+        sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 40, 200, 300, 2000)]
+        for s in sets:
+            t = np.sort(np.concatenate([s[len(s) // 20:], rng.integers(0, 2**63, 1 + len(s) // 30, dtype=np.uint64)]))
+            n, m = sorted((len(s), len(t)))
+            a, b = (np.frombuffer(ngram_join.sketch(x, num, den), np.uint64) for x in (s, t))
+            width = min(len(a), len(b))
+            a, b = (np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in (a, b))
+            common = len(np.intersect1d(s, t))
+            assert np.bitwise_count(a ^ b).sum() <= n + m - 2 * common
+            assert ngram_join._linked(common, n, m, num, den) == (n + m - 2 * common <= ngram_join._apart(n, m, num, den))
+
+
+def test_lists_are_tied_where_sets_may_link():
+    rng = np.random.Generator(np.random.PCG64(4))
+    base = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (60, 120, 240, 500, 1000)]
+    sets = sorted((np.concatenate([s[k * len(s) // 60:], rng.integers(0, 2**63, k * len(s) // 60, dtype=np.uint64)]) for s in base for k in range(5)), key=len)
+    n = np.array([len(s) for s in sets])
+    marks = [ngram_join.sketch(s, 90, 100) for s in sets]
+    zero, side = np.zeros(len(sets), np.int64), np.arange(len(sets)) % 2
+    linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+              if ngram_join._linked(len(np.intersect1d(sets[i], sets[j])), n[i], n[j], 90, 100)}
+    for sides, guests in ((zero, zero), (side, zero), (zero, side)):
+        a, b = ngram_join.scan_sketches(n, zero, sides, guests.astype(bool), marks, 90, 100)
+        met = [(i, j) for i, j in linked if (sides[i] != sides[j] or not sides.any()) and not (guests[i] and guests[j])]
+        alone = [(x, x) for x in range(len(sets))]
+        trees, joined = brute_components(alone + met), brute_components(alone + list(zip(a.tolist(), b.tolist())))
+        assert met and all(joined[i] == joined[j] for i, j in met)
+        assert len(base) <= len(set(joined.values())) == len(sets) - len(a) <= len(set(trees.values()))
